@@ -1,0 +1,50 @@
+import hashlib
+import random
+
+import pytest
+from tokenizers import Tokenizer
+
+from sluice.llm.bpe import Codec, encode, read_vocabulary
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return Codec(read_vocabulary())
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_str(read_vocabulary())
+
+
+def texts():
+    r = random.Random(3)
+    words = "the of and it's we'll 'tis été größe 数据 привет 12 3456 foo_bar ... !!! <|endoftext|> 'S 's \U0001f600‍ ".split(" ")
+    out = ["", " ", "a", "<|endoftext|>", " <|endoftext|>  <|endoftext|>", "a" * 700, "\n" * 300, " " * 301 + "x", "é" * 333, "ab" * 400, "'s" * 200, "数" * 200, "\U0001f600" * 90]
+    for _ in range(150):
+        sep = r.choice([" ", "", "  ", "\n", "\t "])
+        out.append(sep.join(r.choice(words) for _ in range(r.randint(1, 300))))
+    for _ in range(60):
+        out.append("".join(r.choice("abcdeorstn") for _ in range(r.randint(50, 900))))
+        out.append("".join(chr(r.choice([32, 65, 97, 0x301, 0xE9, 0x4E00, 0x1F600, 10, 39, 48, 0xA0, 0x85, 0x3000])) for _ in range(r.randint(1, 400))))
+    return out
+
+
+@pytest.mark.parametrize("leaf,window", [(7, 2), (32, 4), (100, 16)])
+def test_tree_equals_library(codec, library, leaf, window):
+    for t in texts():
+        want = library.encode(t, add_special_tokens=False).ids
+        got = codec.encode_many([t], leaf=leaf, window=window)[0]
+        assert got == want, (t[:80], leaf)
+        assert codec.decode(got) == library.decode(want, skip_special_tokens=False) == t
+
+
+def test_frame(spark, library):
+    rows = [(1, "hello world", 5), (2, None, 6), (2, "", 7), (None, "x" * 50_000, 8), (1, "hello world", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
+    got = {(r.doc_id, r.n_tokens): r for r in encode(df, read_vocabulary()).collect()}
+    assert got[1, 2].ids == library.encode("hello world").ids and got[1, 2].decoded == "hello world"
+    assert got[2, 0].decoded_sha256 == hashlib.sha256(b"").hexdigest() == got[2, 0].ids_sha256
+    long = library.encode("x" * 50_000).ids
+    assert got[None, len(long)].ids_sha256 == hashlib.sha256(",".join(map(str, long)).encode()).hexdigest()
+    assert encode(df.limit(0), read_vocabulary()).count() == 0
