@@ -1,0 +1,57 @@
+import hashlib
+import random
+
+import numpy as np
+
+from sluice.llm.fingerprint import BUCKETS, TABLES, TRIPLETS, fingerprints, likeness, of_texts
+
+
+def slow_digest(text: str) -> bytes:
+    b, count = text.encode(), [0] * BUCKETS
+    for i in range(len(b) - 4):
+        for t, at in zip(TABLES, TRIPLETS, strict=True):
+            count[(t[0][b[i + at[0]]] ^ t[1][b[i + at[1]]] ^ t[2][b[i + at[2]]]) % BUCKETS] += 1
+    q1, q2, q3 = (sorted(count)[BUCKETS * k // 4 - 1] for k in (1, 2, 3))
+    code = [(c > q1) + (c > q2) + (c > q3) for c in count]
+    head = [min(255, int(np.floor(np.log2(len(b) + 1.0) * 8))), q1 * 255 // max(q3, 1), q2 * 255 // max(q3, 1)]
+    return bytes(head + [code[k] | code[k + 1] << 2 | code[k + 2] << 4 | code[k + 3] << 6 for k in range(0, BUCKETS, 4)])
+
+
+def texts():
+    r = random.Random(1)
+    return ["", "a", "abcd", "abcde", "é" * 50, "a" * 5000] + ["".join(r.choice("abcdé \n\U0001f600") for _ in range(r.randint(1, 900))) for _ in range(60)]
+
+
+def test_digest_is_slow_digest():
+    t = texts()
+    assert [bytes(x) for x in of_texts(t)] == [slow_digest(x) for x in t]
+
+
+def test_likeness():
+    r = random.Random(2)
+    words = [" ".join("".join(r.choice("etaoinshr") for _ in range(r.randint(2, 9))) for _ in range(400)) for _ in range(2)]
+    near = words[0][:1500] + "changed" + words[0][1500:]
+    d = of_texts([words[0], near, words[1], words[0]])
+    x = likeness(d[[0, 0, 0]], d[[1, 2, 3]])
+    assert x[2] == 1.0 and x[0] > 0.85 > x[1] >= 0 and x[0] > x[1] + 0.1
+
+
+def test_frame(spark):
+    t = texts()
+    ids = random.Random(5).sample(range(-500, 10**12, 7919), len(t) - 4)
+    rows = [(i, x, "s") for i, x in zip(ids, t, strict=False)] + [(ids[0], "tie", "s"), (ids[1], None, None), (ids[1], None, None), (None, "null id", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string").repartition(3)
+    got = fingerprints(df).collect()
+    order = sorted(((i, x or "") for i, x, _ in rows if i is not None), key=lambda r: (-r[0], r[1]))
+    want = []
+    for k, (i, x) in enumerate(order):
+        n = order[(k + 1) % len(order)][1]
+        e = x[: len(x) - len(x) // 2] + n[: len(x) // 2]
+        a, b, c = (np.frombuffer(slow_digest(y), np.uint8)[None] for y in (x, e, n))
+        want.append((i, len(x), hashlib.sha256(e.encode()).hexdigest(), slow_digest(x).hex(), slow_digest(e).hex(), float(likeness(a, b)[0]), float(likeness(a, c)[0]), e))
+    assert sorted(tuple(r) for r in got if r.doc_id is not None) == sorted(want)
+    (alone,) = [r for r in got if r.doc_id is None]
+    assert alone.edited_text == "null" and alone.near_next is None
+    assert fingerprints(df.limit(0)).count() == 0
+    one = fingerprints(spark.createDataFrame([(7, "abcdef")], "doc_id long, text string")).first()
+    assert one.edited_text == "abcabc" and one.near_next == 1.0
