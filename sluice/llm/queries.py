@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_bpe
 from .fingerprint import op4_fingerprint
+from .language import op10_langid
 from .licences import op5_licenses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprint": op4_fingerprint,
     "op5_licenses": op5_licenses,
     "op9_bpe": op9_bpe,
+    "op10_langid": op10_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {}

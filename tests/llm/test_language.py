@@ -1,0 +1,67 @@
+import random
+import zlib
+
+import numpy as np
+
+from sluice.llm.language import STRETCH, Model, automaton, letters_only, op10_langid, predict
+
+
+def slow_phrases(text, sample):
+    """Greedy longest matches, a stretch at a time; a phrase ends where the next symbol can't be added, and a symbol that
+    the sample lacks opens the next one."""
+    body = letters_only(text)
+    if body and not text.lower()[-1].isalpha():
+        body += " "
+    n = 0
+    for k in range(0, len(body), STRETCH):
+        now = ""
+        n += 1
+        for c in body[k : k + STRETCH]:
+            if now + c in sample:
+                now += c
+            else:
+                n += 1
+                now = c if c in sample else ""
+    return n
+
+
+def test_automaton_knows_substrings():
+    r = random.Random(1)
+    s = [r.randrange(3) for _ in range(60)]
+    a = automaton(s)
+    subs = {tuple(s[i:j]) for i in range(60) for j in range(i + 1, 61)}
+    for _ in range(500):
+        x = [r.randrange(3) for _ in range(r.randint(1, 8))]
+        state = 0
+        for c in x:
+            state = a[state].get(c) if state is not None else None
+        assert (state is not None) == (tuple(x) in subs)
+
+
+def test_phrases_are_slow_phrases():
+    r = random.Random(2)
+    word = lambda abc: "".join(r.choice(abc) for _ in range(r.randint(1, 6)))
+    samples = {"a": " ".join(word("abcde") for _ in range(400)), "b": " ".join(word("cdefé") for _ in range(300))}
+    m = Model(samples)
+    texts = [" ".join(word("abcdefé") for _ in range(r.randint(1, 400))) + r.choice(["", ".", "12"]) for _ in range(40)] + ["", "123 !", "b", " a", "É."]
+    size, total = m.phrases(texts)
+    for t, s, row in zip(texts, size, total, strict=True):
+        assert (s == 0) == (not any(c.isalpha() for c in t))
+        for lang, n in zip(m.languages, row, strict=True):
+            assert n == slow_phrases(t, samples[lang]), (t, lang)
+
+
+def test_frame(spark):
+    df = spark.createDataFrame([(1, "abab", "x"), (1, "abab", "x"), (None, "cdcd", None), (3, None, "x"), (4, "12 .", "x"), (5, "", "x")], "doc_id long, text string, score string")
+    got = predict(df, {"one": "abababab ab", "two": "cdcdcd cd"}).collect()
+    assert sorted((r.doc_id or 0, r.lang_pred) for r in got) == [(0, "two"), (1, "one"), (1, "one"), (3, "und"), (4, "und"), (5, "und")]
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert all(0 <= r.score <= 1 for r in got)
+    assert {r.lang_pred for r in predict(df, {}).collect()} == {"und"}
+    assert predict(df.limit(0), {"one": "ab"}).count() == 0
+
+
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.01"
+    got = op10_langid(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out and lang_pred <> 'und'").toPandas()
+    assert len(got) > 100 and np.mean(got.lang == got.lang_pred) > 0.97
