@@ -10,10 +10,12 @@ from .bpe import op9_bpe
 from .fingerprint import op4_fingerprint
 from .language import op10_langid
 from .licences import op5_licenses
+from .quality import op6_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprint": op4_fingerprint,
     "op5_licenses": op5_licenses,
+    "op6_quality": op6_quality,
     "op9_bpe": op9_bpe,
     "op10_langid": op10_langid,
 }

@@ -18,6 +18,8 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column (nulls: empty) and the offsets of its rows, from 0."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
+    if pa.types.is_null(col.type):
+        col = col.cast(pa.string())
     if col.null_count:
         col = col.fill_null("")
     if len(col) == 0:
