@@ -11,8 +11,10 @@ from .fingerprint import op4_fingerprint
 from .language import op10_langid
 from .licences import op5_licenses
 from .quality import op6_quality
+from .warc import OP2_SQL, op2_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op4_fingerprint": op4_fingerprint,
     "op5_licenses": op5_licenses,
     "op6_quality": op6_quality,
@@ -20,4 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_langid": op10_langid,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": OP2_SQL,
+}
