@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_bpe
+from .embeddings import OP8_SQL, op8_embeddings
 from .fingerprint import op4_fingerprint
 from .language import op10_langid
 from .licences import op5_licenses
@@ -18,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprint": op4_fingerprint,
     "op5_licenses": op5_licenses,
     "op6_quality": op6_quality,
+    "op8_embeddings": op8_embeddings,
     "op9_bpe": op9_bpe,
     "op10_langid": op10_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": OP2_SQL,
+    "op8_embeddings": OP8_SQL,
 }
