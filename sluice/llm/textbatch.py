@@ -95,7 +95,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     n = len(data)
     run = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(n, _P), out=run[1:])
-    return mix((run[ends] - run[starts]) * _powers(n, _P_INV)[starts])
+    return mix((run[ends] - run[starts]) * _powers(n + 1, _P_INV)[starts])
 
 
 def shingles(words: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
