@@ -12,12 +12,14 @@ from .fingerprint import op4_fingerprint
 from .language import op10_langid
 from .licences import op5_licenses
 from .minhash import op1_minhash
+from .mixing import op3_mixing
 from .quality import op6_quality
 from .warc import OP2_SQL, op2_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_warc": op2_warc,
+    "op3_mixing": op3_mixing,
     "op4_fingerprint": op4_fingerprint,
     "op5_licenses": op5_licenses,
     "op6_quality": op6_quality,
