@@ -299,3 +299,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """The rows with all their columns, one of each class of near-duplicates. Null texts all stay."""
+    found = written(near_duplicates(docs, id_col=id_col, text_col=text_col, similar=similar), "found")
+    count = found.groupBy(F.col(id_col).alias("id_"), F.col("text_hash").alias("h_")).agg(F.count("*").alias("n_"), F.sum(F.col("kept").cast("long")).alias("keep_"))
+    count = count.filter("keep_ > 0").select("id_", "h_", (F.col("keep_") < F.col("n_")).alias("repeated_"))
+    d = docs.withColumn("text_hash_", F.xxhash64(F.col(text_col).cast("string")))
+    met = d.join(count, d[id_col].cast("long").eqNullSafe(F.col("id_")) & (d["text_hash_"] == F.col("h_")))
+    whole = met.filter("not repeated_").select(*docs.columns)
+    return whole.unionByName(met.filter("repeated_").dropDuplicates(["id_", "h_"]).select(*docs.columns))

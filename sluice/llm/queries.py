@@ -14,6 +14,7 @@ from .licences import op5_licenses
 from .minhash import op1_minhash
 from .mixing import op3_mixing
 from .quality import op6_quality
+from .secret_scan import op7_secrets
 from .warc import OP2_SQL, op2_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprint": op4_fingerprint,
     "op5_licenses": op5_licenses,
     "op6_quality": op6_quality,
+    "op7_secrets": op7_secrets,
     "op8_embeddings": op8_embeddings,
     "op9_bpe": op9_bpe,
     "op10_langid": op10_langid,
