@@ -145,3 +145,16 @@ def in_polygon_column(lat: Column, lon: Column, ring: Column) -> Column:
     on = F.exists(edges, lambda e: ((e["x2"] - e["x1"]) * (lat - e["y1"]) == (e["y2"] - e["y1"]) * (lon - e["x1"])) & lon.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & lat.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
     crossed = F.filter(edges, lambda e: ((e["y1"] > lat) != (e["y2"] > lat)) & (lon < F.try_divide((e["x2"] - e["x1"]) * (lat - e["y1"]), e["y2"] - e["y1"]) + e["x1"]))
     return on | (F.size(crossed) % 2 == 1)
+
+
+def in_polygon_unrolled(lat: Column, lon: Column, ring: list) -> Column:
+    """The same for a constant ring, edge by edge, behind a test of its box."""
+    box = lat.between(min(p[0] for p in ring), max(p[0] for p in ring)) & lon.between(min(p[1] for p in ring), max(p[1] for p in ring))
+    on, crossed = F.lit(False), F.lit(0)
+    for (y1, x1), (y2, x2) in zip(ring, [*ring[1:], ring[0]], strict=True):
+        y1, x1, y2, x2 = map(float, (y1, x1, y2, x2))
+        on = on | ((x2 - x1) * (lat - y1) == (y2 - y1) * (lon - x1)) & lon.between(min(x1, x2), max(x1, x2)) & lat.between(min(y1, y2), max(y1, y2))
+        if y1 != y2:
+            between = (lat >= min(y1, y2)) & (lat < max(y1, y2))
+            crossed = crossed + F.when(between & (lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1), 1).otherwise(0)
+    return box & (on | (crossed % 2 == 1))

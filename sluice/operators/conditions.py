@@ -8,12 +8,16 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sluice.functions.geo import in_polygon_column, metres
+from sluice.functions.geo import in_polygon_column, in_polygon_unrolled, metres
 from sluice.functions.regex import java_pattern
 from sluice.operators.values import Absent, Row, holds
 from sluice.plans.language import Literal, Reader
 
 
+#: Vertices of a polygon that is written out as arithmetic at most.
+UNROLLED = 64
+
+
 class Compiler:
     """``engine``: the dialect of regular expressions."""
 
@@ -66,7 +70,10 @@ class Compiler:
         if x.keyword == "geo":
             value = row.field(x.field)
             point = value.point
-            inside = holds(in_shape(point["lat"], point["lon"], x.args["shape"], args or shape_columns(x.args)))
+            if x.args["shape"] == "polygon" and not args and len(x.args["ring"]) <= UNROLLED:
+                inside = holds(in_polygon_unrolled(point["lat"], point["lon"], x.args["ring"]))
+            else:
+                inside = holds(in_shape(point["lat"], point["lon"], x.args["shape"], args or shape_columns(x.args)))
             if not x.negated:
                 return point.isNotNull() & inside
             return F.when(value.falsy, True).when(point.isNull(), False).otherwise(~inside)
@@ -87,8 +94,13 @@ def equal(value: Any, to: Any) -> Column:
 
 
 def bounded(value: Column, bounds: dict) -> Column:
+    return compared(value, bounds) & ~F.isnan(value)
+
+
+def compared(value: Column, bounds: dict) -> Column:
+    """The bounds alone: a NaN, which sorts above all numbers, may pass."""
     tests = {"gt": lambda v: value > v, "gte": lambda v: value >= v, "lt": lambda v: value < v, "lte": lambda v: value <= v}
-    return reduce(lambda a, b: a & b, [tests[k](float(v)) for k, v in bounds.items()]) & ~F.isnan(value)
+    return reduce(lambda a, b: a & b, [tests[k](float(v)) for k, v in bounds.items()])
 
 
 def within(value: Column, args: dict[str, Column]) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from sluice.functions.geo import EARTH_M
 from sluice.functions.regex import java_pattern
-from sluice.operators.conditions import Compiler, bounded
+from sluice.operators.conditions import Compiler, compared
 from sluice.operators.values import Absent, Row, Typed, key_of
 from sluice.plans.language import Literal
 
@@ -69,7 +69,8 @@ def _variant(x: Literal) -> str:
 
 
 def holding(row: Row, terms: list[Term], compiler: Compiler) -> Column:
-    """The numbers of the filters with a term that holds, unordered, perhaps repeated."""
+    """An array with the number of each filter that has a term that holds, and a null for each other one: a plain array,
+    so that exploding it stays within generated code."""
     cache: dict[Literal, Column] = {}
 
     def held(x: Literal) -> Column:
@@ -77,11 +78,12 @@ def holding(row: Row, terms: list[Term], compiler: Compiler) -> Column:
             cache[x] = compiler.condition(row, x)
         return cache[x]
 
-    each = []
+    ways: dict[int, list[Column]] = defaultdict(list)
     for t in terms:
-        all_ = reduce(lambda a, b: a & b, map(held, t.literals)) if t.literals else F.lit(True)
-        each.append(F.when(all_, F.array(*[F.lit(i) for i in t.filters])))
-    return F.flatten(F.filter(F.array(*each), lambda x: x.isNotNull()))
+        whole = reduce(lambda a, b: a & b, map(held, t.literals)) if t.literals else F.lit(True)
+        for i in t.filters:
+            ways[i].append(whole)
+    return F.array(*[F.when(reduce(lambda a, b: a | b, w), F.lit(i)) for i, w in ways.items()])
 
 
 def necessary(row: Row, terms: list[Term], most: int = 24) -> Column | None:
@@ -107,7 +109,7 @@ def _plain(row: Row, x: Literal) -> Column | None:
     if x.keyword == "equals" and isinstance(x.args, (int, float)) and not isinstance(x.args, bool) and isinstance(value.kind, T.NumericType):
         return value.number == float(x.args)
     if x.keyword == "range" and isinstance(value.kind, T.NumericType):
-        return bounded(value.number, x.args)
+        return compared(value.number, x.args)
     return value.raw.isNotNull() if x.keyword == "exists" and not x.args["array"] else None
 
 
@@ -301,7 +303,7 @@ def percolate(df: DataFrame, doc: str | None, normals: list, ids: list, keys: li
         need = necessary(row, some)
         source = df.filter(need) if need is not None else df
         found = holding(row, some, compiler)
-        branches.append(source.select(*keys, F.explode(F.array_distinct(found)).alias("filter_")))
+        branches.append(source.select(*keys, F.explode(found).alias("filter_")).filter("filter_ is not null"))
     if not branches:
         return df.select(*keys, F.lit(None).cast("string").alias(name)).limit(0)
     out = reduce(DataFrame.union, branches)

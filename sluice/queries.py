@@ -224,7 +224,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: c.run for
 ORACLE_SQL: dict[str, str] = {name: c.sql() for name, c in CASES.items()}
 QUERIES["registry"] = registry
 ORACLE_SQL["registry"] = "select n_nationkey, 'keep' as filter_name from nation where n_regionkey = 1"
-for _n in (100, 2000):
+for _n in (100, 2000, 10_000):
     QUERIES[f"filters_{_n}"] = many_filters(_n)
     ORACLE_SQL[f"filters_{_n}"] = many(_n)[1]
 
