@@ -3,6 +3,7 @@ import re
 
 import corpus_pipeline
 import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sluice.llm.bpe import read_vocabulary
@@ -65,10 +66,15 @@ def test_stages_are_slow_stages(spark):
 def test_odd_documents(spark):
     rows = [(1, "the same text of six words", "en", "a", 26), (1, "the same text of six words", "en", "a", 26), (None, None, None, None, None), (2, "", "en", None, 0), (3, "token = abcdefgh1234", "en", "b", 20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for d in (docs, docs.limit(0)):
-        for name, stage in corpus_pipeline.STAGES[1:]:
+    more = {"spans": 1, "base": 2, "tail_probability": 3, "expected_grade": 4, "text_hash_": 5, "id_": 6, "slot": 7, "kept": 8, "id": 9, "mix_place_": 10}
+    docs = docs.withColumns({k: F.lit(v) for k, v in more.items()})
+    for d, n in ((docs, 4), (docs.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES[1:4]:
             d = written(stage(spark, d, DIR), name)
-        assert d.count() in (0, 4)
+            assert d.columns == docs.columns and all(r[k] == v for r in d.collect() for k, v in more.items())
+        assert {(r.text, r.n_chars) for r in d.collect() if r.doc_id == 3} == ({("[SECRET]", 8)} if n else set())
+        assert corpus_pipeline.STAGES[4][1](spark, d, DIR).count() == n
+        corpus_pipeline.STAGES[0][1](spark, d, DIR).collect()
 
 
 def test_run(spark):
