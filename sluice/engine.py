@@ -17,6 +17,13 @@ from sluice.operators.percolate import percolate
 from sluice.plans.language import Literal, Reader
 from sluice.plans.normal import count, identifier, normal
 
+#: What wrong options and arguments are told.
+WRONG_ENGINE = 'Invalid configuration value for "regExpEngine". Supported: re2, js'
+WRONG_SEED = "Invalid seed: expected a 32 bytes long Buffer"
+WRONG_MAXIMUM = "Invalid maxConditions configuration: positive or nul integer expected"
+WRONG_INDEX = 'Invalid "index" argument: must be a string'
+TOO_COMPLEX = "Filter too complex: exceeds the configured maximum number of conditions (conditions: {n}, max: {most})"
+
 
 @dataclass(frozen=True)
 class NormalizedFilter:
@@ -38,12 +45,12 @@ class Percolator:
 
     def __init__(self, spark: SparkSession | None = None, max_conditions: int = 50, regexp_engine: str = "re2", seed: bytes | None = None, prune: str = "by_path") -> None:
         if regexp_engine not in ("re2", "js"):
-            raise ValueError('Invalid configuration value for "regExpEngine". Supported: re2, js')
+            raise ValueError(WRONG_ENGINE)
         seed = os.urandom(32) if seed is None else seed
         if not isinstance(seed, (bytes, bytearray)) or len(seed) != 32:
-            raise ValueError("Invalid seed: expected a 32 bytes long Buffer")
+            raise ValueError(WRONG_SEED)
         if isinstance(max_conditions, bool) or not isinstance(max_conditions, int) or max_conditions < 0:
-            raise ValueError("Invalid maxConditions configuration: positive or nul integer expected")
+            raise ValueError(WRONG_MAXIMUM)
         self.spark, self.max_conditions, self.seed, self.prune = spark, max_conditions, bytes(seed), prune
         self.reader, self.compiler = Reader(regexp_engine), Compiler(regexp_engine)
         self.indexes: dict[str | None, dict[str, NormalizedFilter]] = {None: {}}
@@ -56,7 +63,7 @@ class Percolator:
 
     def normalize(self, given: Any, index: str | None = None) -> NormalizedFilter:
         if index is not None and not isinstance(index, str):
-            raise ValueError('Invalid "index" argument: must be a string')
+            raise ValueError(WRONG_INDEX)
         tree = self.reader.read(given)
         self._limit(tree)
         terms = normal(tree, by_path=self.prune == "by_path")
@@ -65,7 +72,7 @@ class Percolator:
     def _limit(self, tree: Any) -> None:
         n = count(tree)
         if self.max_conditions and n > self.max_conditions:
-            raise FilterError(f"Filter too complex: exceeds the configured maximum number of conditions (conditions: {n}, max: {self.max_conditions})")
+            raise FilterError(TOO_COMPLEX.format(n=n, most=self.max_conditions))
         stack = [tree]
         while stack:
             x = stack.pop()

@@ -22,17 +22,21 @@ UNITS = {
 #: The characters of geohashes, by number, and what a geohash looks like.
 GEOHASH_ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 GEOHASH = r"^[0-9a-z]{4,}$"
+#: Fixed value: what a text that is no distance is told.
+UNKNOWN_DISTANCE = 'unable to parse distance value "{text}"'
 #: What a lenient float parser takes from the start of a string.
 NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
 def convert_distance(text: str) -> float:
-    """Metres of a distance such as ``1 km``, ``3 258,55 Ft``; signs and white space don't count, commas are points."""
-    clean = re.sub(r"[-\s]", "", text).replace(",", ".").lower()
-    m = re.fullmatch(r"(\d+\.?\d*|\.\d+)([a-z]*)", clean)
-    if not m or m[2] and m[2] not in UNITS:
-        raise ValueError(f'unable to parse distance value "{text}"')
-    return float(m[1]) * UNITS.get(m[2], 1.0)
+    """Metres of a distance such as ``1 km`` or ``3 258,55 Ft``: a number and a unit, metres if there is none. Signs and
+    white space are skipped wherever they stand, a comma is a point, the case of letters is without meaning."""
+    kept = "".join("." if c == "," else c for c in text.lower() if c != "-" and not c.isspace())
+    unit = kept.lstrip("0123456789.")
+    number = kept[: len(kept) - len(unit)]
+    if number.count(".") > 1 or not number.strip(".") or unit not in UNITS and unit:
+        raise ValueError(UNKNOWN_DISTANCE.format(text=text))
+    return float(number) * UNITS.get(unit, 1.0)
 
 
 def _number(x: Any) -> float | None:
