@@ -8,8 +8,9 @@
    Texts with equal digests are one class from here on.
 3. A band is a fixed choice of ROWS hashes; classes that agree in a band share a bucket. Each bucket's leader, the member
    with the most company in all its buckets, is compared with the bucket: a row for each member.
-4. Links, verified on the texts, make components. Where a bucket still holds several, its members are compared in blocks,
-   by their samples; pairs of different components that agree in at least AGREE samples are verified as well.
+4. Links, verified on the texts, make components. Where a bucket still holds several, its members get DETAIL more samples,
+   a byte of each, and are compared in blocks: pairs of different components that agree in at least AGREE_DETAIL of these
+   are verified as well, each found in the first bucket that its two members share.
 No bucket is capped, and pairs of a bucket never become rows before the samples have ruled most of them out.
 """
 
@@ -35,8 +36,12 @@ HASHES, ROWS, BANDS = 64, 6, 40
 FEATURES, RARE = 1 << 18, 0.05
 #: Samples that a verified pair agrees in at least: 2.5 standard deviations below what SIMILAR lets expect.
 AGREE = math.ceil(HASHES * SIMILAR - 2.5 * math.sqrt(HASHES * SIMILAR * (1 - SIMILAR)))
-#: Rows of the tables that r, c and b are drawn from, by a hash of the shingle for each of the HASHES.
-DRAWS = 1 << 14
+#: Further samples of the classes whose buckets hold several components, and those that a verified pair agrees in at
+#: least: 3 standard deviations below what SIMILAR lets expect.
+DETAIL = 256
+AGREE_DETAIL = math.ceil(DETAIL * SIMILAR - 3 * math.sqrt(DETAIL * SIMILAR * (1 - SIMILAR)))
+#: Rows of the tables that r, c and b are drawn from, by a hash of the shingle for each sample; and of those for DETAIL.
+DRAWS, DRAWS_DETAIL = 1 << 14, 1 << 12
 #: Places of a part of the document-frequency table, and classes of a block.
 PART, BLOCK = 1 << 12, 256
 _ID = np.uint64((1 << 48) - 1)
@@ -60,25 +65,25 @@ def idf_of(df: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(1.0, np.log1p(max(1, n) / np.maximum(df, 1)) / math.log(1 + 1 / RARE))
 
 
-def _draws() -> tuple[np.ndarray, np.ndarray]:
-    """(HASHES, DRAWS, 4): 1 / r, b, r, ln c + r (b - 1); and an odd multiplier for each hash."""
-    g = np.random.RandomState(1)
-    r = g.gamma(2, 1, (HASHES, DRAWS))
-    c = g.gamma(2, 1, (HASHES, DRAWS))
-    b = g.uniform(0, 1, (HASHES, DRAWS))
+def _draws(seed: int, hashes: int, draws: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, draws, 4): 1 / r, b, r, ln c + r (b - 1); and an odd multiplier for each hash."""
+    g = np.random.RandomState(seed)
+    r = g.gamma(2, 1, (hashes, draws))
+    c = g.gamma(2, 1, (hashes, draws))
+    b = g.uniform(0, 1, (hashes, draws))
     table = np.stack([1 / r, b, r, np.log(c) + r * (b - 1)], axis=2).astype(np.float32)
-    odd = g.randint(1, 1 << 62, HASHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    odd = g.randint(1, 1 << 62, hashes, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     return table, odd
 
 
-def samples(row: np.ndarray, ids: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """A row of HASHES 32-bit samples for each row that has shingles."""
-    table, odd = cached(("icws", HASHES, DRAWS), _draws)
+def samples(row: np.ndarray, ids: np.ndarray, w: np.ndarray, hashes: int = HASHES, draws: int = DRAWS, seed: int = 1) -> np.ndarray:
+    """A row of ``hashes`` 32-bit samples for each row that has shingles."""
+    table, odd = cached(("icws", seed, hashes, draws), lambda: _draws(seed, hashes, draws))
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    out = np.empty((len(first), HASHES), np.uint32)
+    out = np.empty((len(first), hashes), np.uint32)
     scrambled, log_w = mix(ids), np.log(w).astype(np.float32)
-    shift = np.uint64(64 - (DRAWS - 1).bit_length())
-    for k in range(HASHES):
+    shift = np.uint64(64 - (draws - 1).bit_length())
+    for k in range(hashes):
         h = scrambled * odd[k]
         d = np.take(table[k], (h >> shift).astype(np.int64), axis=0)
         t = np.floor(log_w * d[:, 0] + d[:, 1])
@@ -201,12 +206,23 @@ def promising(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return met.filter(agree >= AGREE).select("a", "b")
 
 
+def detailed(texts: DataFrame, idf) -> DataFrame:
+    """``uid, detail`` (a byte of each of DETAIL samples) of ``uid, text``; all texts have words."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, ids, count = shingle_counts(batch.column(1))
+        found = samples(row, ids, weights(ids, count, idf.value), DETAIL, DRAWS_DETAIL, 3).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], names=["uid", "detail"])
+
+    return over_batches(texts.select("uid", "text"), run, "uid long, detail binary", 1 << 20)
+
+
 def across(members: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and agree in at least AGREE samples, once each. ``members``:
-    bucket, uid, component, samples, n (members of the bucket)."""
+    """Pairs of different components that share a bucket and agree in at least AGREE_DETAIL samples, once each.
+    ``members``: band, bucket, uid, component, samples, detail, n (members of the bucket)."""
     dealt = members.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("uid"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "uid", "component", "samples")
+    dealt = dealt.select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "uid", "component", "samples", "detail", "band")
     dealt = dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,18 +248,23 @@ def across(members: DataFrame) -> DataFrame:
         c = pa.Table.from_batches(parts).combine_chunks().columns
         part, uid, comp = (c[i].chunk(0).to_numpy() for i in (3, 4, 5))
         found = c[6].chunk(0).flatten().to_numpy().reshape(len(uid), -1)
+        detail = np.frombuffer(b"".join(x.as_buffer() for x in c[7].chunk(0)), np.uint8).reshape(len(uid), -1)
+        band, places = c[8][0].as_py(), _bands()
         wanted = np.triu(comp[:, None] != comp[None, :])
         if c[1][0] != c[2][0]:
             wanted &= part[:, None] != part[None, :]
         i, j = np.nonzero(wanted)
         for k in range(0, len(i), 1 << 15):
             x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
-            ok = (found[x] == found[y]).sum(axis=1) >= AGREE
+            ok = (detail[x] == detail[y]).sum(axis=1) >= AGREE_DETAIL
+            x, y = x[ok], y[ok]
+            shared = (found[x] == found[y])[:, places].all(axis=2)
+            ok = shared.argmax(axis=1) == band
             if ok.any():
                 x, y = uid[x[ok]], uid[y[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -266,7 +287,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     known = own.filter("size(samples) > 0").join(classes.select(F.col("uid").alias("row")), "row", "left_semi").select(F.col("row").alias("uid"), "id", "h", "bands", "samples")
     known = written(known, "known")
 
-    spread = known.select("uid", F.explode("bands").alias("bucket"))
+    spread = known.select("uid", F.posexplode("bands").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = written(spread.join(shared, "bucket"), "members")
     company = written(members.groupBy("uid").agg(F.sum("n").alias("company")), "company")
@@ -284,7 +305,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labelled = members.join(joined.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     labelled = written(labelled, "labelled")
     several = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-    rest = labelled.join(several, "bucket").join(known.select("uid", "samples"), "uid")
+    rest = written(labelled.join(several, "bucket"), "rest")
+    detail = detailed(texts.join(rest.select("uid").distinct(), "uid"), idf)
+    rest = rest.join(known.select("uid", "samples"), "uid").join(detail, "uid")
     more = written(across(rest), "more").join(pairs, ["a", "b"], "left_anti")
     more = written(verified(more, texts, idf, similar), "more")
     joined = written(components(links.union(more)), "components")
