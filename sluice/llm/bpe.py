@@ -13,6 +13,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -25,6 +27,8 @@ from .shared import cached, over_batches
 LEAF = 1 << 14
 #: Code points on each side of a join to begin with.
 WINDOW = 64
+#: Pieces whose ids a worker remembers at most.
+MOST_KNOWN = 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -55,8 +59,47 @@ class Codec:
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.added = added
 
+        # The library's own kinds of the characters that most texts have; its merges never cross pieces of these.
+        one = lambda x: len(self.library.pre_tokenizer.pre_tokenize_str(x)) == 1
+        kinds: dict[str, list[str]] = {"L": [], "N": [], "O": [], "S": []}
+        for c in map(chr, [*range(0x250), *range(0x2010, 0x2030)]):
+            kinds["L" if one("a" + c) else "N" if one("1" + c) else "O" if one("!" + c) else "S"].append(c)
+        letter, digit, other, space = ("".join(map(re.escape, kinds[k])) for k in "LNOS")
+        self.usual = re.compile(f"[{letter}{digit}{other}{space}]*")
+        self.pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{digit}]+| ?[{other}]+|[{space}]+(?![^{space}])|[{space}]+")
+        self.newline = self.library.encode("\n", add_special_tokens=False).ids
+        self.known: dict[str, list[int]] = {}
+
     def leaves(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        """Ids of each text by the library. Of texts whose characters are all of a known kind, only pieces that have not
+        been met are given to it, many at once with line ends between, which no piece's merges cross."""
+        out: list[list[int] | None] = [None] * len(texts)
+        split = {i: self.pieces.findall(t) for i, t in enumerate(texts) if self.usual.fullmatch(t) and not (self.special and self.special.search(t))}
+        if len(self.known) > MOST_KNOWN:
+            self.known.clear()
+        new = list({w for words in split.values() for w in words}.difference(self.known))
+        plain = [w for w in new if not w.isspace() and "\n" not in w]
+        for at in range(0, len(plain), 4096):
+            self._learn(plain[at : at + 4096])
+        rest = [i for i in range(len(texts)) if i not in split]
+        spaces = [w for w in new if w not in self.known]
+        found = self.library.encode_batch([*spaces, *(texts[i] for i in rest)], add_special_tokens=False)
+        self.known.update(zip(spaces, (e.ids for e in found[: len(spaces)]), strict=True))
+        for i, e in zip(rest, found[len(spaces) :], strict=True):
+            out[i] = e.ids
+        for i, words in split.items():
+            out[i] = list(chain.from_iterable(map(self.known.__getitem__, words)))
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        ids = self.library.encode("\n".join(words), add_special_tokens=False).ids
+        (end,) = self.newline
+        at, parts = 0, []
+        for _ in words[:-1]:
+            to = ids.index(end, at)
+            parts.append(ids[at:to])
+            at = to + 1
+        self.known.update(zip(words, [*parts, ids[at:]], strict=True))
 
     def encode_many(self, texts: list[str], leaf: int = LEAF, window: int = WINDOW) -> list[list[int]]:
         """Ids of each text."""

@@ -39,6 +39,14 @@ def test_tree_equals_library(codec, library, leaf, window):
         assert codec.decode(got) == library.decode(want, skip_special_tokens=False) == t
 
 
+def test_leaves_are_the_librarys(codec, library):
+    r = random.Random(8)
+    chars = [chr(c) for c in [*range(0x260), 0x2014, 0x2019, 0x2028, 0x3000, 0x4E00, 0x1F600]]
+    some = texts() + ["".join(r.choice(chars[:128] if r.random() < 0.5 else chars) for _ in range(r.randint(1, 200))) for _ in range(1500)]
+    some += ["".join(r.choice(" \n\t\r\x0b\x1c\x85\xa0a1!'s") for _ in range(r.randint(1, 60))) for _ in range(1500)]
+    assert codec.leaves(some) == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+
+
 def test_frame(spark, library):
     rows = [(1, "hello world", 5), (2, None, 6), (2, "", 7), (None, "x" * 50_000, 8), (1, "hello world", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
