@@ -229,6 +229,66 @@ for _n in (100, 2000, 10_000):
     ORACLE_SQL[f"filters_{_n}"] = many(_n)[1]
 
 
+def registered(n: int, frame: Callable[[SparkSession, str], DataFrame], key: str, make: Callable[[int], dict]) -> Callable[[SparkSession, str], DataFrame]:
+    """n filters, f0 to f(n-1), registered one by one."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = Percolator(spark, seed=SEED)
+        names = {engine.register(make(i)): f"f{i}" for i in range(n)}
+        assert len(names) == n
+        return engine.percolate(frame(spark, sf_dir), [key], names=names).withColumnRenamed("filter_id", "filter_name")
+
+    return run
+
+
+#: Events with a user as text and a list of tags; places on a fine grid.
+TAGGED = both(
+    "events", "event_id",
+    ("uid", "concat('u', cast(user_id as string))", "'u' || user_id"),
+    ("tags", "array(concat('t', cast(event_id % 10007 as string)), concat('t', cast(user_id as string)))", "['t' || (event_id % 10007), 't' || user_id]"),
+    ("value", "value", "value"), ("user_id", "user_id", "user_id"),
+    ("pos", "named_struct('lat', (event_id * 7919 % 160000) / 1000d - 80, 'lon', (event_id * 104729 % 350000) / 1000d - 175)", "{'lat': (event_id * 7919 % 160000) / 1000.0::double - 80, 'lon': (event_id * 104729 % 350000) / 1000.0::double - 175}"),
+)
+
+
+def centre(i: int) -> tuple[float, float]:
+    return (i * 5393 % 15800) / 100 - 79.0037, (i * 9857 % 34800) / 100 - 174.0051
+
+
+CENTRES = "(select i, (i * 5393 % 15800) / 100.0::double - 79.0037 as lat, (i * 9857 % 34800) / 100.0::double - 174.0051 as lon from range(N) t(i)) c"
+#: Corners of a pentagon around a centre, clockwise as seen with longitude to the right.
+PENTAGON = [(0.5, 0.0), (0.15, 0.47), (-0.4, 0.29), (-0.4, -0.29), (0.15, -0.47)]
+
+
+def around(inner: float, outer: float) -> str:
+    a = "pow(sin(radians(c.lat - pos.lat) / 2), 2) + cos(radians(pos.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - pos.lon) / 2), 2)"
+    # a point within the outer circle is within so many degrees of latitude
+    return f"abs(c.lat - pos.lat) < {outer / 111000 + 0.01} and 2 * 6371008.8 * asin(least(1.0, sqrt({a}))) between {inner} and {outer}"
+
+
+def edges() -> str:
+    out = []
+    for (y1, x1), (y2, x2) in zip(PENTAGON, [*PENTAGON[1:], PENTAGON[0]], strict=True):
+        out.append(f"({x2 - x1}) * (pos.lat - c.lat - ({y1})) - ({y2 - y1}) * (pos.lon - c.lon - ({x1})) <= 0")
+    return "abs(c.lat - pos.lat) < 1 and " + " and ".join(out)
+
+
+#: By name: the filter with number i, and the SQL that joins the rows with all numbers.
+MANY: dict[str, tuple[Callable[[int], dict], str]] = {
+    "many_equals": (lambda i: {"equals": {"uid": f"u{i}"}}, "rows join (select i from range(N) t(i)) c on uid = 'u' || i"),
+    "many_in": (lambda i: {"in": {"uid": [f"u{i * 5 + k}" for k in range(5)]}}, "rows join (select i from range(N) t(i)) c on user_id >= i * 5 and user_id < i * 5 + 5"),
+    "many_exists": (lambda i: {"exists": f'tags["t{i}"]'}, "(select event_id, unnest(list_distinct(tags)) as tag from rows) r join (select i from range(N) t(i)) c on tag = 't' || i"),
+    "many_range": (lambda i: {"range": {"value": {"gte": i * 4.9 / 100, "lt": i * 4.9 / 100 + 2.5}}}, "rows join (select i, i * 4.9::double / 100 as low from range(N) t(i)) c on value >= low and value < low + 2.5"),
+    "many_boxes": (lambda i: {"geoBoundingBox": {"pos": {"bottom": centre(i)[0], "top": centre(i)[0] + 0.5, "left": centre(i)[1], "right": centre(i)[1] + 0.5}}}, f"rows join {CENTRES} on pos.lat >= c.lat and pos.lat <= c.lat + 0.5 and pos.lon >= c.lon and pos.lon <= c.lon + 0.5"),
+    "many_circles": (lambda i: {"geoDistance": {"pos": list(centre(i)), "distance": "40 km"}}, f"rows join {CENTRES} on {around(0, 40000)}"),
+    "many_rings": (lambda i: {"geoDistanceRange": {"pos": list(centre(i)), "from": "20 km", "to": "50km"}}, f"rows join {CENTRES} on {around(20000, 50000)}"),
+    "many_polygons": (lambda i: {"geoPolygon": {"pos": {"points": [[centre(i)[0] + a, centre(i)[1] + b] for a, b in PENTAGON]}}}, f"rows join {CENTRES} on {edges()}"),
+}
+for _name, (_make, _join) in MANY.items():
+    QUERIES[_name] = registered(10_000, TAGGED["frame"], "event_id", _make)
+    ORACLE_SQL[_name] = f"with rows as ({TAGGED['view']}) select event_id, 'f' || i as filter_name from {_join.replace('(N)', '(10000)')}"
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of a degree, joined by cells."""
     engine = Percolator(spark, seed=SEED)
