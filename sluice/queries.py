@@ -220,9 +220,19 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.percolate(rows, ["n_nationkey"], index="named", names={keep: "keep"}).withColumnRenamed("filter_id", "filter_name")
 
 
+def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of small nested documents."""
+    from sluice.functions.flatten import flat_fields
+
+    docs = documents_of("documents", "doc_id", "named_struct('lang', lang, 'more', named_struct('source', source, 'words', slice(split(text, ' '), 1, 2))) as meta", "source")(spark, sf_dir)
+    return flat_fields(docs, "doc", ["doc_id"], depth=4).select("doc_id", "path")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: c.run for name, c in CASES.items()}
 ORACLE_SQL: dict[str, str] = {name: c.sql() for name, c in CASES.items()}
 QUERIES["registry"] = registry
+QUERIES["flatten"] = flat
+ORACLE_SQL["flatten"] = "select doc_id, unnest(['meta', 'meta.lang', 'meta.more', 'meta.more.source', 'meta.more.words', 'source']) as path from documents"
 ORACLE_SQL["registry"] = "select n_nationkey, 'keep' as filter_name from nation where n_regionkey = 1"
 for _n in (100, 2000, 10_000):
     QUERIES[f"filters_{_n}"] = many_filters(_n)

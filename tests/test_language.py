@@ -104,6 +104,12 @@ def test_points_and_distances():
             convert_distance(d)
 
 
+def test_flatten():
+    from sluice.functions.flatten import flatten
+
+    assert flatten({"a": {"b": 1, "c": {"d": [{"e": 1}]}}, "f": None}) == {"a": {"b": 1, "c": {"d": [{"e": 1}]}}, "a.b": 1, "a.c": {"d": [{"e": 1}]}, "a.c.d": [{"e": 1}], "f": None}
+
+
 def test_patterns():
     assert java_pattern("a$") == r"(?d)a\z" and java_pattern("a$", "m") == "(?dm)a$"
     assert java_pattern("(?P<x>a)[$[]") == r"(?d)(?<x>a)[$\[]"
