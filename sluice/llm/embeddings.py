@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import arrow, written
 
 WIDTH, COMPANY, BLOCK = 2.0, 32, 256
 #: Probability that a pair at the threshold meets in some table; nearer pairs meet more surely.
@@ -111,7 +111,7 @@ def near(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec_id", ve
                 found[rows] = codes(unit(flat[(at[rows][:, None] + np.arange(m))]), k, tables, seed)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(found.reshape(-1)), tables).cast(pa.list_(pa.int64()))], names=["uid", "codes"])
 
-    coded = written(classes.select("uid", "v").mapInArrow(hashed, "uid long, codes array<long>"), "codes")
+    coded = written(arrow(classes.select("uid", "v"), hashed, "uid long, codes array<long>"), "codes")
     keys = coded.select("uid", F.posexplode("codes").alias("t", "code"))
     sizes = keys.groupBy("t", "code").agg(F.count("*").alias("m")).filter("m > 1").select("t", "code", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
     dealt = keys.join(sizes, ["t", "code"]).withColumn("part", F.pmod(F.xxhash64("uid"), "parts").cast("int"))
@@ -152,7 +152,7 @@ def near(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec_id", ve
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(uid[of][some]), pa.array(links[some]), pa.array(uid[of][root[some]])], names=["uid", "links", "root"])
 
-    found = written(dealt.select("uid", "t", "code", "part", "x", "y", "n", "v", "codes").mapInArrow(compared, "uid long, links long, root long"), "links")
+    found = written(arrow(dealt.select("uid", "t", "code", "part", "x", "y", "n", "v", "codes"), compared, "uid long, links long, root long"), "links")
     joined = components(found.select(F.col("uid").alias("a"), F.col("root").alias("b")))
     known = classes.join(found.groupBy("uid").agg(F.sum("links").alias("links")), "uid", "left").join(joined.withColumnRenamed("node", "uid"), "uid", "left")
     known = known.select("v", "rep", F.coalesce("component", "uid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))

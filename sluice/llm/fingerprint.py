@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import pieces
+from .shared import arrow, pieces
 from .textbatch import buffers
 
 BUCKETS = 128
@@ -182,7 +182,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(run, schema + (", edited_text string" if keep_texts else "")).withColumnRenamed("id", id_col)
+    return arrow(dealt, run, schema + (", edited_text string" if keep_texts else "")).withColumnRenamed("id", id_col)
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cached, over_batches, pieces, written
+from .shared import arrow, cached, over_batches, pieces, written
 from .textbatch import buffers, mix, shingles, span_hashes, spans, word_table
 
 WORDS, SIMILAR = 5, 0.8
@@ -137,7 +137,7 @@ def frequencies(texts: DataFrame) -> np.ndarray:
 
     schema = "part int, counts binary"
     total = np.zeros(FEATURES + PART, np.int64)
-    for r in texts.mapInArrow(count, schema).repartition("part").mapInArrow(merge, schema).collect():
+    for r in arrow(arrow(texts, count, schema).repartition("part"), merge, schema).collect():
         total[r.part * PART : (r.part + 1) * PART] += np.frombuffer(bytes(r.counts), np.int64)
     return total[: FEATURES + 1]
 
@@ -264,7 +264,7 @@ def across(members: DataFrame) -> DataFrame:
                 x, y = uid[x[ok]], uid[y[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return arrow(dealt, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:

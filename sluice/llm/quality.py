@@ -128,11 +128,11 @@ def labelled(docs: DataFrame, labels: DataFrame, grade: Column, *, id_col: str =
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         index, offs = features(batch.column(1))
         lists = [index[a : min(b, a + MOST_FEATURES)] if b - a <= MOST_FEATURES else np.concatenate([index[a : a + MOST_FEATURES], index[b - SHARES : b]]) for a, b in zip(offs[:-1], offs[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lists, pa.list_(pa.int32()))], names=["id", "grade", "features"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.astype(np.int32).tobytes() for x in lists], pa.binary())], names=["id", "grade", "features"])
 
-    rows = over_batches(found, run, "id long, grade int, features array<int>", 1 << 20).collect()
-    rows.sort(key=lambda r: (r.id, r.features))
-    return [np.array(r.features, np.int64) for r in rows], np.array([r.grade for r in rows], np.int64)
+    rows = over_batches(found, run, "id long, grade int, features binary", 1 << 20).collect()
+    rows.sort(key=lambda r: (r.id, bytes(r.features)))
+    return [np.frombuffer(bytes(r.features), np.int32) for r in rows], np.array([r.grade for r in rows], np.int64)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

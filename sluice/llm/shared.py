@@ -29,16 +29,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _LOCAL: dict[str, str] = {}
+_WRITTEN: list[str] = []
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the tables that this session's operators have written so far. Results that were not yet written elsewhere
+    are lost with them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """The same rows, read back from a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
+    folder = shared_dir(spark)
+    _WRITTEN.append(folder)
+    path = f"{folder}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of 8 MB at most, rather than 64 MB or 10,000 texts: an executor and its workers hold
+    several at a time. The setting stays for the session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df.mapInArrow(run, schema)
+
+
 def over_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, cut: int = 1 << 21) -> DataFrame:
     """``f`` over pieces of Arrow batches. A piece holds about ``cut`` bytes, or one row if that is larger, which bounds
     what ``f`` allocates."""
@@ -50,7 +69,7 @@ def over_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return arrow(df, run, schema)
 
 
 def pieces(batch: pa.RecordBatch, cut: int) -> Iterator[pa.RecordBatch]:
@@ -75,8 +94,24 @@ def pieces(batch: pa.RecordBatch, cut: int) -> Iterator[pa.RecordBatch]:
 
 
 def cached(key, make: Callable):
-    """``make()``, once in a Python worker. Kept under ``sys``, as functions that travel by value have fresh globals."""
+    """``make()``, once in a Python worker, which keeps the latest alone, as workers outlive the stages they work for.
+    Kept under ``sys``, as functions that travel by value have fresh globals."""
     store = sys.__dict__.setdefault("_sluice_cache", {})
     if key not in store:
+        if store:
+            store.clear()
+            _give_back()
         store[key] = make()
     return store[key]
+
+
+def _give_back() -> None:
+    """Has the C library return freed memory to the system, where it can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

@@ -83,7 +83,7 @@ def _powers(n: int, of: np.uint64) -> np.ndarray:
         have = np.full(size, of, np.uint64)
         have[0] = 1
         np.cumprod(have, out=have)
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             store[int(of)] = have
     return have[:n]
 

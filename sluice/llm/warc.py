@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import pieces, written
+from .shared import arrow, pieces, written
 
 #: Compressed bytes after which an archive ends, and bytes that the reader inflates at a time.
 ROLL, BLOCK = 4 << 20, 1 << 16
@@ -109,7 +109,7 @@ def write(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", pa
         if parts:
             yield flushed()
 
-    return written(d.mapInArrow(run, "archive string, data binary"), "archives")
+    return written(arrow(d, run, "archive string, data binary"), "archives")
 
 
 def records(data: bytes | memoryview, block: int = BLOCK) -> Iterator[Record]:
@@ -179,7 +179,7 @@ def read(archives: DataFrame, *, data_col: str = "data", name_col: str = "archiv
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names=NAMES[: len(rows[0])])
 
     schema = "archive string, record_type string, id long, url string, payload_bytes long, payload_digest string, refers_to long" + ", payload string" * keep_payload
-    return archives.select(F.col(name_col).alias("archive"), F.col(data_col).alias("data")).mapInArrow(run, schema)
+    return arrow(archives.select(F.col(name_col).alias("archive"), F.col(data_col).alias("data")), run, schema)
 
 
 NAMES = ["archive", "record_type", "id", "url", "payload_bytes", "payload_digest", "refers_to", "payload"]
