@@ -313,7 +313,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     joined = written(components(links.union(more)), "components")
 
     ends = classes.join(joined.withColumnRenamed("node", "uid"), "uid", "left").select("digest", "uid", "least_id", F.coalesce("component", "uid").alias("component"))
-    first = ends.groupBy("component").agg(F.min(F.struct("least_id", "uid")).alias("first"))
+    first = written(ends.groupBy("component").agg(F.min(F.struct("least_id", "uid")).alias("first")), "first")
     ends = written(ends.join(first, "component").select("digest", F.col("first.least_id").alias("class_id"), F.col("first.uid").alias("keep")), "ends")
     out = own.select("id", "h", "digest", "row").join(ends, "digest", "left")
     named = F.when(F.col("digest").isNull(), F.col("id")).when(F.col("class_id") < (1 << 63) - 1, F.col("class_id"))
