@@ -42,6 +42,7 @@ def plan(n: int, cosine: float) -> tuple[int, int]:
 
 def unit(rows: np.ndarray) -> np.ndarray:
     """Scaled to length 1 in double precision; scaled by the largest component first, against overflow."""
+    rows = rows.astype(np.float64)
     x = rows / np.abs(rows).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -86,13 +87,15 @@ def block(table: int, uid: np.ndarray, count: np.ndarray, part: np.ndarray, firs
 
 def near(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 8) -> DataFrame:
     """For each row ``n_links`` (other rows linked directly), ``component_id`` (smallest id reachable by links, its own
-    included) and ``kept`` (its id is that).
+    included) and ``kept`` (its id is that). Floats travel as floats; all arithmetic is in doubles.
 
     Vectors that are null, empty, all zero or hold null or non-finite components link with nothing, and vectors of
     different sizes not with each other. Repeated rows are rows of their own: they link. A null id takes part; it is not
     smaller than any other (a component of null ids alone has null and is not kept). Other columns are not read.
     """
-    d = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    kind = vectors.schema[vector_col].dataType
+    kind = "array<float>" if kind.simpleString() == "array<float>" else "array<double>"
+    d = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
     fit = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     classes = d.filter(fit).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     classes = written(classes.withColumn("uid", F.monotonically_increasing_id()), "classes")
