@@ -2,7 +2,8 @@
 
 1. Document frequencies of hashed shingles, in a table of fixed size; the weight of a shingle in a text is
    (1 + ln tf) * idf. Shingles of fewer than RARE of all documents weigh the same; the more common ones, boilerplate,
-   weigh less.
+   weigh less. Documents made of common shingles for the most part, copies within a large group, don't count for these, so
+   a group's size does not change how alike its members are.
 2. For each text HASHES weighted samples (for hash k and each shingle r, c, b are drawn by its hash; t = floor(ln w / r + b);
    the shingle with the smallest ln c - r (t + 1 - b) is the sample, together with its t) and a digest of its weighted set.
    Texts with equal digests are one class from here on.
@@ -34,6 +35,8 @@ HASHES, ROWS, BANDS = 64, 6, 40
 #: Places of the document-frequency table, and the share of documents below which a shingle is rare. What else hashes to
 #: a place adds about (shingles of a text) / FEATURES to a share, far below RARE for texts of usual length.
 FEATURES, RARE = 1 << 18, 0.05
+#: The share of common shingles from which on a document is a copy rather than one that has boilerplate.
+COPY = 0.5
 #: Samples that a verified pair agrees in at least: 2.5 standard deviations below what SIMILAR lets expect.
 AGREE = math.ceil(HASHES * SIMILAR - 2.5 * math.sqrt(HASHES * SIMILAR * (1 - SIMILAR)))
 #: Further samples of the classes whose buckets hold several components, and those that a verified pair agrees in at
@@ -109,14 +112,32 @@ def buckets(sample: np.ndarray) -> np.ndarray:
 
 def frequencies(texts: DataFrame) -> np.ndarray:
     """How many rows of ``text`` have a shingle at each of FEATURES places, and the number of rows last; 2 MB on the
-    driver whatever the input."""
+    driver whatever the input.
+
+    Places of more than RARE of all rows are counted once more, without the rows that have COPY of their shingles at such
+    places: what the members of a large group share would else weigh less than their differences. A second pass, if there
+    are such places."""
+    total = _counted(texts, None)
+    common = total[:FEATURES] > RARE * total[FEATURES]
+    if common.any():
+        total[:FEATURES][common] = _counted(texts, common)[:FEATURES][common]
+    return total
+
+
+def _counted(texts: DataFrame, common: np.ndarray | None) -> np.ndarray:
+    packed = None if common is None else np.packbits(common).tobytes()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = None if packed is None else np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
         total = np.zeros(FEATURES + PART, np.int64)
         for batch in batches:
             for p in pieces(batch, 1 << 20):
                 row, ids, _ = shingle_counts(p.column(0))
                 at = np.unique(row.astype(np.uint64) * np.uint64(FEATURES) + (ids & np.uint64(FEATURES - 1)))
+                if often is not None:
+                    one, hit = (at // np.uint64(FEATURES)).astype(np.int64), often[(at & np.uint64(FEATURES - 1)).astype(np.int64)]
+                    copy = np.bincount(one, weights=hit, minlength=p.num_rows) >= COPY * np.bincount(one, minlength=p.num_rows)
+                    at = at[hit & ~copy[one]]
                 total[:FEATURES] += np.bincount((at & np.uint64(FEATURES - 1)).astype(np.int64), minlength=FEATURES)
                 total[FEATURES] += p.num_rows
         yield from parts(total)

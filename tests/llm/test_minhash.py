@@ -129,3 +129,30 @@ def test_odd_rows(spark):
     got = near_duplicates(df).collect()
     assert sorted((x.doc_id or 0, x.class_id or 0, x.kept) for x in got) == [(0, 0, False), (0, 0, True), (0, 0, True), (0, 3, False), (3, 3, False), (3, 3, True), (7, 7, True), (8, 8, True)]
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_large_group_is_held_to_the_same(spark):
+    """Members of a third of all rows, each pair a plain 0.82 to 0.88 alike, and the same of a small share."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+
+    def member(base, at):
+        x = list(base)
+        for k in at:
+            x[k] = word()
+        return " ".join(x)
+
+    def group(n):
+        base = [word() for _ in range(340)]
+        return [member(base, r.sample(range(5, 335, 6), 3)) for _ in range(n)]
+
+    large, small = group(60), group(3)
+    t = large + small + [" ".join(word() for _ in range(60)) for _ in range(117)]
+    sets = [set(x) for x in slow_sets(t)]
+    plain = [len(sets[0] & sets[i]) / len(sets[0] | sets[i]) for i in range(1, 60)]
+    assert 0.8 <= min(plain) and sum(0.82 <= x <= 0.88 for x in plain) > 40
+    sim = slow_similar(t)
+    assert sum(sim(0, i) < 0.8 for i in range(1, 60)) > 40  # idf alone tells them apart
+    got = {x.doc_id: x.class_id for x in near_duplicates(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string").repartition(3)).collect()}
+    assert {got[i] for i in range(60)} == {0} and {got[i] for i in range(60, 63)} == {60}
+    assert all(got[i] == i for i in range(63, len(t)))
