@@ -1,7 +1,8 @@
 """From raw documents to token ids: quality, near-duplicates, secrets, mixing, BPE.
 
 Each stage's result is written as Parquet in the shared folder and read again as the next one's documents, so a lost
-executor costs no more than a part of a stage.
+executor costs no more than a part of a stage. Files are read in any order; that of the mix is in ``slot`` and ``offset``
+of the last stage's rows, by which ``run`` sorts them.
 """
 
 from __future__ import annotations
@@ -27,4 +28,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
-    return docs
+    return docs.orderBy("slot", "offset")

@@ -228,11 +228,11 @@ def _one_kind(text: str, a: int, b: int) -> bool:
     return a >= 0 and b <= len(text) and text[a:b].isalpha() and bool(regex.fullmatch(r"\p{L}+", text[a:b]))
 
 
-def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, keep_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, keep_ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids`` and ``decoded`` of each whole text.
 
     ``vocabulary``: the contents of a byte-level vocabulary file. Null and empty texts have no ids and decode to the
-    empty text. Null ids and repeated rows are kept as they are; other columns are not read. No shuffle.
+    empty text. Null ids and repeated rows are kept as they are; other columns than ``keep`` are not read. No shuffle.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -251,10 +251,10 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
         if keep_ids:
             cols += [pa.array(coded, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
             names += ["ids", "decoded"]
-        return pa.RecordBatch.from_arrays(cols, names=names)
+        return pa.RecordBatch.from_arrays([*cols, *batch.columns[2:]], names=[*names, *keep])
 
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = over_batches(d, run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else ""))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
+    out = over_batches(d, run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "") + "".join(f", {c} {d.schema[c].dataType.simpleString()}" for c in keep))
     return out.withColumnRenamed("id", id_col)
 
 

@@ -90,18 +90,19 @@ def _place(id_col: Column) -> Column:
     return (F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(1 << 52)) / F.lit(float(1 << 52))).cast("double")
 
 
-def mixed(rows: DataFrame, weights: dict | None = None, *, default: float = 1.0, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def mixed(rows: DataFrame, weights: dict | None = None, *, default: float = 1.0, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
     """``source, block`` (within the source), ``slot`` (of the whole mix) and ``offset`` (within the block) of each row;
     order by (slot, offset) for the mix. ``weights``: by source; ``default`` for the others.
 
     A null source is a source of its own; null ids are ordinary ids. Repeated rows keep their number and get adjoining
-    offsets, in no fixed order among themselves. A source's last block may hold fewer rows. Other columns are not read.
+    offsets, in no fixed order among themselves. A source's last block may hold fewer rows. Other columns than
+    ``keep``, whose names differ from those used here, are not read.
     Ranks come from counts of hash ranges, in number a few for each shuffle partition, so that no task holds a source;
     what reaches the driver is a count for each source and for each range. Sources are the parts of a mix, some thousands
     at most: their counts and the schedule, at most LONGEST_PERIOD slots for each source, are broadcast.
     """
     spark = rows.sparkSession
-    d = rows.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source")).withColumn("place", _place(F.col("id")))
+    d = rows.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), *keep).withColumn("place", _place(F.col("id")))
     counts = {r.source: r["count"] for r in d.groupBy("source").count().collect()}
     share = whole({s: (weights or {}).get(s, default) for s in counts}) if counts else {}
     plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, share)
@@ -109,7 +110,7 @@ def mixed(rows: DataFrame, weights: dict | None = None, *, default: float = 1.0,
     total = max(1, sum(counts.values()))
     wanted = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sources = spark.createDataFrame([(s, max(1, round(wanted * n / total))) for s, n in counts.items()], "source string, ranges int")
-    d = d.join(F.broadcast(sources), d["source"].eqNullSafe(sources["source"])).select(d["id"], d["source"], "place", "ranges")
+    d = d.join(F.broadcast(sources), d["source"].eqNullSafe(sources["source"])).select(d["id"], d["source"], *keep, "place", "ranges")
     d = d.withColumn("range", F.floor(F.col("place") * F.col("ranges")).cast("int"))
     each = d.groupBy("source", "range").agg(F.count("*").alias("n"))
     before = {}
@@ -122,17 +123,17 @@ def mixed(rows: DataFrame, weights: dict | None = None, *, default: float = 1.0,
 
     # the ranges' number is bounded by that of the partitions, not by the rows
     ranked = d.withColumn("rank", F.row_number().over(Window.partitionBy("source", "range").orderBy("place", "id")) - 1)
-    ranked = ranked.join(F.broadcast(starts), ranked["source"].eqNullSafe(starts["source"]) & (ranked["range"] == starts["range"])).select("id", ranked["source"], (F.col("rank") + F.col("before")).alias("rank"))
-    ranked = ranked.select("id", "source", F.floor(F.col("rank") / block_rows).alias("block"), (F.col("rank") % block_rows).cast("int").alias("offset"))
+    ranked = ranked.join(F.broadcast(starts), ranked["source"].eqNullSafe(starts["source"]) & (ranked["range"] == starts["range"])).select("id", ranked["source"], *keep, (F.col("rank") + F.col("before")).alias("rank"))
+    ranked = ranked.select("id", "source", *keep, F.floor(F.col("rank") / block_rows).alias("block"), (F.col("rank") % block_rows).cast("int").alias("offset"))
     # of each source: the phases' first blocks, and a phase's start, period and slots
     table = [(s, [p.done[s] for p in own], [(p.start, p.length, p.slots[s]) for p in own]) for s in counts if (own := [p for p in plan if s in p.done])]
     table = spark.createDataFrame(table, "source string, first array<long>, phases array<struct<start:long,length:long,slots:array<int>>>")
-    out = ranked.join(F.broadcast(table), ranked["source"].eqNullSafe(table["source"])).select("id", ranked["source"], "block", "offset", "first", "phases")
+    out = ranked.join(F.broadcast(table), ranked["source"].eqNullSafe(table["source"])).select("id", ranked["source"], *keep, "block", "offset", "first", "phases")
     at = F.size(F.filter("first", lambda x: x <= F.col("block")))
     out = out.withColumn("phase", F.element_at("phases", at)).withColumn("j", F.col("block") - F.element_at("first", at))
     k = F.size("phase.slots")
     slot = F.col("phase.start") + F.floor(F.col("j") / k) * F.col("phase.length") + F.element_at("phase.slots", (F.col("j") % k + 1).cast("int"))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "block", slot.cast("long").alias("slot"), "offset")
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "block", slot.cast("long").alias("slot"), "offset", *keep)
 
 
 def in_order(rows: DataFrame, weights: dict | None = None, *, id_col: str = "doc_id", source_col: str = "source", **more) -> DataFrame:

@@ -80,3 +80,25 @@ def test_odd_documents(spark):
 def test_run(spark):
     got = corpus_pipeline.run(spark, DIR)
     assert got.count() > 100 and got.columns[:2] == ["doc_id", "n_tokens"]
+
+
+def test_run_is_in_the_order_of_the_mix(spark, tmp_path, monkeypatch):
+    """Several files of unequal size, the later ones larger."""
+    rows = [(i, "word " * (1 + i % 7) + str(i), f"src{i % 4}" if i % 5 else None) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    places = {r.doc_id: (r.slot, r.offset) for r in mixed(docs, DOCUMENT_WEIGHTS).collect()}
+    last = max(places.values())[0]
+    late = [i for i, p in places.items() if p[0] > last // 2]
+    docs = docs.withColumn("text", F.when(F.col("doc_id").isin(late), F.repeat("text", 20)).otherwise(F.col("text")))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == sorted(places, key=places.get)
