@@ -2,14 +2,13 @@
 
 A suffix automaton of each language's sample gives the parse: follow transitions as long as there are any, else a phrase
 ends and the next one begins at the root. Phrases are normalised by log2(sample length) / text length, so they estimate a
-cross-entropy; the language with the fewest wins. The automata become dense tables whose entries already hold the restart
-and a flag for it, so many stretches of text advance together, a symbol at a time.
+cross-entropy; the language with the fewest wins. The automata become a dense table whose entries already hold the restart
+and a flag for it, so many stretches of text advance together, a symbol at a time. With many languages or symbols the
+table holds only the transitions there are, sorted by state and symbol; what is not found restarts.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +19,8 @@ from .shared import cached, over_batches
 UNKNOWN = "und"
 #: Bounds of the labelled sample, for each language: documents, characters of a document, characters in all.
 SAMPLE_DOCS, SAMPLE_PART, SAMPLE_CHARS = 96, 1000, 1 << 15
-#: Languages at most, the most frequent ones first.
-MOST_LANGUAGES = 64
-#: Symbols that have a class of their own; rarer ones share RARE classes.
-OWN, RARE = 96, 16
+#: Bytes of the dense table of transitions at most; larger ones are kept as sorted keys.
+MOST_DENSE = 128 << 20
 #: Symbols of a stretch that is parsed by itself; longer texts have several.
 STRETCH = 512
 
@@ -68,16 +65,14 @@ class Model:
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.languages = sorted(samples)
-        count = Counter("".join(samples.values()))
-        own = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))][:OWN]
-        self.classes = len(own) + RARE
-        code = np.arange(0x110000, dtype=np.uint32)
-        self.symbol = (len(own) + code % RARE).astype(np.uint8)
+        own = sorted(set("".join(samples.values())))
+        self.classes = len(own) + 1  # the last: symbols that no sample has
+        self.symbol = np.full(0x110000, len(own), np.int32)
         self.symbol[[ord(c) for c in own]] = np.arange(len(own))
         self.log_size = np.array([np.log2(max(2, len(samples[x]))) for x in self.languages])
         self.letter = np.zeros(0x110000, bool)
         self.letter[[i for i in range(0x110000) if chr(i).isalpha()]] = True
-        tables, self.roots = [], []
+        keys, nexts, roots, sizes, self.roots = [], [], [], [], []
         base = 0
         for x in self.languages:
             states = automaton(self.symbol[np.frombuffer(samples[x].encode("utf-32-le"), np.uint32)].tolist())
@@ -85,14 +80,30 @@ class Model:
             root = np.full(self.classes, base * 2 + 1, np.int32)
             for c, to in states[0].items():
                 root[c] = (base + to) * 2 + 1
-            table = np.tile(root, (len(states), 1))
-            for s, out in enumerate(states):
-                if out:
-                    table[s, list(out)] = (base + np.fromiter(out.values(), np.int32, len(out))) * 2
-            tables.append(table)
+            many = np.fromiter(map(len, states), np.int64, len(states))
+            symbol = np.fromiter((c for out in states for c in out), np.int64, many.sum())
+            keys.append((base + np.repeat(np.arange(len(states)), many)) * self.classes + symbol)
+            nexts.append((base + np.fromiter((to for out in states for to in out.values()), np.int64, many.sum())).astype(np.int32) * 2)
+            roots.append(root)
+            sizes.append(len(states))
             self.roots.append(base)
             base += len(states)
-        self.table = np.concatenate(tables).reshape(-1) if tables else np.zeros(0, np.int32)
+        self.dense = base * self.classes * 4 <= MOST_DENSE
+        key, to = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, nexts))
+        if self.dense:
+            self.table = np.repeat(np.array(roots, np.int32).reshape(len(roots), self.classes), sizes, axis=0).reshape(-1)
+            self.table[key] = to
+        else:
+            order = np.argsort(key)
+            self.keys, self.nexts, self.restarts = key[order], to[order], np.stack(roots)
+
+    def _step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Of a row of states for each language: next state * 2, + 1 if a phrase ended."""
+        if self.dense:
+            return self.table[state * self.classes + symbol]
+        key = state.astype(np.int64) * self.classes + symbol
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.nexts[at], self.restarts[:, symbol])
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of each text (0: no letter), and the phrases that each language needs for it."""
@@ -129,7 +140,7 @@ class Model:
             m = int(active[k])
             if not m:
                 break
-            to = self.table[state[:, :m] * self.classes + symbols[at[:m] + k]]
+            to = self._step(state[:, :m], symbols[at[:m] + k])
             missed[:, :m] += to & 1
             state[:, :m] = to >> 1
         for x in range(langs):
@@ -161,14 +172,12 @@ def samples(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[
     of their ids, up to SAMPLE_PART characters of each."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     d = d.filter(F.col("id").isNotNull() & ~held_out("id") & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = d.groupBy("lang").count().collect()
     if not counts:
         return {}
     place = F.pmod(F.xxhash64(F.col("id"), F.lit(11)), F.lit(1 << 40))
-    wanted = F.lit(False)
-    for r in counts:
-        wanted = wanted | ((F.col("lang") == r["lang"]) & (place < int((1 << 40) * min(1.0, SAMPLE_DOCS / r["count"]))))
-    rows = d.filter(wanted).select("lang", place.alias("place"), F.substring("text", 1, SAMPLE_PART).alias("text")).collect()
+    below = d.sparkSession.createDataFrame([(r["lang"], int((1 << 40) * min(1.0, SAMPLE_DOCS / r["count"]))) for r in counts], "lang string, below long")
+    rows = d.join(F.broadcast(below), "lang").filter(place < F.col("below")).select("lang", place.alias("place"), F.substring("text", 1, SAMPLE_PART).alias("text")).collect()
     out: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.place, r.text)):
         part = letters_only(r.text)

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from sluice.llm.language import STRETCH, Model, automaton, letters_only, op10_langid, predict
+from sluice.llm.language import STRETCH, Model, automaton, letters_only, op10_langid, predict, samples
 
 
 def slow_phrases(text, sample):
@@ -65,3 +65,28 @@ def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     got = op10_langid(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out and lang_pred <> 'und'").toPandas()
     assert len(got) > 100 and np.mean(got.lang == got.lang_pred) > 0.97
+
+
+def test_more_languages_than_any_bound(spark):
+    """A hundred languages with letters of their own, the last ones rarer."""
+    r = random.Random(6)
+    abc = {f"l{k:03}": [chr(0x4E00 + 8 * k + j) for j in range(8)] for k in range(100)}
+    word = lambda a: "".join(r.choice(a) for _ in range(5))
+    rows = [(i, " ".join(word(abc[lang]) for _ in range(30)), lang) for i, lang in enumerate(x for k, x in enumerate(abc) for _ in range(24 if k < 64 else 16))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = samples(df, "doc_id", "text", "lang")
+    assert set(learned) == set(abc)
+    want = {i: lang for i, _, lang in rows}
+    assert all(x.lang_pred == want[x.doc_id] for x in predict(df, learned).collect())
+
+
+def test_phrases_of_many_symbols(monkeypatch):
+    r = random.Random(7)
+    abc = [chr(0x4E00 + 16 * j) for j in range(200)]
+    word = lambda n: "".join(r.choice(abc[:n]) for _ in range(r.randint(1, 6)))
+    texts = {"a": " ".join(word(200) for _ in range(500)), "b": " ".join(word(150) for _ in range(500))}
+    tried = [" ".join(word(200) for _ in range(r.randint(1, 300))) for _ in range(20)] + [texts["a"][50:300], texts["b"]]
+    want = [[slow_phrases(t, texts[x]) for x in "ab"] for t in tried]
+    for most in (1 << 27, 0):
+        monkeypatch.setattr("sluice.llm.language.MOST_DENSE", most)
+        assert Model(texts).phrases(tried)[1].tolist() == want
