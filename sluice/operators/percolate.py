@@ -220,7 +220,10 @@ def row_keys(row: Row, x: Literal, levels: list[int]) -> Column | None:
         v = value.number
         cell = lambda n: F.lit(0).cast("long") if n == OPEN else F.floor(v / F.lit(2.0**n)).cast("long")
         each = F.array(*[F.struct(F.lit(n).alias("k0"), cell(n).alias("k1"), F.lit(0).cast("long").alias("k2")) for n in levels])
-        return F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")), each)
+        if OPEN not in levels:
+            return F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")), each)
+        # an infinite value is in intervals without an end alone
+        return F.when(v.isNotNull() & ~F.isnan(v), F.when(F.abs(v) < float("inf"), each).otherwise(F.filter(each, lambda k: k["k0"] == OPEN)))
     p = value.point
     cell = lambda v, n: F.lit(0).cast("long") if n == OPEN else F.floor(v / F.lit(2.0**n)).cast("long")
     return F.when(p.isNotNull(), F.array(*[F.struct(F.lit(n).alias("k0"), cell(p["lat"], n).alias("k1"), cell(p["lon"], n).alias("k2")) for n in levels]))

@@ -131,3 +131,17 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.id, r.filter_id) for r in seen} == {(1, one), (2, two)}
+
+
+@pytest.mark.parametrize("mode", ["expression", "join", "auto"])
+def test_infinite_values(spark, mode):
+    rows = [(0, float("inf")), (1, float("-inf")), (2, float("nan")), (3, None), (4, 7.0), (5, 1e300)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    engine = Percolator(spark, seed=SEED)
+    given = {}
+    for i in range(45):
+        for f in ({"gt": i}, {"lte": -i}, {"gte": i, "lt": i + 3}):
+            given[engine.register({"range": {"v": f}})] = f
+    ops = {"gt": lambda v, x: v > x, "gte": lambda v, x: v >= x, "lt": lambda v, x: v < x, "lte": lambda v, x: v <= x}
+    got = sorted((r.id, r.filter_id) for r in engine.percolate(df, ["id"], mode=mode).collect())
+    assert got == sorted((i, key) for i, v in rows if v is not None for key, f in given.items() if all(ops[k](v, x) for k, x in f.items()))
