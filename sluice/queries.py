@@ -177,6 +177,12 @@ CASES: dict[str, Case] = {
         "match": ({"match": {"meta": {"lang": "en", "words": ["of"]}}}, "lang = 'en' and list_contains(words, 'of')"),
         "select": ({"select": {"field": "meta.words", "index": -1, "query": {"regexp": {"value": "^t"}}}}, "regexp_matches(words[-1], '^t')"),
     }),
+    "json_words": Case(frame=documents_of("documents", "doc_id", "named_struct('lang', lang, 'words', split(text, ' ')) as meta"), view="select doc_id, lang, string_split(text, ' ') as words from documents", key="doc_id", doc="doc", filters={
+        "path": ({"equals": {"meta.lang": "fr"}}, "lang = 'fr'"),
+        "array": ({"exists": 'meta.words["the"]'}, "list_contains(words, 'the')"),
+        "match": ({"match": {"meta": {"lang": "en", "words": ["of"]}}}, "lang = 'en' and list_contains(words, 'of')"),
+        "select": ({"select": {"field": "meta.words", "index": -1, "query": {"regexp": {"value": "^t"}}}}, "regexp_matches(words[-1], '^t')"),
+    }),
 }
 
 
@@ -220,12 +226,15 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.percolate(rows, ["n_nationkey"], index="named", names={keep: "keep"}).withColumnRenamed("filter_id", "filter_name")
 
 
+#: Nested documents with all words of the texts.
+FLAT = documents_of("documents", "doc_id", "named_struct('lang', lang, 'more', named_struct('source', source, 'words', split(text, ' '))) as meta", "source")
+
+
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The paths of small nested documents."""
+    """The paths of nested documents."""
     from sluice.functions.flatten import flat_fields
 
-    docs = documents_of("documents", "doc_id", "named_struct('lang', lang, 'more', named_struct('source', source, 'words', slice(split(text, ' '), 1, 2))) as meta", "source")(spark, sf_dir)
-    return flat_fields(docs, "doc", ["doc_id"], depth=4).select("doc_id", "path")
+    return flat_fields(FLAT(spark, sf_dir), "doc", ["doc_id"], depth=4).select("doc_id", "path")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: c.run for name, c in CASES.items()}
