@@ -11,6 +11,7 @@ are counted in bins, so that what the thresholds come from has a fixed size.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,16 +32,29 @@ FALSE, BINS_TEN, BINS = 0.05, 20, 600
 #: Length classes: up to 2^5, 2^6, ... symbols; the last has all longer ones.
 CLASSES = range(5, 13)
 STEP = 256
+#: Code points of a piece of a text that is cut at spans; a position beyond any text.
+PIECE, FAR = 1024, 1 << 40
+
+
+def _before(values: Column, combine: Callable[[Column, Column], Column], zero: int) -> Column:
+    """For each element of an array of longs, what stands before it combined, in steps of STEP elements: the copies that
+    growing an array makes stay short."""
+    grow = lambda a: F.aggregate(a, F.array(F.lit(zero).cast("long")), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
+    chunks = lambda a: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(a) / STEP).cast("int") - 1, F.lit(0))), lambda k: F.slice(a, k * STEP + 1, F.lit(STEP)))
+    # the array is bound once, so that no step makes it anew
+    bound = lambda a, f: F.element_at(F.transform(F.array(a), f), 1)
+    inner = lambda a: F.transform(chunks(a), grow)
+
+    def whole(parts: Column) -> Column:
+        outer = grow(F.transform(parts, lambda x: F.element_at(x, -1)))
+        return F.flatten(F.zip_with(parts, F.slice(outer, F.lit(1), F.size(outer) - 1), lambda x, o: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda v: combine(v, o))))
+
+    return bound(values, lambda a: bound(inner(a), whole))
 
 
 def _running(sizes: Column) -> Column:
-    """Sums of what stands before each element of an array of longs, in steps of STEP elements: the copies that growing an
-    array makes stay short."""
-    grow = lambda a: F.aggregate(a, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(sizes) / STEP).cast("int") - 1, F.lit(0))), lambda k: F.slice(sizes, k * STEP + 1, F.lit(STEP)))
-    inner = F.transform(parts, grow)
-    outer = grow(F.transform(inner, lambda x: F.element_at(x, -1)))
-    return F.flatten(F.zip_with(inner, F.slice(outer, F.lit(1), F.size(outer) - 1), lambda x, o: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda v: v + o)))
+    """Sums of what stands before each element."""
+    return _before(sizes, lambda a, b: a + b, 0)
 
 
 def places(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0) -> Column:
@@ -177,27 +191,54 @@ def scanned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     d = docs.select(*names, *[places(text, *kind).alias(f"kind_{i}_") for i, kind in enumerate(KINDS)], battery(places(text, RANDOM, TOKEN)).alias("tokens_"))
     base = F.sort_array(F.transform(F.concat(*[f"kind_{i}_" for i in range(len(KINDS))]), rank))
     d = d.select(*names, base.alias("base_"), "tokens_")
-    random = F.filter("tokens_", lambda t: (t["bin"] < F.element_at(limit, t["length_class"])) & ~F.exists("base_", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    d = d.select(*names, "base_", F.sort_array(F.concat("base_", F.transform(random, rank))).alias("all_"))
+    random = F.transform(F.filter("tokens_", lambda t: t["bin"] < F.element_at(limit, t["length_class"])), rank)
+    d = d.select(*names, "base_", random.alias("random_"))
+    d = d.select(*names, "base_", F.when((F.size("base_") == 0) | (F.size("random_") == 0), F.concat("base_", "random_")).otherwise(apart(F.col("base_"), F.col("random_"), len(KINDS))).alias("all_"))
     bare = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     return d.select(*names, bare("base_").alias("base"), bare("all_").alias("spans"))
 
 
+def apart(base: Column, others: Column, rank: int) -> Column:
+    """Base spans and those of the others that overlap none, sorted; all others have this rank, higher ones than base
+    spans. Spans in their order, with the furthest end of base spans before each and the next start after it: no pair is
+    looked at, so the work grows with the number of spans."""
+
+    def kept(each: Column) -> Column:
+        ends = _before(F.transform(each, lambda x: F.when(x["rank"] < rank, x["end"]).otherwise(0)), lambda a, b: F.greatest(a, b), 0)
+        starts = F.reverse(_before(F.reverse(F.transform(each, lambda x: F.when(x["rank"] < rank, x["start"]).otherwise(FAR))), lambda a, b: F.least(a, b), FAR))
+        around = F.zip_with(ends, starts, lambda e, s: F.struct(e.alias("end"), s.alias("start")))
+        both = F.zip_with(each, around, lambda x, y: F.struct(x.alias("x"), ((x["rank"] < rank) | (y["end"] <= x["start"]) & (x["end"] <= y["start"])).alias("ok")))
+        return F.transform(F.filter(both, lambda z: z["ok"]), lambda z: z["x"])
+
+    return F.element_at(F.transform(F.array(F.sort_array(F.concat(base, others))), kept), 1)
+
+
 def joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each stretch of overlapping spans replaced by the mark."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        apart = x["start"] >= acc["at"]
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(apart, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+    """The text with each stretch of overlapping spans replaced by the mark. The text is cut into pieces of PIECE code
+    points, so that finding a place takes a step of that size at most, and is put together once."""
+
+    def cut(pieces: Column, a: Column, b: Column) -> Column:
+        """From code point a to b (end exclusive)."""
+        first, last = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+        piece = lambda k: F.coalesce(F.try_element_at(pieces, k + 1), F.lit(""))
+        upto = F.substring(piece(last), 1, F.pmod(b, F.lit(PIECE)).cast("int"))
+        head = F.substring(piece(first), (F.pmod(a, F.lit(PIECE)) + 1).cast("int"), F.lit(PIECE))
+        same = F.substring(piece(first), (F.pmod(a, F.lit(PIECE)) + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+        middle = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        return F.when(first == last, same).otherwise(F.concat(head, middle, upto))
+
+    def hidden(pieces: Column) -> Column:
+        ends = _before(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b), 0)
+        each = F.zip_with(spans, ends, lambda x, at: F.struct(x["start"].alias("start"), at.alias("at")))
+        gaps = F.transform(F.filter(each, lambda x: x["start"] >= x["at"]), lambda x: F.concat(cut(pieces, x["at"], x["start"]), F.lit(mark)))
+        return F.concat(F.array_join(gaps, ""), cut(pieces, F.array_max(F.transform(spans, lambda x: x["end"])), F.lit(PIECE).cast("long") * F.size(pieces)))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, F.element_at(F.transform(F.array(pieces), hidden), 1)).otherwise(text)
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
