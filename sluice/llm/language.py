@@ -5,6 +5,10 @@ ends and the next one begins at the root. Phrases are normalised by log2(sample
 cross-entropy; the language with the fewest wins. The automata become a dense table whose entries already hold the restart
 and a flag for it, so many stretches of text advance together, a symbol at a time. With many languages or symbols the
 table holds only the transitions there are, sorted by state and symbol; what is not found restarts.
+
+A long text's stretches are parsed from the root first, each for itself. Then each is parsed from where the one before
+really ends, beside the first parse, until both are in the same state: from there on they agree. The phrases are those of
+the whole text, parsed at once.
 """
 
 from __future__ import annotations
@@ -17,11 +21,11 @@ from pyspark.sql import functions as F
 from .shared import cached, over_batches
 
 UNKNOWN = "und"
-#: Bounds of the labelled sample, for each language: documents, characters of a document, characters in all.
-SAMPLE_DOCS, SAMPLE_PART, SAMPLE_CHARS = 96, 1000, 1 << 15
+#: Bounds of the labelled sample, for each language: documents, and characters in all, which the documents share.
+SAMPLE_DOCS, SAMPLE_CHARS = 96, 1 << 15
 #: Bytes of the dense table of transitions at most; larger ones are kept as sorted keys.
 MOST_DENSE = 128 << 20
-#: Symbols of a stretch that is parsed by itself; longer texts have several.
+#: Symbols of a stretch; longer texts have several.
 STRETCH = 512
 
 
@@ -97,13 +101,13 @@ class Model:
             order = np.argsort(key)
             self.keys, self.nexts, self.restarts = key[order], to[order], np.stack(roots)
 
-    def _step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Of a row of states for each language: next state * 2, + 1 if a phrase ended."""
+    def _step(self, lang: np.ndarray, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Next state * 2, + 1 if a phrase ended; ``lang``: the number of the language that a state is of."""
         if self.dense:
             return self.table[state * self.classes + symbol]
         key = state.astype(np.int64) * self.classes + symbol
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.nexts[at], self.restarts[:, symbol])
+        return np.where(self.keys[at] == key, self.nexts[at], self.restarts[lang, symbol])
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of each text (0: no letter), and the phrases that each language needs for it."""
@@ -128,25 +132,61 @@ class Model:
         begin = np.concatenate([[0], np.cumsum(size)])
         pieces = -(-size // STRETCH)
         owner = np.repeat(np.arange(rows), pieces)
-        at = begin[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * STRETCH
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        at = begin[:-1][owner] + nth * STRETCH
         length = np.minimum(STRETCH, begin[1:][owner] - at)
         order = np.argsort(-length, kind="stable")
-        owner, at, length = owner[order], at[order], length[order]
         n = len(at)
-        state = np.tile(np.array(self.roots, np.int32)[:, None], (1, n))
-        missed = np.zeros((langs, n), np.int32)
-        active = np.searchsorted(-length, -np.arange(STRETCH), side="left")
+        roots = np.array(self.roots, np.int32)[:, None]
+        state, missed = np.tile(roots, (1, n)), np.zeros((langs, n), np.int64)
+        active = np.searchsorted(-length[order], -np.arange(STRETCH), side="left")
+        own, begins, numbers = state.copy(), at[order], np.arange(langs)[:, None]
         for k in range(STRETCH):
             m = int(active[k])
             if not m:
                 break
-            to = self._step(state[:, :m], symbols[at[:m] + k])
-            missed[:, :m] += to & 1
-            state[:, :m] = to >> 1
+            to = self._step(numbers, own[:, :m], symbols[begins[:m] + k])
+            missed[:, order[:m]] += to & 1
+            own[:, :m] = to >> 1
+        state[:, order] = own
+        self._continue(state, missed, symbols, at, length, nth)
         for x in range(langs):
-            total[:, x] = np.bincount(owner, weights=missed[x], minlength=rows).astype(np.int64) + pieces
+            total[:, x] = np.bincount(owner, weights=missed[x], minlength=rows).astype(np.int64) + (size > 0)
         return size, total
 
+    def _continue(self, end: np.ndarray, missed: np.ndarray, symbols: np.ndarray, at: np.ndarray, length: np.ndarray, nth: np.ndarray) -> None:
+        """Corrects the end states and phrases of stretches that were parsed from the root: each begins where the one
+        before it ends. ``nth``: a stretch's number in its text."""
+        start = np.tile(np.array(self.roots, np.int32)[:, None], (1, len(at)))
+        lang, of = np.nonzero(np.broadcast_to(nth > 0, start.shape))
+        while True:
+            wrong = start[lang, of] != end[lang, of - 1]
+            lang, of = lang[wrong], of[wrong]
+            if not len(of):
+                return
+            old, new = start[lang, of], end[lang, of - 1]
+            start[lang, of] = new
+            going, ended = np.arange(len(of)), np.zeros(len(of), bool)
+            more = np.zeros(len(of), np.int64)
+            for k in range(STRETCH):
+                if not len(going):
+                    break
+                now = symbols[at[of[going]] + k]
+                x, y = self._step(lang[going], old[going], now), self._step(lang[going], new[going], now)
+                more[going] += (y & 1).astype(np.int64) - (x & 1)
+                old[going], new[going] = x >> 1, y >> 1
+                apart = (x >> 1) != (y >> 1)
+                done = apart & (length[of[going]] == k + 1)
+                ended[going[done]] = True
+                going = going[apart & ~done]
+            missed[lang, of] += more
+            end[lang[ended], of[ended]] = new[ended]
+            # only stretches after one whose end has changed may be wrong now
+            lang, of = lang[ended], of[ended] + 1
+            inside = of < len(nth)
+            lang, of = lang[inside], of[inside]
+            lang, of = lang[nth[of] > 0], of[nth[of] > 0]
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score (0 to 1: how far the next language's phrases exceed the winner's) and cross-entropies."""
         size, total = self.phrases(texts)
@@ -168,22 +208,26 @@ def held_out(id_col: str):
 
 
 def samples(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, str]:
-    """Bounded labelled text of each language, from rows that are not held out: the documents with the smallest hashes
-    of their ids, up to SAMPLE_PART characters of each."""
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    """Bounded labelled text of each language, from rows that are not held out: the SAMPLE_DOCS documents with the smallest
+    hashes of their ids. These share SAMPLE_CHARS characters; of a document that is longer than its share, a passage that
+    begins at a place drawn by the same hash."""
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     d = d.filter(F.col("id").isNotNull() & ~held_out("id") & F.col("lang").isNotNull() & (F.length("text") > 0))
     counts = d.groupBy("lang").count().collect()
     if not counts:
         return {}
     place = F.pmod(F.xxhash64(F.col("id"), F.lit(11)), F.lit(1 << 40))
-    below = d.sparkSession.createDataFrame([(r["lang"], int((1 << 40) * min(1.0, SAMPLE_DOCS / r["count"]))) for r in counts], "lang string, below long")
-    rows = d.join(F.broadcast(below), "lang").filter(place < F.col("below")).select("lang", place.alias("place"), F.substring("text", 1, SAMPLE_PART).alias("text")).collect()
+    below = [(r["lang"], int((1 << 40) * min(1.0, SAMPLE_DOCS / r["count"])), SAMPLE_CHARS // min(SAMPLE_DOCS, r["count"])) for r in counts]
+    below = d.sparkSession.createDataFrame(below, "lang string, below long, part int")
+    rows = d.join(F.broadcast(below), "lang").withColumn("place", place).filter(F.col("place") < F.col("below"))
+    start = F.floor(F.col("place") / F.col("below") * F.greatest(F.length("text") - F.col("part") + 1, F.lit(1))).cast("int") + 1
+    rows = rows.select("lang", "place", F.substring("text", start, F.col("part")).alias("text")).collect()
     out: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.place, r.text)):
         part = letters_only(r.text)
         have = out.get(r.lang, "")
         if part and part not in have and len(have) < SAMPLE_CHARS:
-            out[r.lang] = (have + " " + part)[:SAMPLE_CHARS].strip()
+            out[r.lang] = f"{have} {part}".strip()[:SAMPLE_CHARS].strip()
     return {k: v for k, v in out.items() if v}
 
 

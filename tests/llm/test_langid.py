@@ -1,30 +1,38 @@
+import math
 import random
 import zlib
 
 import numpy as np
 
-from sluice.llm.language import STRETCH, Model, automaton, letters_only, op10_langid, predict, samples
+from sluice.llm.language import SAMPLE_CHARS, STRETCH, Model, automaton, letters_only, op10_langid, predict, samples
 
 
 def slow_phrases(text, sample):
-    """Greedy longest matches, a stretch at a time; a phrase ends where the next symbol can't be added, and a symbol that
-    the sample lacks opens the next one."""
+    """Greedy longest matches; a phrase ends where the next symbol can't be added, and a symbol that the sample lacks opens
+    the next one."""
     body = letters_only(text)
     if body and not text.lower()[-1].isalpha():
         body += " "
-    n = 0
-    for k in range(0, len(body), STRETCH):
-        now = ""
-        n += 1
-        for c in body[k : k + STRETCH]:
-            if now + c in sample:
-                now += c
-            else:
-                n += 1
-                now = c if c in sample else ""
+    n, now = int(bool(body)), ""
+    for c in body:
+        if now + c in sample:
+            now += c
+        else:
+            n += 1
+            now = c if c in sample else ""
     return n
 
 
+def slow_predict(text, samples):
+    """Language, score, entropies by the definition."""
+    size = len(letters_only(text)) + (bool(letters_only(text)) and not text.lower()[-1].isalpha())
+    if not size:
+        return "und", 0.0, None
+    h = {x: slow_phrases(text, s) * math.log2(max(2, len(s))) / size for x, s in samples.items()}
+    first, *rest = sorted(h, key=lambda x: (h[x], x))
+    return first, 1 - h[first] / h[rest[0]] if rest else 1.0, h
+
+
 def test_automaton_knows_substrings():
     r = random.Random(1)
     s = [r.randrange(3) for _ in range(60)]
@@ -51,6 +59,44 @@ def test_phrases_are_slow_phrases():
             assert n == slow_phrases(t, samples[lang]), (t, lang)
 
 
+def test_stretches_that_never_agree():
+    """Texts whose parse from a stretch's start differs from the whole one's for all of the stretch, or many."""
+    samples = {"a": "abc" * 7 + "x", "b": "ab" * 50, "c": "c"}
+    m = Model(samples)
+    r = random.Random(5)
+    texts = ["abc" * 3000, "a" + "abc" * 2000 + "cab" * 2000, "c" * (3 * STRETCH), "ab" * STRETCH + "z" + "ba" * STRETCH, "".join(r.choice("abcxz ") for _ in range(20_000)), "a" * STRETCH, "b" * (STRETCH + 1)]
+    _, total = m.phrases(texts)
+    assert total.tolist() == [[slow_phrases(t, samples[x]) for x in m.languages] for t in texts]
+
+
+def test_predictions_are_slow_predictions(spark):
+    r = random.Random(3)
+    word = lambda abc: "".join(r.choice(abc) for _ in range(r.randint(1, 6)))
+    learned = {k: " ".join(word(abc) for _ in range(300)) for k, abc in (("p", "abcde"), ("q", "cdefg"), ("r", "aceg"))}
+    learned |= {"s": learned["p"]}  # a tie: the one that sorts first
+    texts = [" ".join(word("abcdefgh") for _ in range(r.randint(1, 900))) for _ in range(40)] + ["", "1 2", "zz!", None, "abc " * 2000]
+    got = predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), learned).collect()
+    for x in got:
+        lang, score, h = slow_predict(texts[x.doc_id] or "", learned)
+        assert x.lang_pred == lang and abs(x.score - score) < 1e-12
+        assert h is None or all(abs(x.entropies[k] - h[k]) < 1e-9 for k in h)
+    (one,) = predict(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), {"p": "abcabc"}).collect()
+    assert (one.lang_pred, one.score) == ("p", 1.0)
+
+
+def test_samples(spark):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    free = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    long = "".join(chr(0x4E00 + i % 5000) for i in range(200_000))
+    rows = [(held, "heldout", "x", 1), (None, "noid", "x", 1), (free[0], "nolang", None, 1), (free[1], None, "x", 1), (free[2], "", "x", 1), (free[3], "word", "x", 1), (free[3], "word", "x", 1), (free[4], long, "y", 1), (free[5], "12 !", "z", 1)]
+    rows += [(i, f"many{'abcdefghij'[i % 10]} " * 100, "w", 1) for i in free[10:]]
+    got = samples(spark.createDataFrame(rows, "doc_id long, text string, lang string, id int"), "doc_id", "text", "lang")
+    assert set(got) == {"x", "y", "w"} and got["x"] == "word"
+    assert len(got["y"]) == SAMPLE_CHARS and got["y"] in long and not long.startswith(got["y"])
+    assert len(got["w"]) <= SAMPLE_CHARS
+    assert samples(spark.createDataFrame(rows, "doc_id long, text string, lang string, id int").limit(0), "doc_id", "text", "lang") == {}
+
+
 def test_frame(spark):
     df = spark.createDataFrame([(1, "abab", "x"), (1, "abab", "x"), (None, "cdcd", None), (3, None, "x"), (4, "12 .", "x"), (5, "", "x")], "doc_id long, text string, score string")
     got = predict(df, {"one": "abababab ab", "two": "cdcdcd cd"}).collect()
