@@ -15,16 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import over_batches
+from .shared import over_batches, written
 from .textbatch import ascii_lower, buffers, set_bits, span_hashes, spans, word_table
 
 #: Hashed features, a power of two, and the places of the levels of shares behind them.
 FEATURES = 1 << 18
 LEVELS, SHARES = 10, 4
-#: Labelled rows that the classifier is fitted on at most; beyond, those with the smallest hashes of their ids.
-MOST_LABELLED = 8000
-#: Features of a labelled row that reach the driver at most: those with the smallest hashes.
-MOST_FEATURES = 4000
+#: Labelled rows that the classifier is fitted on at most, and features of all of these together; beyond, the rows with the
+#: smallest hashes of their ids. A row that is taken has all its features.
+MOST_LABELLED, MOST_FEATURES = 8000, 1 << 23
 
 
 def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,8 +78,9 @@ class Model:
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, *, l1: float = 2e-4, steps: int = 400, rate: float = 0.15) -> Model:
-    """Proximal gradient with steps scaled by each feature's past gradients. No rows: weights 0, thresholds that give
-    every grade the same probability."""
+    """Proximal gradient with steps scaled by each feature's past gradients. It stops after ``steps``, as a rule before the
+    optimum, with smaller weights; with many more it reaches it. No rows: weights 0, thresholds that give every grade the
+    same probability."""
     size = FEATURES + LEVELS * SHARES
     prior = np.log(np.arange(1, n_grades) / (n_grades - np.arange(1, n_grades)))
     if not len(rows):
@@ -114,23 +114,26 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, *, l1: float
     return Model(weights, theta)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, grade: Column, *, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and grades of at most ``most`` labelled rows, on the driver. Rows without a grade or an id don't count;
-    of several grades of an id the lowest does."""
+def labelled(docs: DataFrame, labels: DataFrame, grade: Column, *, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED, most_features: int = MOST_FEATURES) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and grades of at most ``most`` labelled rows, on the driver, with at most ``most_features`` features in all
+    (one row at least). Rows without a grade or an id don't count; of several grades of an id the lowest does. Repeated ids
+    are rows of their own within these bounds; ties of the hash go by id, then by number of features."""
     rated = labels.select(F.col(id_col).cast("long").alias("id"), grade.cast("int").alias("grade")).filter("id is not null and grade is not null")
     rated = rated.groupBy("id").agg(F.min("grade").alias("grade"))
     n = rated.count()
     place = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 40))
-    rated = rated.filter(place < int((1 << 40) * min(1.0, 0.95 * most / max(1, n)))).orderBy(place, "id").limit(most)
+    rated = rated.withColumn("place", place).filter(F.col("place") < int((1 << 40) * min(1.0, 0.95 * most / max(1, n)))).orderBy("place", "id").limit(most)
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = found.join(F.broadcast(rated), "id")  # at most ``most`` rows of 12 bytes
+    found = found.join(F.broadcast(rated), "id")  # at most ``most`` rows of 20 bytes
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         index, offs = features(batch.column(1))
-        lists = [index[a : min(b, a + MOST_FEATURES)] if b - a <= MOST_FEATURES else np.concatenate([index[a : a + MOST_FEATURES], index[b - SHARES : b]]) for a, b in zip(offs[:-1], offs[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.astype(np.int32).tobytes() for x in lists], pa.binary())], names=["id", "grade", "features"])
+        raw = [index[a:b].astype(np.int32).tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(np.diff(offs), pa.int64()), pa.array(raw, pa.binary())], names=["id", "grade", "place", "n", "features"])
 
-    rows = over_batches(found, run, "id long, grade int, features binary", 1 << 20).collect()
+    table = written(over_batches(found, run, "id long, grade int, place long, n long, features binary", 1 << 20), "labelled").orderBy("place", "id", "n", "features")
+    sizes = np.cumsum([r.n for r in table.select("place", "id", "n").limit(most).collect()])
+    rows = table.limit(max(1, int(np.searchsorted(sizes, most_features, side="right")))).collect()
     rows.sort(key=lambda r: (r.id, bytes(r.features)))
     return [np.frombuffer(bytes(r.features), np.int32) for r in rows], np.array([r.grade for r in rows], np.int64)
 
