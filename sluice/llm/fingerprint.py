@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import arrow, pieces
@@ -26,6 +27,9 @@ TRIPLETS = [(0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4), (0, 1, 4), (0, 3, 4)]
 SIZE = 3 + BUCKETS // 4
 #: Most that the buckets, and the length with the quartiles, can differ by; likeness is 0 at half the first.
 MOST_BUCKETS = 6 * BUCKETS
+#: Bytes of a part, more or less, and what a row counts beside its text; cells at most, and values sampled for each.
+PART_BYTES, ROW_BYTES, MOST_CELLS, SAMPLE = 128 << 20, 64, 1 << 15, 32
+FAR = (1 << 63) - 1
 
 
 def _tables() -> list[list[bytes]]:
@@ -88,30 +92,55 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def ranges(docs: DataFrame, key: str, parts: int) -> tuple[list[int], float, float, dict[int, int]]:
-    """Ranges of a long column that hold about as many rows each: for each of 16 * parts cells of equal width the range
-    it is in (ranges fall as values fall: range 0 has the smallest), the smallest value, a cell's width, and the largest
-    value of each range. What reaches the driver is a row for each cell."""
-    low, high = docs.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return [0], 0.0, 1.0, {}
-    cells = 16 * parts
-    width = max(1.0, (float(high) - float(low)) / cells)
-    found = docs.filter(F.col(key).isNotNull()).groupBy(_cell(key, float(low), width, cells).alias("cell")).agg(F.count("*").alias("n"), F.max(key).alias("top")).collect()
-    n, top = {r.cell: r.n for r in found}, {r.cell: r.top for r in found}
-    share, at, have, of, head = max(1, sum(n.values()) / parts), 0, 0, [], {}
-    for c in range(cells):
-        if have >= share:
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of a long column: the lower bounds of cells, in order; the range of each cell (0 has the smallest values);
+    and the largest value of each range that has any."""
+
+    bounds: list[int]
+    of: list[int]
+    heads: dict[int, int]
+
+    def column(self, key: str) -> Column:
+        """The range of a row: its cell is found by halving, in a step for each bit of the number of cells."""
+        bits = max(1, len(self.bounds).bit_length())
+        bounds = _constant([*self.bounds, *[FAR] * ((1 << bits) - 1 - len(self.bounds))], "bigint")
+        step = lambda at, n: F.when((F.col(key) < F.lit(FAR)) & (F.element_at(bounds, at + n) > F.col(key)), at).otherwise(at + n)
+        cell = F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(bits))]), F.lit(0), step)
+        return F.element_at(_constant(self.of, "int"), F.least(cell, F.lit(len(self.bounds))) + 1)
+
+
+def _constant(values: list[int], kind: str) -> Column:
+    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)")
+
+
+def ranges(docs: DataFrame, key: str, size: Column, least_parts: int, part_bytes: int = PART_BYTES) -> Ranges:
+    """Ranges of a long column whose rows' sizes add up to about as much each: at least ``least_parts`` of them, so far as
+    there are values, and about ``part_bytes`` each at most, unless one value or one of MOST_CELLS cells has more. Cells are
+    bounded by quantiles of a hash sample of values, so values that lie far apart don't matter. What reaches the driver is
+    the sample, SAMPLE values for each cell, and a row for each cell."""
+    known = docs.filter(F.col(key).isNotNull())
+    n, total = known.agg(F.count("*"), F.sum(size)).first()
+    if not n:
+        return Ranges([], [0], {})
+    parts = max(least_parts, -(-total // part_bytes))
+    cells = min(MOST_CELLS, 8 * parts)
+    share = min(1.0, SAMPLE * cells / n)
+    place = F.pmod(F.xxhash64(key, F.lit(13)), F.lit(1 << 40))
+    sample = sorted(r[0] for r in known.filter(place < int((1 << 40) * share)).select(key).collect())
+    bounds = sorted({sample[len(sample) * k // cells] for k in range(1, cells)}) if sample else []
+    found = known.groupBy(Ranges(bounds, list(range(len(bounds) + 1)), {}).column(key).alias("cell")).agg(F.sum(size).alias("size"), F.max(key).alias("top")).collect()
+    each = {r.cell: r for r in found}
+    goal, at, have, of, heads = max(1, total / parts), 0, 0, [], {}
+    for c in range(len(bounds) + 1):
+        own = each[c].size if c in each else 0
+        if have and have + own > goal:
             at, have = at + 1, 0
         of.append(at)
-        have += n.get(c, 0)
-        if c in top:
-            head[at] = max(top[c], head.get(at, top[c]))
-    return of, float(low), width, head
-
-
-def _cell(key: str, low: float, width: float, cells: int):
-    return F.least(F.lit(cells - 1), F.floor((F.col(key).cast("double") - F.lit(low)) / F.lit(width)).cast("int"))
+        have += own
+        if c in each:
+            heads[at] = each[c].top
+    return Ranges(bounds, of, heads)
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_texts: bool = True) -> DataFrame:
@@ -120,25 +149,25 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Null texts count as empty. Rows with equal ids stand in the order of their texts. A row with a null id has no next:
     its second half goes and ``near_next`` is null. A single row is its own next. Other columns are not read. One shuffle
-    of the texts, by ranges of ids; a range also gets the one row that follows its last.
+    of the texts, by ranges of ids of about as many bytes each; a range also gets the one row that follows its last. Rows
+    with one id are in one part, which streams them.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    of, low, width, head = ranges(d.select("id"), "id", 2 * parts)
-    heads = sorted(head)
+    found = ranges(d, "id", F.octet_length("text").cast("long") + ROW_BYTES, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    heads = sorted(found.heads)
+    count = max(found.of) + 1
     #: The range whose last row is followed by the head of this one.
     copy_to = {heads[k]: heads[(k + 1) % len(heads)] for k in range(len(heads))}
-    table = F.expr(f"cast(split('{','.join(map(str, of))}', ',') as array<int>)")
-    own = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.element_at(table, _cell("id", low, width, len(of)) + 1))
-    d = d.withColumn("range", own)
-    known = F.expr(f"cast(split('{','.join(str(head.get(k, 0)) for k in range(max(of) + 1))}', ',') as array<bigint>)")
-    target = F.expr(f"cast(split('{','.join(str(copy_to.get(k, 0)) for k in range(max(of) + 1))}', ',') as array<int>)")
+    d = d.withColumn("range", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(found.column("id")))
+    known = _constant([found.heads.get(k, 0) for k in range(count)], "bigint")
+    target = _constant([copy_to.get(k, 0) for k in range(count)], "int")
     leads = (F.col("range") >= 0) & (F.col("id") == F.element_at(known, F.col("range") + 1))
     places = F.when(leads, F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("extra")), F.struct(F.element_at(target, F.col("range") + 1).alias("range"), F.lit(True).alias("extra")))).otherwise(F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("extra"))))
     dealt = d.withColumn("place", F.explode(places)).select(F.col("place.range").alias("range"), F.col("place.extra").alias("extra"), "id", "text")
-    # rows without an id have no neighbours: they are dealt by their text
-    dealt = dealt.repartition(parts, "range", F.when(F.col("range") < 0, F.xxhash64("text")))
+    # a part for each range; rows without an id have no neighbours: they are dealt by their text
+    part = F.when(F.col("range") < 0, F.pmod(F.xxhash64("text"), F.lit(count)).cast("int")).otherwise(F.col("range"))
+    dealt = dealt.repartitionById(count, part)
     dealt = dealt.sortWithinPartitions("range", "extra", F.desc("id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from sluice.llm.fingerprint import BUCKETS, TABLES, TRIPLETS, fingerprints, likeness, of_texts
+from sluice.llm.fingerprint import BUCKETS, FAR, TABLES, TRIPLETS, Ranges, fingerprints, likeness, of_texts, ranges
 
 
 def slow_digest(text: str) -> bytes:
@@ -55,3 +56,44 @@ def test_frame(spark):
     assert fingerprints(df.limit(0)).count() == 0
     one = fingerprints(spark.createDataFrame([(7, "abcdef")], "doc_id long, text string")).first()
     assert one.edited_text == "abcabc" and one.near_next == 1.0
+
+
+def test_ranges_of_any_values(spark):
+    """Even sizes, whatever the values: one outlier, negative ones, the largest long; a hot value has a range."""
+    for ids in ([*range(10_000), 1 << 60], [*range(-5000, 0), -(1 << 63), FAR], [x * x * x for x in range(3000)], [7] * 2000 + list(range(4000))):
+        df = spark.createDataFrame([(x,) for x in ids], "id long").repartition(4)
+        found = ranges(df, "id", F.lit(1).cast("long"), 16)
+        got = [(r.id, r.range) for r in df.select("id", found.column("id").alias("range")).collect()]
+        assert [x for _, x in sorted(got)] == sorted(x for _, x in got)
+        sizes = {}
+        for i, x in got:
+            sizes.setdefault(x, []).append(i)
+        assert found.heads == {x: max(v) for x, v in sizes.items()} and len(sizes) >= 8
+        assert max(len(set(v)) for v in sizes.values()) < len(ids) / 5
+    assert Ranges([], [0], {}) == ranges(df.limit(0), "id", F.lit(1).cast("long"), 16)
+    sized = ranges(df, "id", F.lit(1 << 20).cast("long"), 2, 100 << 20)
+    assert max(sized.of) + 1 >= 40
+
+
+def test_query_columns(spark):
+    """What plain Python says of the contract's columns, over the whole table."""
+    from sluice.llm.fingerprint import op4_fingerprint
+
+    docs = sorted(((x.doc_id, x.text or "") for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()), reverse=True)
+    got = {x.doc_id: x for x in op4_fingerprint(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(docs)
+    for k, (i, x) in enumerate(docs):
+        n = docs[(k + 1) % len(docs)][1]
+        e = x[: len(x) - len(x) // 2] + n[: len(x) // 2]
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(x), hashlib.sha256(e.encode()).hexdigest())
+
+
+def test_very_long_text(spark):
+    """Megabytes in a row are one text: the digest of the whole, not of pieces."""
+    r = random.Random(8)
+    long = "".join(r.choice("abcd é\n") for _ in range(50_000)) * 60
+    rows = [(1, long), (2, long[:-1]), (3, "x"), (4, long)]
+    got = {x.doc_id: x for x in fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), keep_texts=False).collect()}
+    assert got[1].fingerprint == got[4].fingerprint == bytes(of_texts([long])[0]).hex() and got[1].n_chars == len(long)
+    e = long[: len(long) - len(long) // 2] + "x"  # 4 is followed by 3
+    assert got[4].edited_sha256 == hashlib.sha256(e.encode()).hexdigest() and got[2].near_next > 0.95
