@@ -26,6 +26,7 @@ PHRASES = {"mit license": "mit", "apache license": "apache", "general public lic
 
 #: Words of public licences and their usual notices, by label.
 TEMPLATES = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("mit", "this project is licensed under the terms of the mit license"),
@@ -41,6 +42,16 @@ TEMPLATES = [
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required altered source versions must be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution"),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"),
+    ("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide this software is distributed without any warranty"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed do what the fuck you want to public license terms and conditions for copying distribution and modification you just do what the fuck you want to"),
 ]
 
 #: Words of a run that a chain is made of; share of a template that a chain covers at least; words at least.
@@ -134,6 +145,8 @@ class Scanner:
         vocabulary = sorted({w for part in split for words in part for w in words})
         number = {w: i for i, w in enumerate(vocabulary)}
         self.size = [len(t) for t in split[0]]
+        #: Shorter stretches of known words can hold neither a phrase nor a run.
+        self.least = min([LEAST_RUN, *(len(p) for p in split[1] if p)])
         self.automaton = Automaton(*([[number[w] for w in words] for words in part] for part in split))
         data, offs = buffers(pa.array(vocabulary))
         own = span_hashes(data, offs[:-1], offs[1:])
@@ -162,7 +175,7 @@ class Scanner:
         states, sizes = self.automaton.states, self.automaton.phrase_words
         number = number.tolist()
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if b - a < 2:
+            if b - a < self.least:
                 continue
             r, from_word = int(row[a]), int(at[a] - first[row[a]])
             mine, before = out[r], (0, 0)
@@ -205,9 +218,21 @@ class Scanner:
         return sorted(set(done), key=lambda x: (x[1], x[0]))
 
 
+def best(spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """Without spans that lie within one of another label that covers a larger share of its template: licences that differ
+    in a few words. A sweep that keeps the spans which have not ended, at most some for each template."""
+    out, active = [], []
+    for x in sorted(spans, key=lambda x: (x[1], -x[2], -x[3], x[0])):
+        active = [y for y in active if y[2] > x[1]]
+        if not any(y[2] >= x[2] and y[3] > x[3] and y[0] != x[0] for y in active):
+            out.append(x)
+        active.append(x)
+    return sorted(out, key=lambda x: (x[1], x[0]))
+
+
 def scan(docs: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each text: ``n_words``, ``phrases`` (word at which each place starts, label) and ``spans`` (label, first word,
-    end word, covered share of the template).
+    end word, covered share of the template; see ``best``).
 
     Words are runs of ASCII digits and letters (A-Z lower-cased) and of all other non-ASCII characters. Null texts count
     as empty: no words, no spans. Rows are kept as they are, repeated or with null ids; other columns are not read. No
@@ -222,7 +247,7 @@ def scan(docs: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, phras
             batch.column(0),
             pa.array([x["n_words"] for x in found], pa.int64()),
             pa.array([[{"word": w, "label": scanner.phrase_labels[p]} for w, p in sorted(x["base"])] for x in found], pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))),
-            pa.array([[dict(zip(("label", "word", "end", "share"), s, strict=True)) for s in scanner.spans_of(x["runs"])] for x in found], pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("end", pa.int64()), ("share", pa.float64())]))),
+            pa.array([[dict(zip(("label", "word", "end", "share"), s, strict=True)) for s in best(scanner.spans_of(x["runs"]))] for x in found], pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("end", pa.int64()), ("share", pa.float64())]))),
         ]
         return pa.RecordBatch.from_arrays(cols, names=["id", "n_words", "phrases", "spans"])
 
