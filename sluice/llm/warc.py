@@ -3,16 +3,22 @@
 An archive is a row: its name and its bytes, the contents of one .warc.gz file of about ``roll`` bytes. ``write`` puts
 archives in a table in the shared folder, so a lost task is written again as a whole; ``read`` reads such rows, or those
 of Spark's ``binaryFile`` source over real .warc.gz files. The reader takes an archive's bytes in blocks, inflates them
-member by member, frames each record by its Content-Length and checks its digests.
+member by member and a bounded piece at a time, frames each record by its Content-Length and checks its digests, of any
+algorithm and spelling that it knows. What is not wanted of a record is not kept.
+
+Records of ``write`` are named ``urn:x-row:<id>:<digest>``, so a revisit's WARC-Refers-To has its response's id, and the
+HTTP header that a revisit holds has the payload's length. There are no headers of our own.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +28,15 @@ from .shared import arrow, pieces, written
 
 #: Compressed bytes after which an archive ends, and bytes that the reader inflates at a time.
 ROLL, BLOCK = 4 << 20, 1 << 16
+#: Bytes that come out of inflation at a time, and those of a record's headers at most.
+INFLATED, MOST_HEAD = 1 << 20, 1 << 20
 #: Payloads below this many bytes are never replaced by a reference to an equal one.
 LEAST_REVISIT = 100
 #: Fixed values of the format.
 VERSION, GZIP = b"WARC/1.1", 31
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+#: Digests that are checked, by the names that archives give them; others are passed over.
+DIGESTS = {"md5": "md5", "sha1": "sha1", "sha-1": "sha1", "sha256": "sha256", "sha-256": "sha256", "sha384": "sha384", "sha-384": "sha384", "sha512": "sha512", "sha-512": "sha512"}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -36,13 +46,38 @@ class BadArchive(ValueError):
 
 @dataclass
 class Record:
+    """``http``: the header of the HTTP message in the block, if it has one. ``payload``: its body, else the block; empty
+    where it was not to be kept. ``payload_bytes`` is its length either way, that of what a revisit stands for."""
+
     headers: dict[str, str]
-    block: bytes
+    http: bytes = b""
+    payload: bytes = b""
+    payload_bytes: int | None = None
+    payload_sha256: str = ""
+
+    def row(self, urn: str) -> int | None:
+        found = re.fullmatch(r"<?urn:x-row:(-?\d+):[0-9a-f]+>?", urn)
+        return int(found[1]) if found else None
+
+
+class Digest:
+    """A digest as archives write it, in hex or base 32, to be fed. ``ok`` is true where the algorithm is not known."""
+
+    def __init__(self, written: str | None) -> None:
+        name, colon, self.value = (written or "").partition(":")
+        known = DIGESTS.get(name.strip().lower()) if colon else None
+        self.hash = hashlib.new(known) if known else None
+
+    def feed(self, data: bytes) -> None:
+        if self.hash:
+            self.hash.update(data)
 
     @property
-    def payload(self) -> bytes:
-        """The body of the HTTP message in the block; empty if there is none."""
-        return self.block.partition(b"\r\n\r\n")[2] if self.headers.get("content-type", "").startswith("application/http") else self.block
+    def ok(self) -> bool:
+        if not self.hash:
+            return True
+        value = self.value.strip()
+        return value.lower() == self.hash.hexdigest() or value.upper().rstrip("=") == base64.b32encode(self.hash.digest()).decode().rstrip("=")
 
 
 def record_bytes(kind: str, record_id: str, url: str, payload: bytes, digest: str, extra: dict[str, str]) -> bytes:
@@ -50,7 +85,7 @@ def record_bytes(kind: str, record_id: str, url: str, payload: bytes, digest: st
     block = HTTP % len(payload) + (payload if kind == "response" else b"")
     headers = {
         "WARC-Type": kind,
-        "WARC-Record-ID": f"<urn:uuid:{record_id}>",
+        "WARC-Record-ID": f"<{record_id}>",
         "WARC-Date": "1970-01-01T00:00:00Z",
         "WARC-Target-URI": url,
         "WARC-Payload-Digest": f"sha256:{digest}",
@@ -63,6 +98,11 @@ def record_bytes(kind: str, record_id: str, url: str, payload: bytes, digest: st
     return packer.compress(VERSION + b"\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
+def urn(row: int | None, digest: str) -> str:
+    """The name of a row's record; rows without an id have one by their payload."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, digest)}" if row is None else f"urn:x-row:{row}:{digest[:32]}"
+
+
 def one_line(x: str | None) -> str:
     """A header's value: controls, which would end it, become percent escapes."""
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in (x or ""))
@@ -96,10 +136,8 @@ def write(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", pa
             for piece in pieces(batch, 1 << 20):
                 for i, url, payload, digest, refers in zip(*(c.to_pylist() for c in piece.columns), strict=True):
                     body = payload.encode()
-                    extra = {"X-Id": "" if i is None else str(i), "X-Payload-Length": str(len(body))}
-                    if refers is not None:
-                        extra |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{refers}:{digest}')}>", "X-Refers-To-Id": str(refers)}
-                    data = record_bytes("response" if refers is None else "revisit", str(uuid.uuid5(uuid.NAMESPACE_URL, f"{i}:{digest}")), one_line(url), body, digest, extra)
+                    extra = {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<{urn(refers, digest)}>"} if refers is not None else {}
+                    data = record_bytes("response" if refers is None else "revisit", urn(i, digest), one_line(url), body, digest, extra)
                     parts.append(data)
                     size += len(data)
                     if size >= roll:
@@ -112,46 +150,100 @@ def write(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", pa
     return written(arrow(d, run, "archive string, data binary"), "archives")
 
 
-def records(data: bytes | memoryview, block: int = BLOCK) -> Iterator[Record]:
-    """The records of an archive, from ``block`` bytes of it at a time."""
+def records(data: bytes | memoryview, block: int = BLOCK, keep_payload: bool = True) -> Iterator[Record]:
+    """The records of an archive, from ``block`` bytes of it at a time. Without ``keep_payload`` payloads are only measured
+    and digested, so memory is bounded whatever a record's length."""
     view = memoryview(data)
     at, n = 0, len(view)
     while at < n:
-        inflate = zlib.decompressobj(GZIP)
-        got = bytearray()
-        head_end, headers, length = -1, {}, 0
+        inflate, frame = zlib.decompressobj(GZIP), Frame(keep_payload)
         while not inflate.eof:
-            if at >= n:
+            if at >= n and not inflate.unconsumed_tail:
                 raise BadArchive("the last member is cut off")
-            chunk = view[at : at + block]
-            at += len(chunk)
+            chunk = inflate.unconsumed_tail or view[at : at + block]
+            if not inflate.unconsumed_tail:
+                at += len(chunk)
             try:
-                got += inflate.decompress(chunk)
+                frame.feed(inflate.decompress(chunk, INFLATED))
             except zlib.error as e:
                 raise BadArchive(f"not a gzip member: {e}") from None
-            if head_end < 0 and (head_end := got.find(b"\r\n\r\n")) >= 0:
-                headers = _headers(bytes(got[:head_end]))
-                length = int(headers["content-length"])
-            if head_end >= 0 and len(got) > head_end + 8 + length:
-                raise BadArchive("a record is longer than its Content-Length")
         at -= len(inflate.unused_data)
-        if head_end < 0 or len(got) != head_end + 8 + length or got[-4:] != b"\r\n\r\n":
+        yield frame.end()
+
+
+@dataclass
+class Frame:
+    """One record that comes in pieces: headers, Content-Length bytes of block, and a blank line."""
+
+    keep_payload: bool
+    got: bytearray = field(default_factory=bytearray)
+    record: Record | None = None
+    left: int = 0
+    in_http: bool = False
+
+    def feed(self, data: bytes) -> None:
+        self.got += data
+        if self.record is None:
+            end = self.got.find(b"\r\n\r\n")
+            if end < 0:
+                if len(self.got) > MOST_HEAD:
+                    raise BadArchive("a record without an end of its headers")
+                return
+            self._begin(_headers(bytes(self.got[:end])))
+            del self.got[: end + 4]
+        if self.left:
+            part = bytes(self.got[: self.left])
+            del self.got[: self.left]
+            self.left -= len(part)
+            self.block_digest.feed(part)
+            self._block(part)
+        if not self.left and len(self.got) > 4:
+            raise BadArchive("a record is longer than its Content-Length")
+
+    def _begin(self, headers: dict[str, str]) -> None:
+        self.record, self.left = Record(headers), int(headers["content-length"])
+        self.in_http = headers.get("content-type", "").startswith("application/http")
+        self.revisit = headers["warc-type"] == "revisit"
+        self.block_digest, self.payload_digest = Digest(headers.get("warc-block-digest")), Digest(None if self.revisit else headers.get("warc-payload-digest"))
+        self.sha256, self.size, self.parts, self.http = hashlib.sha256(), 0, [], b""
+
+    def _block(self, part: bytes) -> None:
+        if self.in_http:
+            self.http += part
+            head, blank, part = self.http.partition(b"\r\n\r\n")
+            if not blank:
+                return
+            self.http, self.in_http = head, False
+        self.size += len(part)
+        self.payload_digest.feed(part)
+        self.sha256.update(part)
+        if self.keep_payload:
+            self.parts.append(part)
+
+    def end(self) -> Record:
+        r = self.record
+        if r is None or self.left or self.got != b"\r\n\r\n":
             raise BadArchive("a record and its Content-Length differ")
-        record = Record(headers, bytes(got[head_end + 4 : -4]))
-        if (want := headers.get("warc-block-digest")) and want != f"sha256:{hashlib.sha256(record.block).hexdigest()}":
+        if not self.block_digest.ok:
             raise BadArchive("a block's digest differs")
-        if headers["warc-type"] != "revisit" and (want := headers.get("warc-payload-digest")) and want != f"sha256:{hashlib.sha256(record.payload).hexdigest()}":
+        if not self.payload_digest.ok:
             raise BadArchive("a payload's digest differs")
-        yield record
+        r.http, r.payload, r.payload_sha256 = self.http, b"".join(self.parts), self.sha256.hexdigest()
+        r.payload_bytes = self.size
+        if self.revisit and not self.size:  # the length is that of the message it stands for
+            told = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", r.http)
+            r.payload_bytes = int(told[1]) if told else None
+        return r
 
 
 def _headers(head: bytes) -> dict[str, str]:
-    first, *lines = head.split(b"\r\n")
+    """Names in lower case; a line that begins with a blank goes on with the one before."""
+    first, *lines = re.sub(rb"\r\n[ \t]+", b" ", head).split(b"\r\n")
     if not first.startswith(b"WARC/"):
         raise BadArchive("a record does not begin with WARC/")
     out = {}
     for line in lines:
-        name, colon, value = line.decode().partition(":")
+        name, colon, value = line.decode("utf-8", "replace").partition(":")
         if not colon:
             raise BadArchive("a header without a colon")
         out[name.strip().lower()] = value.strip()
@@ -161,28 +253,44 @@ def _headers(head: bytes) -> dict[str, str]:
 
 
 def read(archives: DataFrame, *, data_col: str = "data", name_col: str = "archive", keep_payload: bool = True) -> DataFrame:
-    """A row for each record: archive, record_type, id, url, payload_bytes and payload_digest (of the full payload),
-    refers_to, and, if asked for, the payload itself (empty for revisits). Null and empty archives have no records; a bad
-    one stops the job. A task holds one archive at a time."""
+    """A row for each record: archive, record_type, id and refers_to (of rows that ``write`` has written, else null),
+    record_id and refers_to_record (as written there), url, payload_bytes, payload_digest (bare hexadecimal SHA-256 of the
+    full payload; of a revisit that its header has, if it is one), and, if asked for, the payload itself (empty for
+    revisits). Null and empty archives have no records; a bad one stops the job. A task holds one archive at a time, as
+    Spark's binary cells are whole, and a record's payload only if it is asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1), strict=True):
-                rows = []
-                if data.is_valid:
-                    for r in records(memoryview(data.as_buffer())):
-                        h = r.headers
-                        size = len(r.payload) if h["warc-type"] != "revisit" else int(h.get("x-payload-length") or 0)
-                        rows.append((name.as_py(), h["warc-type"], int(h["x-id"]) if h.get("x-id") else None, h.get("warc-target-uri"), size, h.get("warc-payload-digest", "").removeprefix("sha256:"), int(h["x-refers-to-id"]) if h.get("x-refers-to-id") else None, *([r.payload.decode("utf-8", "replace")] if keep_payload else [])))
+                rows, size = [], 0
+                for r in records(memoryview(data.as_buffer()), keep_payload=keep_payload) if data.is_valid else ():
+                    rows.append(described(name.as_py(), r))
+                    size += len(r.payload)
+                    if size > 1 << 22 or len(rows) == 4096:
+                        yield made(rows)
+                        rows, size = [], 0
                 if rows:
-                    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names=NAMES[: len(rows[0])])
-
-    schema = "archive string, record_type string, id long, url string, payload_bytes long, payload_digest string, refers_to long" + ", payload string" * keep_payload
+                    yield made(rows)
+
+    def described(name: str, r: Record) -> tuple:
+        h = r.headers
+        digest = r.payload_sha256
+        if h["warc-type"] == "revisit":
+            told = re.fullmatch(r"(?i)sha-?256:([0-9a-f]{64})", h.get("warc-payload-digest", ""))
+            digest = told[1].lower() if told else None
+        own, refers = h.get("warc-record-id", ""), h.get("warc-refers-to")
+        text = [r.payload.decode("utf-8", "replace")] if keep_payload else []
+        return name, h["warc-type"], r.row(own), h.get("warc-target-uri"), r.payload_bytes, digest, r.row(refers or ""), own.strip("<>"), refers.strip("<>") if refers else None, *text
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names=NAMES[: len(rows[0])])
+
+    schema = "archive string, record_type string, id long, url string, payload_bytes long, payload_digest string, refers_to long, record_id string, refers_to_record string" + ", payload string" * keep_payload
     return arrow(archives.select(F.col(name_col).alias("archive"), F.col(data_col).alias("data")), run, schema)
 
 
-NAMES = ["archive", "record_type", "id", "url", "payload_bytes", "payload_digest", "refers_to", "payload"]
+NAMES = ["archive", "record_type", "id", "url", "payload_bytes", "payload_digest", "refers_to", "record_id", "refers_to_record", "payload"]
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
+import base64
 import gzip
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import pytest
@@ -13,7 +15,7 @@ def sample(n=30):
     out = []
     for i in range(n):
         body = bytes(r.randrange(256) for _ in range(r.choice([0, 1, 99, 100, 5000, 70_000])))
-        out.append((body, record_bytes("response", f"id{i}", f"http://x/{i}", body, hashlib.sha256(body).hexdigest(), {})))
+        out.append((body, record_bytes("response", f"urn:x:{i}", f"http://x/{i}", body, hashlib.sha256(body).hexdigest(), {})))
     return out
 
 
@@ -24,6 +26,7 @@ def test_reader(block):
     got = list(records(data, block))
     assert [r.payload for r in got] == [b for b, _ in s]
     assert [r.headers["warc-target-uri"] for r in got] == [f"http://x/{i}" for i in range(len(s))]
+    assert [(r.payload, r.payload_bytes, r.payload_sha256) for r in records(data, block, keep_payload=False)] == [(b"", len(b), hashlib.sha256(b).hexdigest()) for b, _ in s]
     assert gzip.decompress(data).count(b"WARC/1.1\r\n") >= len(s)
     assert list(records(b"", block)) == []
 
@@ -48,3 +51,44 @@ def test_frame(spark):
         assert r.record_type == ("response" if want[1] is None else "revisit") and r.payload == (want[0] if want[1] is None else "")
     assert got.count() == len(rows) and got.select("archive").distinct().count() > 1
     assert read(write(df.limit(0))).count() == 0
+
+
+def foreign(headers, block, tail=b"\r\n\r\n"):
+    """A record as other writers make them."""
+    head = "".join(f"{k}: {v}\r\n" for k, v in headers.items())
+    return gzip.compress(b"WARC/1.0\r\n" + head.encode() + b"Content-Length: %d\r\n\r\n" % len(block) + block + tail)
+
+
+def test_foreign_files(spark, tmp_path):
+    """Files by binaryFile: base 32 and unknown digests, folded headers, references by record id, records without HTTP."""
+    body = "<html>été</html>".encode() * 20
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nCONTENT-LENGTH: %d\r\n\r\n" % len(body)
+    b32 = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+    info = foreign({"WARC-Type": "warcinfo", "WARC-Record-ID": "<urn:uuid:0>", "Content-Type": "application/warc-fields"}, b"software: x\r\n")
+    page = foreign({"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:1>", "WARC-Target-URI": "http://x/1", "Content-Type": "application/http;\r\n\tmsgtype=response", "WARC-Payload-Digest": f"sha1:{b32(body)}", "WARC-Block-Digest": f"SHA1:{b32(http + body).lower()}"}, http + body)
+    again = foreign({"warc-type": "revisit", "WARC-Record-ID": "<urn:uuid:2>", "WARC-Refers-To": "<urn:uuid:1>", "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha1:{b32(body)}"}, http)
+    odd = foreign({"WARC-Type": "resource", "WARC-Record-ID": "<urn:uuid:3>", "WARC-Block-Digest": "blake3:00", "WARC-Payload-Digest": f"md5:{hashlib.md5(b'abc').hexdigest()}"}, b"abc")
+    (tmp_path / "a.warc.gz").write_bytes(info + page + again)
+    (tmp_path / "b.warc.gz").write_bytes(odd)
+    (tmp_path / "empty.warc.gz").write_bytes(b"")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    got = {x.record_id: x for x in read(files, data_col="content", name_col="path").collect()}
+    assert sorted(got) == ["urn:uuid:0", "urn:uuid:1", "urn:uuid:2", "urn:uuid:3"]
+    assert got["urn:uuid:1"].payload.encode() == body and got["urn:uuid:1"].payload_digest == hashlib.sha256(body).hexdigest()
+    r = got["urn:uuid:2"]
+    assert (r.record_type, r.refers_to_record, r.payload_bytes, r.payload, r.id, r.refers_to, r.payload_digest) == ("revisit", "urn:uuid:1", len(body), "", None, None, None)
+    assert got["urn:uuid:3"].payload == "abc" and got["urn:uuid:0"].payload_bytes == 13
+    for bad in (foreign({"WARC-Type": "resource", "WARC-Block-Digest": f"sha1:{b32(b'other')}"}, b"abc"), foreign({"WARC-Type": "resource"}, b"abc", b"\r\n"), gzip.compress(b"WARC/1.0\r\n" + b"x" * (3 << 20))):
+        with pytest.raises(BadArchive):
+            list(records(bad))
+
+
+def test_inflation_is_bounded():
+    """A record of 200 MB in 200 KB of gzip: measured and digested without being held."""
+    block = b"0" * (200 << 20)
+    data = foreign({"WARC-Type": "resource", "WARC-Block-Digest": f"sha256:{hashlib.sha256(block).hexdigest()}"}, block)
+    tracemalloc.start()
+    (r,) = records(data, keep_payload=False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert r.payload_bytes == len(block) and peak < 16 << 20
