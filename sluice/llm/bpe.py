@@ -1,7 +1,9 @@
 """BPE encoding and decoding, with long texts encoded by tree concatenation.
 
-A text is first cut at the vocabulary's special strings. A stretch longer than ``leaf`` is halved again and again; the
-leaves of all texts are encoded in one batch, so halves run in parallel, and neighbours are joined bottom-up. At a join a
+A text is first cut at the vocabulary's special strings. A stretch longer than ``leaf`` is halved again and again, the
+leaves are encoded by themselves, and neighbours are joined bottom-up. The leaves of a text longer than ``spread`` are rows
+of a stage of their own, so its halves run in parallel on all executors; those of shorter texts, of which a task has many
+anyway, run one after the other in one worker. The two ways give the same ids. At a join a
 window of tokens on both sides is encoded anew and grown until its outermost tokens agree with both sides. The window's
 text then starts and ends where tokens surely start and end: at an end of the stretch, where white space follows
 something else, or inside one run of a single kind of character, where merges alone decide and equal outer tokens make
@@ -14,6 +16,7 @@ import hashlib
 import json
 import os
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -21,10 +24,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cached, over_batches
+from .shared import arrow, cached, over_batches, written
 
 #: Characters (code points) of a leaf; texts above it are halved.
 LEAF = 1 << 14
+#: Code points above which a text's leaves are dealt to all executors.
+SPREAD = 1 << 18
 #: Code points on each side of a join to begin with.
 WINDOW = 64
 #: Pieces whose ids a worker remembers at most.
@@ -104,36 +109,42 @@ class Codec:
     def encode_many(self, texts: list[str], leaf: int = LEAF, window: int = WINDOW) -> list[list[int]]:
         """Ids of each text."""
         parts: list[str] = []
-        plans: list[list] = []
+        plans: list[list[tuple[int, int, int]]] = []
         for text in texts:
-            if len(text) <= leaf:
-                plans.append([len(parts)])
-                parts.append(text)
-                continue
-            plan: list = []
-            for piece in self.special.split(text) if self.special else [text]:
-                if piece in self.added:
-                    plan.append((self.added[piece],))
-                elif piece:
-                    cuts = _halves(len(piece), leaf)
-                    plan.append((piece, cuts, len(parts)))
-                    parts.extend(piece[a:b] for a, b in cuts)
+            plan = []
+            for special, leaves in self.cut(text, leaf):
+                plan.append((special, len(parts), len(leaves)))
+                parts += leaves
             plans.append(plan)
         coded = self.leaves(parts)
-        out = []
-        for plan in plans:
-            if len(plan) == 1 and isinstance(plan[0], int):
-                out.append(coded[plan[0]])
-                continue
-            ids: list[int] = []
-            for step in plan:
-                if len(step) == 1:
-                    ids.append(step[0])
-                else:
-                    piece, cuts, at = step
-                    ids += self._tree(piece, cuts, coded[at : at + len(cuts)], window)
-            out.append(ids)
-        return out
+        return [self.joined([(special, parts[at : at + n], coded[at : at + n]) for special, at, n in plan], window) for plan in plans]
+
+    def cut(self, text: str, leaf: int = LEAF) -> Iterator[tuple[int, list[str]]]:
+        """The stretches of a text: the id of a special string and no leaves, or -1 and the leaves between two of them. A
+        text that is a leaf itself stays whole, special strings and all."""
+        if len(text) <= leaf:
+            yield -1, [text]
+            return
+        for piece in self.special.split(text) if self.special else [text]:
+            if piece in self.added:
+                yield self.added[piece], []
+            elif piece:
+                yield -1, [piece[a:b] for a, b in _halves(len(piece), leaf)]
+
+    def joined(self, stretches: list[tuple[int, list[str], list[list[int]]]], window: int = WINDOW) -> list[int]:
+        """Ids of a text from those of its stretches' leaves."""
+        ids: list[int] = []
+        for special, leaves, coded in stretches:
+            if special >= 0:
+                ids.append(special)
+            elif len(leaves) == 1:
+                ids += coded[0]
+            else:
+                at = [0]
+                for x in leaves:
+                    at.append(at[-1] + len(x))
+                ids += self._tree("".join(leaves), list(zip(at, at[1:], strict=False)), coded, window)
+        return ids
 
     def _tree(self, text: str, cuts: list[tuple[int, int]], coded: list[list[int]], window: int) -> list[int]:
         """Joins neighbouring leaves, then neighbouring pairs, and so on. Nodes: (start, end, ids, start of each id)."""
@@ -228,34 +239,88 @@ def _one_kind(text: str, a: int, b: int) -> bool:
     return a >= 0 and b <= len(text) and text[a:b].isalpha() and bool(regex.fullmatch(r"\p{L}+", text[a:b]))
 
 
-def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, keep_ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+def encode(
+    docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, spread: int = SPREAD, longest: int | None = None, keep_ids: bool = True, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """``id_col, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids`` and ``decoded`` of each whole text.
 
     ``vocabulary``: the contents of a byte-level vocabulary file. Null and empty texts have no ids and decode to the
-    empty text. Null ids and repeated rows are kept as they are; other columns than ``keep`` are not read. No shuffle.
+    empty text. Null ids and repeated rows are kept as they are; other columns than ``keep``, which may be called anything,
+    are not read. ``longest``: the
+    code points of the longest text, if known, else a pass over the texts finds it. No shuffle, but for texts longer than
+    ``spread``: these are written, their leaves dealt, and brought together again by text.
     """
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = cached(("bpe", hashlib.sha256(vocabulary.encode()).digest()), lambda: Codec(vocabulary))
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        coded = codec.encode_many(texts, leaf)
+    kept = [f"kept_{i}_" for i in range(len(keep))]
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)])
+    if longest is None:
+        longest = d.agg(F.max(F.length("text"))).first()[0] or 0
+    beside = "".join(f", {k} {d.schema[k].dataType.simpleString()}" for k in kept)
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])]
+    kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
+    key = ("bpe", hashlib.sha256(vocabulary.encode()).digest())
+
+    def described(codec: Codec, coded: list[list[int]]) -> list[pa.Array]:
         decimal = codec.decimal.__getitem__
         decoded = [codec.decode(ids) for ids in coded]
         cols = [
-            batch.column(0),
             pa.array([len(ids) for ids in coded], pa.int64()),
             pa.array([hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest() for ids in coded]),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
         ]
-        names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        if keep_ids:
-            cols += [pa.array(coded, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-            names += ["ids", "decoded"]
-        return pa.RecordBatch.from_arrays([*cols, *batch.columns[2:]], names=[*names, *keep])
-
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
-    out = over_batches(d, run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "") + "".join(f", {c} {d.schema[c].dataType.simpleString()}" for c in keep))
-    return out.withColumnRenamed("id", id_col)
+        return cols + [pa.array(coded, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if keep_ids else cols
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codec = cached(key, lambda: Codec(vocabulary))
+        coded = codec.encode_many([t or "" for t in batch.column(1).to_pylist()], leaf)
+        return pa.RecordBatch.from_arrays([batch.column(0), *described(codec, coded), *batch.columns[2:]], names=["id", *names, *kept])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = cached(key, lambda: Codec(vocabulary))
+        for batch in batches:
+            for uid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = [(uid, n, -1 if special < 0 else special, x) for n, (special, leaves) in enumerate(codec.cut(text, leaf)) for x in (leaves or [""])]
+                for at in range(0, len(rows), 64):
+                    part = rows[at : at + 64]
+                    cols = [pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(range(at, at + len(part)), pa.int64())], names=["uid", "stretch", "special", "leaf", "place"])
+
+    def coded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codec = cached(key, lambda: Codec(vocabulary))
+        special, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        ids = codec.leaves([t if s < 0 else "" for s, t in zip(special, texts, strict=True)])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=["uid", "stretch", "special", "leaf", "place", "ids"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = cached(key, lambda: Codec(vocabulary))
+        now, stretches, last = None, [], None
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), *described(codec, [codec.joined(stretches)])], names=["uid", *names])
+
+        for batch in batches:
+            for uid, stretch, special, text, ids in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5)), strict=True):
+                if uid != now:
+                    if now is not None:
+                        yield made()
+                    now, stretches, last = uid, [], None
+                if stretch != last:
+                    stretches.append((special, [], []))
+                    last = stretch
+                stretches[-1][1].append(text)
+                stretches[-1][2].append(ids)
+        if now is not None:
+            yield made()
+
+    if longest <= spread:
+        return over_batches(d, whole, f"id long, {kinds}{beside}").toDF(id_col, *names, *keep)
+    short = over_batches(d.filter(F.coalesce(F.length("text") <= spread, F.lit(True))), whole, f"id long, {kinds}{beside}")
+    rows = written(d.filter(F.length("text") > spread).withColumn("uid_", F.monotonically_increasing_id()), "long")
+    dealt = arrow(rows.select("uid_", "text"), cut, "uid long, stretch long, special int, leaf string, place long")
+    parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = written(over_batches(dealt.repartition(parts, "uid", "place"), coded, "uid long, stretch long, special int, leaf string, place long, ids array<int>"), "leaves")
+    found = arrow(leaves.repartition(parts, "uid").sortWithinPartitions("uid", "place"), together, f"uid long, {kinds}")
+    long = rows.drop("text").join(found, rows["uid_"] == found["uid"])
+    return short.unionByName(long.select("id", *names, *kept)).toDF(id_col, *names, *keep)
 
 
 def read_vocabulary(name: str = "byte_bpe_50k.json") -> str:

@@ -57,5 +57,6 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and its ``slot`` and ``offset``: the order of the mix, whatever order files are read in.
     The places are those of the stage before, as they follow from ids and sources alone."""
     d = docs.select("doc_id", "source", F.col("text").cast("string").alias("text"))
+    longest = d.agg(F.max(F.length("text"))).first()[0] or 0
     placed = mixing.mixed(d, mixing.DOCUMENT_WEIGHTS, keep=("text",))
-    return bpe.encode(placed, bpe.read_vocabulary(), keep=("slot", "offset")).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256", "slot", "offset")
+    return bpe.encode(placed, bpe.read_vocabulary(), longest=longest, keep=("slot", "offset")).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256", "slot", "offset")

@@ -47,6 +47,41 @@ def test_leaves_are_the_librarys(codec, library):
     assert codec.leaves(some) == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
 
 
+def test_spread_texts_equal_library(spark, library):
+    """Leaves dealt over tasks: the same ids, whichever texts are long; a column named like one in use."""
+    t = texts()
+    rows = [(i % 50, x, f"k{i}") for i, x in enumerate(t)] + [(None, "é 数a" * 900, "n"), (1, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, uid string").repartition(3)
+    want = {k: library.encode(x or "", add_special_tokens=False).ids for _, x, k in rows}
+    for spread, longest in ((40, None), (40, 10**6), (300, None)):
+        got = encode(df, read_vocabulary(), leaf=32, spread=spread, longest=longest, keep=("uid",)).collect()
+        assert {x.uid: list(x.ids) for x in got} == want and len(got) == len(rows)
+        assert all(x.n_tokens == len(x.ids) and x.ids_sha256 == hashlib.sha256(",".join(map(str, x.ids)).encode()).hexdigest() for x in got)
+        assert {x.uid: x.decoded for x in got} == {k: x or "" for _, x, k in rows}
+
+
+def test_very_long_text(spark, library):
+    """Above the usual bound, with a run that has no blank for longer than a leaf."""
+    r = random.Random(4)
+    words = ["the", "of", "größe", "数据", "1234", "foo_bar", "!!!", "<|endoftext|>"]
+    text = " ".join(r.choice(words) for _ in range(60_000)) + "x" * 70_000 + "".join(r.choice("abcde") for _ in range(60_000))
+    assert len(text) > 1 << 18
+    (got,) = encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), read_vocabulary()).collect()
+    assert list(got.ids) == library.encode(text, add_special_tokens=False).ids and got.decoded == text
+
+
+def test_query_over_the_whole_table(spark, library):
+    from sluice.llm.bpe import op9_bpe
+
+    docs = {x.doc_id: x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = op9_bpe(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(docs)
+    for x in got:
+        ids = library.encode(docs[x.doc_id], add_special_tokens=False).ids
+        assert x.n_tokens == len(ids) and x.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert x.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_frame(spark, library):
     rows = [(1, "hello world", 5), (2, None, 6), (2, "", 7), (None, "x" * 50_000, 8), (1, "hello world", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
