@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow, cached, over_batches, pieces, written
+from .shared import arrow, cached, drop, over_batches, pieces, written
 from .textbatch import buffers, mix, shingles, span_hashes, spans, word_table
 
 WORDS, SIMILAR = 5, 0.8
@@ -112,18 +112,24 @@ def buckets(sample: np.ndarray) -> np.ndarray:
 
 def frequencies(texts: DataFrame) -> np.ndarray:
     """How many rows of ``text`` have a shingle at each of FEATURES places, and the number of rows last; 2 MB on the
-    driver whatever the input.
+    driver whatever the input. What most places have, from shingles that happen to share them, is taken off: long texts
+    fill all places, which does not make their shingles common.
 
     Places of more than RARE of all rows are counted once more, without the rows that have COPY of their shingles at such
     places: what the members of a large group share would else weigh less than their differences. A second pass, if there
     are such places."""
-    total = _counted(texts, None)
+    total = _above(_counted(texts, None))
     common = total[:FEATURES] > RARE * total[FEATURES]
     if common.any():
         total[:FEATURES][common] = _counted(texts, common)[:FEATURES][common]
     return total
 
 
+def _above(total: np.ndarray) -> np.ndarray:
+    total[:FEATURES] = np.maximum(total[:FEATURES] - int(np.median(total[:FEATURES])), 0)
+    return total
+
+
 def _counted(texts: DataFrame, common: np.ndarray | None) -> np.ndarray:
     packed = None if common is None else np.packbits(common).tobytes()
 
@@ -316,27 +322,33 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lead = written(lead.select("bucket", (-F.col("best.minus")).alias("leader")), "leaders")
     pairs = members.join(lead, "bucket").filter("uid <> leader").select(F.least("uid", "leader").alias("a"), F.greatest("uid", "leader").alias("b")).distinct()
     pairs = written(promising(pairs, known), "pairs")
+    drop(lead)
 
     want = company.join(known.select("uid", "id", "h"), "uid").select("uid", "id", "h")
     texts = d.join(want.withColumnRenamed("id", "want"), [F.col("id").eqNullSafe(F.col("want")), d["h"] == want["h"]]).select("uid", "text")
     texts = written(texts.dropDuplicates(["uid"]), "texts")
     links = written(verified(pairs, texts, idf, similar), "links")
     joined = written(components(links), "components")
+    drop(company)
 
     labelled = members.join(joined.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     labelled = written(labelled, "labelled")
+    drop(members, joined)
     several = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
     rest = written(labelled.join(several, "bucket"), "rest")
     detail = detailed(texts.join(rest.select("uid").distinct(), "uid"), idf)
-    rest = rest.join(known.select("uid", "samples"), "uid").join(detail, "uid")
-    more = written(across(rest), "more").join(pairs, ["a", "b"], "left_anti")
-    more = written(verified(more, texts, idf, similar), "more")
+    dealt = rest.join(known.select("uid", "samples"), "uid").join(detail, "uid")
+    found = written(across(dealt), "more")
+    more = written(verified(found.join(pairs, ["a", "b"], "left_anti"), texts, idf, similar), "more")
+    drop(labelled, rest, found, pairs, known, texts)
     joined = written(components(links.union(more)), "components")
+    drop(links, more)
 
     ends = classes.join(joined.withColumnRenamed("node", "uid"), "uid", "left").select("digest", "uid", "least_id", F.coalesce("component", "uid").alias("component"))
     first = written(ends.groupBy("component").agg(F.min(F.struct("least_id", "uid")).alias("first")), "first")
-    ends = written(ends.join(first, "component").select("digest", F.col("first.least_id").alias("class_id"), F.col("first.uid").alias("keep")), "ends")
-    out = own.select("id", "h", "digest", "row").join(ends, "digest", "left")
+    found = written(ends.join(first, "component").select("digest", F.col("first.least_id").alias("class_id"), F.col("first.uid").alias("keep")), "ends")
+    drop(classes, first, joined)
+    out = own.select("id", "h", "digest", "row").join(found, "digest", "left")
     named = F.when(F.col("digest").isNull(), F.col("id")).when(F.col("class_id") < (1 << 63) - 1, F.col("class_id"))
     return out.select(F.col("id").alias(id_col), named.alias("class_id"), F.coalesce(F.col("keep") == F.col("row"), F.lit(True)).alias("kept"), F.col("h").alias("text_hash"))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import over_batches, written
+from .shared import drop, over_batches, written
 from .textbatch import ascii_lower, buffers, set_bits, span_hashes, spans, word_table
 
 #: Hashed features, a power of two, and the places of the levels of shares behind them.
@@ -131,9 +131,11 @@ def labelled(docs: DataFrame, labels: DataFrame, grade: Column, *, id_col: str =
         raw = [index[a:b].astype(np.int32).tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(np.diff(offs), pa.int64()), pa.array(raw, pa.binary())], names=["id", "grade", "place", "n", "features"])
 
-    table = written(over_batches(found, run, "id long, grade int, place long, n long, features binary", 1 << 20), "labelled").orderBy("place", "id", "n", "features")
+    held = written(over_batches(found, run, "id long, grade int, place long, n long, features binary", 1 << 20), "labelled")
+    table = held.orderBy("place", "id", "n", "features")
     sizes = np.cumsum([r.n for r in table.select("place", "id", "n").limit(most).collect()])
     rows = table.limit(max(1, int(np.searchsorted(sizes, most_features, side="right")))).collect()
+    drop(held)
     rows.sort(key=lambda r: (r.id, bytes(r.features)))
     return [np.frombuffer(bytes(r.features), np.int32) for r in rows], np.array([r.grade for r in rows], np.int64)
 

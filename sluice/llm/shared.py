@@ -29,26 +29,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _LOCAL: dict[str, str] = {}
-_WRITTEN: list[str] = []
+#: Folders written and not deleted yet, and the sessions that they are of.
+_WRITTEN: dict[str, str] = {}
 
 
 def forget(spark: SparkSession) -> None:
-    """Deletes the tables that this session's operators have written so far. Results that were not yet written elsewhere
-    are lost with them."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+    """Deletes the tables that this session's operators have written so far and still hold. Results that were not yet
+    written elsewhere are lost with them."""
+    own = spark._jsparkSession.sessionUUID()
+    for folder in [f for f, s in _WRITTEN.items() if s == own]:
+        _delete(spark, folder)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` has returned and that nothing will read any more."""
+    for df in tables:
+        if df is not None and (folder := getattr(df, "_sluice_folder", None)) in _WRITTEN:
+            _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    _WRITTEN.pop(folder, None)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """The same rows, read back from a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     folder = shared_dir(spark)
-    _WRITTEN.append(folder)
+    _WRITTEN[folder] = spark._jsparkSession.sessionUUID()
     path = f"{folder}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sluice_folder = folder
+    return out
 
 
 def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -156,3 +156,60 @@ def test_large_group_is_held_to_the_same(spark):
     got = {x.doc_id: x.class_id for x in near_duplicates(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string").repartition(3)).collect()}
     assert {got[i] for i in range(60)} == {0} and {got[i] for i in range(60, 63)} == {60}
     assert all(got[i] == i for i in range(63, len(t)))
+
+
+def test_recall_by_similarity(spark):
+    """Of the whole sf0.01 table's pairs at 0.8 or more, by brute force, none is missed, nor are others linked."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    total = frequencies(docs.select("text"))
+    row, ids, count = shingle_counts(pa.array([t for _, t in rows]))
+    w = weights(ids, count, idf_of(total[:FEATURES], int(total[FEATURES])))
+    first = np.searchsorted(row, np.arange(len(rows) + 1))
+    sets = [dict(zip(ids[a:b].tolist(), w[a:b].tolist(), strict=True)) for a, b in zip(first, first[1:], strict=False)]
+    where = {}
+    for k, x in enumerate(sets):
+        for s in x:
+            where.setdefault(s, []).append(k)
+    near = Counter((a, b) for own in where.values() for i, a in enumerate(own) for b in own[i + 1 :])
+    bins, link = Counter(), []
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+    for (a, b), n in near.items():
+        if n * 2 < min(len(sets[a]), len(sets[b])):
+            continue
+        low = sum(min(v, sets[b][s]) for s, v in sets[a].items() if s in sets[b])
+        sim = low / (sum(sets[a].values()) + sum(sets[b].values()) - low)
+        if sim >= 0.8:
+            link.append((a, b))
+            bins[round(sim * 20) / 20, got[rows[a][0]] == got[rows[b][0]]] += 1
+    assert sum(n for (_, ok), n in bins.items() if ok) > 100 and not any(n for (_, ok), n in bins.items() if not ok), bins
+    for k, c in enumerate(classes_of(len(rows), link)):
+        if sets[k]:
+            assert got[rows[k][0]] == rows[c][0]
+
+
+def test_very_long_texts(spark):
+    """Texts of many thousand shingles fill all places of the frequency table: their shingles still weigh what
+    rare ones do, and near copies are found."""
+    r = random.Random(7)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(5000)]
+    t = [" ".join(r.choice(vocabulary) for _ in range(30_000)) for _ in range(8)]
+    words = t[0].split()
+    for k in r.sample(range(len(words)), 300):
+        words[k] = "other"
+    t += [" ".join(words), " ".join(words[:15_000]), " ".join(r.choice(vocabulary) for _ in range(400_000))]
+    df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string").repartition(3)
+    total = frequencies(df.select("text"))
+    assert np.median(idf_of(total[:FEATURES], int(total[FEATURES]))) == idf_of(np.ones(1), int(total[FEATURES]))[0]
+    got = {x.doc_id: x.class_id for x in near_duplicates(df).collect()}
+    assert got == {**{i: i for i in range(len(t))}, 8: 0}
+
+
+def test_ties_of_the_least_id(spark):
+    """Equal ids with different near copies: one row of the class is kept."""
+    base = "w1 w2 w3 w4 w5 w6 w7 w8 w9 " * 3
+    words = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, words), (1, words + " x"), (1, words), (2, words), (3, base), (3, base)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.class_id) for x in got) == [(1, 1)] * 3 + [(2, 1), (3, 3), (3, 3)]
+    assert sum(x.kept for x in got if x.class_id == 1) == 1 == sum(x.kept for x in got if x.class_id == 3)

@@ -2,16 +2,21 @@ from pathlib import Path
 
 import pyarrow as pa
 
-from sluice.llm.shared import cached, forget, pieces, written
+from sluice.llm.shared import cached, drop, forget, pieces, written
 
 
 def test_written_and_forgotten(spark):
     df = written(spark.createDataFrame([(1, "a"), (2, None)], "a int, b string"))
     assert sorted(map(tuple, df.collect())) == [(1, "a"), (2, None)]
-    folder = Path(df.inputFiles()[0].removeprefix("file://")).parent
-    assert folder.exists()
+    at = lambda x: Path(x.inputFiles()[0].removeprefix("file://")).parent
+    folder, others = at(df), at(written(spark.newSession().createDataFrame([(1,)], "a int")))
+    gone = written(df.select("a"))
+    there = at(gone)
+    assert folder.exists() and others.exists() and there.exists()
+    drop(gone, None, df.select("a"))
+    assert folder.exists() and not there.exists()
     forget(spark)
-    assert not folder.exists()
+    assert not folder.exists() and others.exists()
 
 
 def test_pieces():
