@@ -5,7 +5,8 @@ floor((a.x + b) / WIDTH), a normal and b uniform. K grows with the logarithm of
 meets about COMPANY unrelated ones in a bucket at any size; the number of tables follows from K and the recall wanted at
 the very threshold. Equal vectors are one class with a count. Buckets are dealt in blocks: all pairs of a bucket's blocks
 are compared by matrix products, a pair counts in the first table that its two vectors share, and what leaves a block is a
-sum for each vector and a spanning forest of its links, never the pairs.
+sum for each vector and a spanning forest of its links, never the pairs. Vectors travel without their buckets: which table
+a linked pair shares first is found from the vectors again, for linked ones alone.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow, written
+from .shared import arrow, drop, written
 
-WIDTH, COMPANY, BLOCK = 2.0, 32, 256
+WIDTH, COMPANY, BLOCK = 2.0, 512, 2048
+#: Rows of a block that are compared at a time, and what rounding can take from a cosine in single precision.
+ROWS, ROUNDING = 256, 1e-4
 #: Probability that a pair at the threshold meets in some table; nearer pairs meet more surely.
 RECALL = 0.9999
 
@@ -47,42 +50,69 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def codes(x: np.ndarray, k: int, tables: int, seed: int) -> np.ndarray:
-    """The bucket of each unit vector in each table, as a 64-bit hash of its K cells."""
-    r = np.random.RandomState(seed + x.shape[1])
-    a, b = r.normal(size=(x.shape[1], tables * k)), r.uniform(0, WIDTH, tables * k)
-    cell = np.floor((x @ a + b) / WIDTH).astype(np.int64).view(np.uint64).reshape(len(x), tables, k)
-    h = np.broadcast_to(np.arange(1, tables + 1, dtype=np.uint64), (len(x), tables)) * np.uint64(0x9E3779B97F4A7C15)
-    for j in range(k):
-        h = (h ^ cell[:, :, j]) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-    return h.view(np.int64)
-
-
-def forest(linked: np.ndarray) -> np.ndarray:
-    """For each node of a symmetric boolean matrix, the smallest node of its component."""
-    label = np.arange(len(linked))
-    while True:
-        best = np.minimum(label, np.where(linked, label[None, :], len(label)).min(axis=1))
-        best = best[best]
-        if (best == label).all():
-            return label
-        label = best
-
-
-def block(table: int, uid: np.ndarray, count: np.ndarray, part: np.ndarray, first: int, second: int, x: np.ndarray, code: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of a pair of blocks of a bucket: links of each row counted in this table, and each row's root."""
-    close = x @ x.T >= cosine
-    np.fill_diagonal(close, False)
-    if first != second:
-        close &= part[:, None] != part[None, :]
-    i, j = np.nonzero(np.triu(close))
-    mine = (code[i] == code[j]).argmax(axis=1) == table if len(i) else np.zeros(0, bool)
-    i, j = i[mine], j[mine]
-    n = np.bincount(i, weights=count[j], minlength=len(uid)) + np.bincount(j, weights=count[i], minlength=len(uid))
-    linked = np.zeros((len(uid), len(uid)), bool)
-    linked[i, j] = linked[j, i] = True
-    return n.astype(np.int64), forest(linked) if len(i) else np.arange(len(uid))
+def codes(x: np.ndarray, k: int, tables: int, seed: int, first: int = 0) -> np.ndarray:
+    """The bucket of each unit vector in each table from ``first`` on up to ``tables``, as a 64-bit hash of its K cells."""
+    out = np.empty((len(x), tables - first), np.int64)
+    for t in range(first, tables):
+        r = np.random.RandomState([seed, x.shape[1], t])
+        a, b = r.normal(size=(x.shape[1], k)), r.uniform(0, WIDTH, k)
+        cell = np.floor((x @ a + b) / WIDTH).astype(np.int64).view(np.uint64)
+        h = np.full(len(x), t + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for j in range(k):
+            h = (h ^ cell[:, j]) * np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+        out[:, t - first] = h.view(np.int64)
+    return out
+
+
+class Forest:
+    """The smallest node that each node of a block is linked with, over links that come in parts."""
+
+    def __init__(self, n: int) -> None:
+        self.root = np.arange(n)
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            a, b = self.root[i], self.root[j]
+            if (a == b).all():
+                return
+            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+            while (low := self.root[self.root]).tolist() != self.root.tolist():
+                self.root = low
+
+
+def block(table: int, count: np.ndarray, part: np.ndarray, x: np.ndarray, k: int, seed: int, cosine: float, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows of one block, or of two that are compared with each other (``across``): links of each row that count in
+    this table, and each row's root. Cosines that single precision does not decide are taken in double precision."""
+    n = len(x)
+    links, trees, fine = np.zeros(n, np.int64), Forest(n), x.astype(np.float32)
+    known, coded = np.zeros((table, n), np.int64), np.zeros((table, n), bool)
+    for at in range(0, n, ROWS):
+        near = fine[at : at + ROWS] @ fine[at:].T
+        i, j = np.nonzero(near >= cosine - ROUNDING)
+        i, j = i + at, j + at
+        keep = i < j
+        if across:
+            keep &= part[i] != part[j]
+        i, j = i[keep], j[keep]
+        unsure = np.flatnonzero(near[i - at, j - at] < cosine + ROUNDING)
+        ok = np.ones(len(i), bool)
+        ok[unsure] = np.einsum("ij,ij->i", x[i[unsure]], x[j[unsure]]) >= cosine
+        i, j = i[ok], j[ok]
+        for t in range(table):  # pairs that share an earlier table go; near ones do so soon
+            if not len(i):
+                break
+            new = np.unique(np.concatenate([i, j]))
+            new = new[~coded[t, new]]
+            if len(new):
+                known[t, new], coded[t, new] = codes(x[new], k, t + 1, seed, t)[:, 0], True
+            apart = known[t, i] != known[t, j]
+            i, j = i[apart], j[apart]
+        if not len(i):
+            continue
+        links += np.bincount(i, weights=count[j], minlength=n).astype(np.int64) + np.bincount(j, weights=count[i], minlength=n).astype(np.int64)
+        trees.link(i, j)
+    return links, trees.root
 
 
 def near(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 8) -> DataFrame:
@@ -114,13 +144,14 @@ def near(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec_id", ve
                 found[rows] = codes(unit(flat[(at[rows][:, None] + np.arange(m))]), k, tables, seed)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(found.reshape(-1)), tables).cast(pa.list_(pa.int64()))], names=["uid", "codes"])
 
-    coded = written(arrow(classes.select("uid", "v"), hashed, "uid long, codes array<long>"), "codes")
-    keys = coded.select("uid", F.posexplode("codes").alias("t", "code"))
+    coded = arrow(classes.select("uid", "v"), hashed, "uid long, codes array<long>")
+    keys = written(coded.select("uid", F.posexplode("codes").alias("t", "code")), "keys")
     sizes = keys.groupBy("t", "code").agg(F.count("*").alias("m")).filter("m > 1").select("t", "code", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
+    sizes = written(sizes, "sizes")  # so that the join has a shuffle on either side, and Spark can split a hot bucket's
     dealt = keys.join(sizes, ["t", "code"]).withColumn("part", F.pmod(F.xxhash64("uid"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("uid", "t", "code", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
-    dealt = dealt.join(classes.select("uid", "n", "v"), "uid").join(coded, "uid")
+    dealt = dealt.join(classes.select("uid", "n", "v"), "uid")
     dealt = dealt.repartition("t", "code", "x", "y").sortWithinPartitions("t", "code", "x", "y", "uid")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,23 +176,23 @@ def near(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec_id", ve
         c = [x.chunk(0) for x in rows.columns]
         uid, count, part = c[0].to_numpy(), c[6].to_numpy(), c[3].to_numpy()
         size = np.diff(c[7].offsets.to_numpy())
-        code = c[8].flatten().to_numpy().reshape(len(uid), tables)
         at = np.concatenate([[0], np.cumsum(size)])
         flat = c[7].flatten().to_numpy()
         for m in np.unique(size):
             of = np.flatnonzero(size == m)
-            links, root = block(int(c[1][0].as_py()), uid[of], count[of], part[of], int(c[4][0].as_py()), int(c[5][0].as_py()), unit(flat[at[of][:, None] + np.arange(m)]), code[of], cosine)
+            links, root = block(int(c[1][0].as_py()), count[of], part[of], unit(flat[at[of][:, None] + np.arange(m)]), k, seed, cosine, c[4][0] != c[5][0])
             some = np.flatnonzero(links)
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(uid[of][some]), pa.array(links[some]), pa.array(uid[of][root[some]])], names=["uid", "links", "root"])
 
-    found = written(arrow(dealt.select("uid", "t", "code", "part", "x", "y", "n", "v", "codes"), compared, "uid long, links long, root long"), "links")
+    found = written(arrow(dealt.select("uid", "t", "code", "part", "x", "y", "n", "v"), compared, "uid long, links long, root long"), "links")
     joined = components(found.select(F.col("uid").alias("a"), F.col("root").alias("b")))
     known = classes.join(found.groupBy("uid").agg(F.sum("links").alias("links")), "uid", "left").join(joined.withColumnRenamed("node", "uid"), "uid", "left")
     known = known.select("v", "rep", F.coalesce("component", "uid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    known = written(known, "known")
-    lowest = written(known.groupBy("component").agg(F.min("rep").alias("component_id")), "lowest")
-    known = written(known.join(lowest, "component").select("v", "n_links", "component_id"), "classes")
+    each = written(known, "known")
+    lowest = written(each.groupBy("component").agg(F.min("rep").alias("component_id")), "lowest")
+    known = written(each.join(lowest, "component").select("v", "n_links", "component_id"), "classes")
+    drop(classes, keys, sizes, found, joined, each, lowest)
     out = d.withColumn("fit", fit).join(known.withColumn("fit", F.lit(True)), ["v", "fit"], "left")
     own = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))

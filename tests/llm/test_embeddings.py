@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sluice.llm.components import components
-from sluice.llm.embeddings import meet, near, plan
+from sluice.llm.embeddings import Forest, block, codes, meet, near, plan, unit
 
 
 def slow_components(nodes, edges):
@@ -73,3 +73,40 @@ def test_near(spark):
     assert sum(links[i] != want[i] for i in want) <= 2  # rounding of the input moves few pairs over the threshold
     twice = near(spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<double>")).collect()
     assert sorted((x.vec_id or 0, x.n_links, x.component_id, x.kept) for x in twice) == [(0, 2, 1, False), (1, 2, 1, True), (1, 2, 1, True)]
+
+
+def test_block_counts_a_pair_once():
+    """Over the tables, each link that some table has counts in the first; blocks of one part and of two."""
+    r = np.random.RandomState(4)
+    base = r.normal(size=(30, 24))
+    x = unit(np.repeat(base, 20, axis=0) + r.normal(size=(600, 24)) * 0.18)
+    k, tables, n = 3, 6, len(x)
+    code = codes(x, k, tables, 8)
+    assert (codes(x, k, tables, 8, 4) == code[:, 4:]).all()
+    count, part = r.randint(1, 4, n), r.randint(0, 2, n)
+    close = np.triu(x @ x.T >= 0.9, 1)
+    for across in (False, True):
+        got = np.zeros(n, np.int64)
+        want = np.zeros(n, np.int64)
+        for t in range(tables):
+            for c in np.unique(code[:, t]):
+                of = np.flatnonzero(code[:, t] == c)
+                links, root = block(t, count[of], part[of], x[of], k, 8, 0.9, across)
+                got[of] += links
+                assert (root[links == 0] == np.flatnonzero(links == 0)).all()
+        for i, j in zip(*np.nonzero(close), strict=True):
+            if (code[i] == code[j]).any() and not (across and part[i] == part[j]):
+                want[i] += count[j]
+                want[j] += count[i]
+        assert (got == want).all() and want.sum() > 1000
+
+
+def test_forest():
+    r = random.Random(2)
+    for _ in range(20):
+        edges = [(r.randrange(60), r.randrange(60)) for _ in range(r.randint(0, 70))]
+        f = Forest(60)
+        for at in range(0, len(edges), 7):
+            i, j = zip(*edges[at : at + 7], strict=True)
+            f.link(np.array(i), np.array(j))
+        assert dict(enumerate(f.root.tolist())) == slow_components(range(60), edges)
