@@ -14,6 +14,7 @@ from sluice.errors import FilterError
 from sluice.functions.geo import convert_distance, convert_geopoint
 from sluice.operators.conditions import Compiler
 from sluice.operators.percolate import percolate
+from sluice.operators.values import quoted
 from sluice.plans.language import Literal, Reader
 from sluice.plans.normal import count, identifier, normal
 
@@ -144,7 +145,7 @@ class Percolator:
 
 def document_column(df: DataFrame, columns: list[str] | None = None):
     """A VARIANT document of a row's columns; SQL nulls are missing keys. Timestamps and dates become strings."""
-    return F.parse_json(F.to_json(F.struct(*(columns or df.columns))))
+    return F.parse_json(F.to_json(F.struct(*[F.col(quoted(c)) for c in columns or df.columns])))
 
 
 __all__ = ["FilterError", "NormalizedFilter", "Percolator", "document_column"]

@@ -1,21 +1,32 @@
-"""Rows against many filters: as expressions, or as equi-joins with relations of filters.
-
-The terms of all filters are grouped by template, the list of their literals' keywords, fields and signs: terms of a
-template differ in arguments alone. A template with few terms, or with no literal that an index can serve, is one boolean
-expression for each term, evaluated in the row without a shuffle. A large one is a relation with a column for each
-argument; its anchor, the literal with the fewest expected hits, becomes an equi-join on a key that both sides compute,
-and all other literals are tested column against column on the hits. Ranges and boxes are indexed by cells of the size of
-their own extent: an interval touches at most two cells of its level, a box at most four, and a row has one cell for each
-level that occurs.
+"""Rows against many filters, in one pass: as expressions, or as an equi-join with a relation of filters.
+
+A filter in normal form is an or of terms, an and of literals each. Filters whose terms have the same keywords, fields and
+signs differ in arguments alone: they are a group. A small group, or one that has a term without a literal that an index
+can serve, is one boolean expression for each filter, evaluated in the row. The other groups become rows of one relation,
+with columns for the arguments; the anchor of each term, the literal with the fewest expected hits, becomes an equi-join
+on keys that both sides compute, and all other literals are tested column against column on the hits. The keys of a row
+for all groups are one array, and expressions add theirs, so rows are read once however many filters and groups there are.
+
+Keys. Equality: the value. Ranges and boxes: cells of the size of their own extent, so that an interval touches at most two
+cells of its level, a box at most four, and a row has one cell for each level that occurs. Ranges with an open end: the
+place of the bound among all of them in order; a row has the places up to its own value, found by halving. Patterns: three
+characters that a match must have. Existence of a field: its path, against the paths that a document has.
+
+A row meets a filter once: of a filter's terms that hold the first counts, which is a test on the hit. What a filter finds
+does not depend on the other filters, and nothing needs a distinct.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from dataclasses import dataclass
+import re
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from functools import reduce
+from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,41 +34,62 @@ from pyspark.sql import types as T
 from sluice.functions.geo import EARTH_M
 from sluice.functions.regex import java_pattern
 from sluice.operators.conditions import Compiler, compared
-from sluice.operators.values import Absent, Row, Typed, key_of
+from sluice.operators.values import MOST_PARTS, Absent, Row, Typed, key_of, quoted, step, ways
 from sluice.plans.language import Literal
 
-#: Terms of a template from which on it is joined, filters that are one expression at most, and rows of a filter relation
-#: that are broadcast at most.
-JOIN_FROM, EXPRESSIONS, BROADCAST_ROWS = 40, 200, 200_000
-#: The level of intervals without an end, and of shapes too large for cells.
-OPEN = 4096
+#: Filters of a group from which on it is joined, expressions of an array at most, rows of a filter relation that are
+#: broadcast at most, and objects at most whose fields are listed for filters on the existence of fields.
+JOIN_FROM, EXPRESSIONS, BROADCAST_ROWS, OBJECTS = 40, 200, 200_000, 64
+#: The levels of intervals without an upper or a lower end, and of shapes too large for cells.
+UP, DOWN, OPEN = 4096, 4097, 4098
+#: The characters of a pattern's key.
+GRAM = 3
+
+Terms = tuple[tuple[Literal, ...], ...]
 
 
 @dataclass(frozen=True)
-class Term:
-    """An and of literals, and the numbers of the filters that have it."""
+class Unit:
+    """An or of terms that is met once, and the numbers of the filters that it stands for."""
 
-    literals: tuple[Literal, ...]
+    terms: Terms
     filters: tuple[int, ...]
 
 
-def terms_of(normals: list[tuple[tuple[Literal, ...], ...]]) -> list[Term]:
-    """The distinct terms of filters in normal form; filter i is normals[i]."""
-    owners: dict[tuple[Literal, ...], list[int]] = defaultdict(list)
+def units_of(normals: list[Terms]) -> list[Unit]:
+    """The distinct units of filters in normal form; filter i is normals[i]. A filter is a unit, but for those whose terms
+    exclude each other: these are units each, as no row meets two."""
+    owners: dict[Terms, list[int]] = defaultdict(list)
     for i, found in enumerate(normals):
-        for t in found:
-            owners[t].append(i)
-    return [Term(t, tuple(o)) for t, o in owners.items()]
+        for unit in [(t,) for t in found] if apart(found) else [tuple(sorted(found, key=lambda t: (shape_of(t), t)))] if found else []:
+            owners[unit].append(i)
+    return [Unit(t, tuple(o)) for t, o in owners.items()]
+
+
+def apart(terms: Terms) -> bool:
+    """Whether every term asks one field for another value."""
+    if not all(len(t) == 1 and t[0].keyword == "equals" and not t[0].negated and t[0].field == terms[0][0].field for t in terms):
+        return False
+    return len({key_of(t[0].args) for t in terms}) == len(terms)
+
 
+def shape_of(t: tuple[Literal, ...]) -> tuple:
+    """What a term has in common with others: literals whose arguments can't be columns keep theirs. A test for the
+    existence of a field, alone, has its field as an argument."""
+    if len(t) == 1 and named(t[0]):
+        return (("exists", "", False, "path"),)
+    return tuple((x.keyword, x.field, x.negated, _variant(x)) for x in t)
 
-def template(t: Term) -> tuple:
-    """What a term has in common with others: literals whose arguments can't be columns keep theirs."""
-    return tuple((x.keyword, x.field, x.negated, _variant(x)) for x in t.literals)
+
+def named(x: Literal) -> bool:
+    return x.keyword == "exists" and not x.negated and not x.args["array"]
 
 
 def _variant(x: Literal) -> str:
-    if x.keyword in ("equals", "range", "regexp"):
+    if x.keyword in ("equals", "range"):
         return ""
+    if x.keyword == "regexp":
+        return "known" if len(required(x.args["value"], x.args["flags"])) >= GRAM else "unknown"
     if x.keyword == "geo":
         return x.args["shape"]
     if x.keyword == "exists" and x.args["array"] and not isinstance(x.args["value"], (dict, list)):
@@ -68,9 +100,8 @@ def _variant(x: Literal) -> str:
 # expressions
 
 
-def holding(row: Row, terms: list[Term], compiler: Compiler) -> Column:
-    """An array with the number of each filter that has a term that holds, and a null for each other one: a plain array,
-    so that exploding it stays within generated code."""
+def holding(row: Row, units: list[Unit], compiler: Compiler) -> list[tuple[int, Column]]:
+    """The number of each filter, and whether one of its units holds."""
     cache: dict[Literal, Column] = {}
 
     def held(x: Literal) -> Column:
@@ -78,21 +109,34 @@ def holding(row: Row, terms: list[Term], compiler: Compiler) -> Column:
             cache[x] = compiler.condition(row, x)
         return cache[x]
 
+    whole = lambda t: reduce(lambda a, b: a & b, map(held, t)) if t else F.lit(True)
     ways: dict[int, list[Column]] = defaultdict(list)
-    for t in terms:
-        whole = reduce(lambda a, b: a & b, map(held, t.literals)) if t.literals else F.lit(True)
-        for i in t.filters:
-            ways[i].append(whole)
-    return F.array(*[F.when(reduce(lambda a, b: a | b, w), F.lit(i)) for i, w in ways.items()])
+    for u in units:
+        one = reduce(lambda a, b: a | b, map(whole, u.terms))
+        for i in u.filters:
+            ways[i].append(one)
+    return [(i, reduce(lambda a, b: a | b, w)) for i, w in ways.items()]
 
 
-def necessary(row: Row, terms: list[Term], most: int = 24) -> Column | None:
+def arrays(items: list[Column], kind: str) -> Column:
+    """One array of many elements, in parts, so that the expressions for its parts stay small."""
+    parts = [F.array(*items[at : at + EXPRESSIONS]) for at in range(0, len(items), EXPRESSIONS)]
+    return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else F.array().cast(f"array<{kind}>")
+
+
+def never(row: Row, unit: Unit) -> bool:
+    """Whether no row can meet a unit, as each term asks something of a field that no row has."""
+    return all(any(not x.negated and x.keyword in ("equals", "range", "regexp", "exists", "geo") and isinstance(row.field(x.field), Absent) for x in t) for t in unit.terms)
+
+
+def necessary(row: Row, units: list[Unit], most: int = 24) -> Column | None:
     """A condition that rows with any hit fulfil, in a form that reaches the scan; None if there is none worth it."""
+    terms = list(chain.from_iterable(u.terms for u in units))
     if len(terms) > most:
         return None
     out = None
     for t in terms:
-        found = [c for x in t.literals if (c := _plain(row, x)) is not None]
+        found = [c for x in t if (c := _plain(row, x)) is not None]
         if not found:
             return None
         one = reduce(lambda a, b: a & b, found)
@@ -122,8 +166,8 @@ def columns_of(x: Literal, engine: str) -> dict:
     if x.keyword == "equals":
         return {"key": key_of(a)}
     if x.keyword == "range":
-        low, high = a.get("gt", a.get("gte")), a.get("lt", a.get("lte"))
-        return {"low": -math.inf if low is None else float(low), "low_in": "gte" in a or low is None, "high": math.inf if high is None else float(high), "high_in": "lte" in a or high is None}
+        low, high = bounds(x)
+        return {"low": low, "low_in": "gte" in a or low == -math.inf, "high": high, "high_in": "lte" in a or high == math.inf}
     if x.keyword == "regexp":
         return {"pattern": java_pattern(a["value"], a["flags"], engine)}
     if x.keyword == "geo":
@@ -131,7 +175,13 @@ def columns_of(x: Literal, engine: str) -> dict:
     return {"key": key_of(a["value"])} if _variant(x) == "value" else {}
 
 
-KINDS = {"key": "string", "pattern": "string", "low_in": "boolean", "high_in": "boolean", "ring": "array<struct<lat:double,lon:double>>"}
+KINDS = {"key": "string", "pattern": "string", "low_in": "boolean", "high_in": "boolean", "ring": "ring"}
+ARROW = {"string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "ring": pa.list_(pa.struct([("lat", pa.float64()), ("lon", pa.float64())]))}
+
+
+def bounds(x: Literal) -> tuple[float, float]:
+    low, high = x.args.get("gt", x.args.get("gte")), x.args.get("lt", x.args.get("lte"))
+    return -math.inf if low is None else float(low), math.inf if high is None else float(high)
 
 
 def level_of(size: float) -> int:
@@ -139,13 +189,11 @@ def level_of(size: float) -> int:
     return OPEN if not math.isfinite(size) else -1074 if size <= 0 else math.ceil(math.log2(size))
 
 
-def cells(low: float, high: float) -> tuple[int, list[int]]:
-    level = max(-40, min(level_of(high - low), OPEN))
-    if level == OPEN:
-        return OPEN, [0]
+def cells(low: float, high: float) -> list[tuple[int, int, int]]:
+    level = max(-40, level_of(high - low))
     # one cell more on either side of a border that rounding may have moved
     first, last = (math.floor(v / 2.0**level) for v in (low - abs(low) * 1e-12, high + abs(high) * 1e-12))
-    return level, list(range(first, last + 1))
+    return [(level, k, 0) for k in range(first, last + 1)]
 
 
 def boxes(x: Literal) -> list[tuple[float, float, float, float]]:
@@ -165,160 +213,363 @@ def boxes(x: Literal) -> list[tuple[float, float, float, float]]:
     return [(bottom, top, a["lon"] - wide + turn, a["lon"] + wide + turn) for turn in (-360, 0, 360)]
 
 
-def anchors(x: Literal) -> list[tuple]:
-    """The keys under which a term is found by this literal."""
-    if x.keyword == "range":
-        c = columns_of(x, "re2")
-        level, found = cells(c["low"], c["high"])
-        return [(level, k, 0) for k in found]
-    if x.keyword == "geo":
-        out = set()
-        for bottom, top, left, right in boxes(x):
-            level = max(-40, level_of(max(top - bottom, right - left)))
-            if level >= 10:
-                out.add((OPEN, 0, 0))
-                continue
-            lat, lon = ([math.floor((v + e) / 2.0**level) for v, e in ((a, -1e-9), (b, 1e-9))] for a, b in ((bottom, top), (left, right)))
-            out |= {(level, i, j) for i in range(lat[0], lat[1] + 1) for j in range(lon[0], lon[1] + 1)}
-        return sorted(out)
-    return [(key_of(x.args["value"] if x.keyword == "exists" else x.args),)]
+def areas(x: Literal) -> list[tuple[int, int, int]]:
+    out = set()
+    for bottom, top, left, right in boxes(x):
+        level = max(-40, level_of(max(top - bottom, right - left)))
+        if level >= 10:
+            out.add((OPEN, 0, 0))
+            continue
+        lat, lon = ([math.floor((v + e) / 2.0**level) for v, e in ((a, -1e-9), (b, 1e-9))] for a, b in ((bottom, top), (left, right)))
+        out |= {(level, i, j) for i in range(lat[0], lat[1] + 1) for j in range(lon[0], lon[1] + 1)}
+    return sorted(out)
 
 
-def indexable(x: Literal) -> bool:
-    return not x.negated and (x.keyword in ("equals", "range", "geo") or x.keyword == "exists" and _variant(x) == "value")
+def required(pattern: str, flags: str) -> str:
+    """The longest string, of usual characters, that each match of a pattern holds; empty if none is sure. Runs end at
+    whatever means more than itself; what may be left out does not count; patterns with branches have none."""
+    if "|" in pattern or "(?" in pattern or "i" in flags or "x" in flags:
+        return ""
+    runs, now, at, depth = [], [], 0, 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            c, at = pattern[at : at + 2], at + 1
+            if c[1:].isalnum() and c[1] not in "dDwWsSbBnrtfv":  # what follows may belong to it
+                return ""
+        at += 1
+        if c == "{":
+            at = pattern.find("}", at) + 1
+            if not at:
+                return ""
+        if c == "[":
+            close = re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*\]", re.DOTALL).match(pattern, at - 1)
+            if close is None or "[" in close[0][1:]:
+                return ""
+            at = close.end()
+        depth += (c == "(") - (c == ")")
+        plain = depth == 0 and (len(c) == 1 and c not in "[]().^$*+?{}" or len(c) == 2 and c[1] in "\\.^$*+?{}[]()-/")
+        after = pattern[at : at + 1]
+        if plain and not (after and after in "*?{"):
+            now.append(c[-1])
+            if after == "+":
+                runs.append("".join(now))
+                now = []
+        else:
+            runs.append("".join(now))
+            now = []
+    return max([*runs, "".join(now)], key=len)
 
 
-def expected_hits(members: list[Literal]) -> float:
-    """Terms that a row meets, roughly: those of an average key; all of those that have open ends."""
-    keys = defaultdict(int)
-    for x in members:
-        for k in anchors(x):
-            keys[k] += 1
-    open_ = sum(n for k, n in keys.items() if k[0] == OPEN)
-    if members[0].keyword not in ("range", "geo"):
-        return len(members) / max(1, len(keys))
-    levels = defaultdict(list)
-    for k, n in keys.items():
-        if k[0] != OPEN:
-            levels[k[0]].append(n)
-    return open_ + sum(sum(n) / len(n) for n in levels.values())
+@dataclass
+class Index:
+    """How a literal of a group is found: the keys of each of the filters' literals, ``(string, level, number, number)``, and
+    those of a row, as an array of structs ``s, x, y, z``; which of these are used; filters that a row meets, roughly; and
+    whether a key found is a literal that holds."""
 
+    keys: list[list[tuple]]
+    row: Callable[[Row], Column | None]
+    uses: set[str]
+    expected: float
+    exact: bool = False
 
-def row_keys(row: Row, x: Literal, levels: list[int]) -> Column | None:
-    """The keys of a row for an anchor, as an array of structs k0, k1, ...; None if no row can have one."""
-    value = row.field(x.field)
-    if isinstance(value, Absent):
+
+def index(members: list[Literal], paths: bool) -> Index | None:
+    """``paths``: whether paths of documents can be listed."""
+    x = members[0]
+    if x.negated:
         return None
     if x.keyword == "equals":
-        return F.array(F.struct(value.key.alias("k0")))
-    if x.keyword == "exists":
-        if value.elements() is None:
-            return None
-        items, of = value.elements()
-        return F.transform(F.array_distinct(F.transform(items, lambda e: of(e).key)), lambda k: F.struct(k.alias("k0")))
+        keys = [[(key_of(m.args), 0, 0, 0)] for m in members]
+        return Index(keys, lambda row: F.array(_key(s=row.field(x.field).key)), {"s"}, _average(keys), True)
+    if x.keyword == "exists" and _variant(x) == "value":
+        keys = [[(key_of(m.args["value"]), 0, 0, 0)] for m in members]
+        return Index(keys, lambda row: _elements(row.field(x.field)), {"s"}, _average(keys), True)
+    if named(x) and paths:
+        found = sorted({m.field for m in members})
+        if all(f.count(".") < MOST_PARTS for f in found) and len(objects(found)) <= OBJECTS:
+            return Index([[(m.field, 0, 0, 0)] for m in members], lambda row: _paths(row.document, found), {"s"}, 1.0, True)
     if x.keyword == "range":
-        v = value.number
-        cell = lambda n: F.lit(0).cast("long") if n == OPEN else F.floor(v / F.lit(2.0**n)).cast("long")
-        each = F.array(*[F.struct(F.lit(n).alias("k0"), cell(n).alias("k1"), F.lit(0).cast("long").alias("k2")) for n in levels])
-        if OPEN not in levels:
-            return F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")), each)
-        # an infinite value is in intervals without an end alone
-        return F.when(v.isNotNull() & ~F.isnan(v), F.when(F.abs(v) < float("inf"), each).otherwise(F.filter(each, lambda k: k["k0"] == OPEN)))
-    p = value.point
-    cell = lambda v, n: F.lit(0).cast("long") if n == OPEN else F.floor(v / F.lit(2.0**n)).cast("long")
-    return F.when(p.isNotNull(), F.array(*[F.struct(F.lit(n).alias("k0"), cell(p["lat"], n).alias("k1"), cell(p["lon"], n).alias("k2")) for n in levels]))
-
-
-def joined(df: DataFrame, row: Row, members: list[Term], compiler: Compiler, keys: list[str]) -> DataFrame | None:
-    """Hits of a template's terms, ``keys`` and ``filter_``; None if it has no anchor. A filter may stand there several
-    times. The relation is broadcast up to BROADCAST_ROWS rows; beyond that Spark shuffles both sides by the key."""
-    spark = df.sparkSession
-    slots = [i for i, x in enumerate(members[0].literals) if indexable(x)]
-    if not slots:
+        return _intervals(members)
+    if x.keyword == "geo":
+        keys = [areas(m) for m in members]
+        levels = sorted({k[0] for own in keys for k in own})
+        return Index([[("", *k) for k in own] for own in keys], lambda row: _cells_of_point(row.field(x.field).point, levels), {"x", "y", "z"}, _spread(keys))
+    return _grams(members) if x.keyword == "regexp" and _variant(x) == "known" else None
+
+
+def _key(s: Column | None = None, x: Column | None = None, y: Column | None = None, z: Column | None = None) -> Column:
+    number = lambda c: F.lit(0).cast("long") if c is None else c.cast("long")
+    return F.struct((F.lit("") if s is None else s).alias("s"), (F.lit(0) if x is None else x).alias("x"), number(y).alias("y"), number(z).alias("z"))
+
+
+def _average(keys: list[list[tuple]]) -> float:
+    return sum(map(len, keys)) / max(1, len(set(chain.from_iterable(keys))))
+
+
+def _spread(keys: list[list[tuple]]) -> float:
+    """Filters that a row meets, roughly: those of an average cell of each level, and all that have none."""
+    levels = defaultdict(list)
+    for k, n in Counter(chain.from_iterable(keys)).items():
+        levels[k[0]].append(n)
+    return sum(sum(n) if k == OPEN else sum(n) / len(n) for k, n in levels.items())
+
+
+def _elements(value) -> Column | None:
+    if value.elements() is None:
         return None
-    at = min(slots, key=lambda i: expected_hits([t.literals[i] for t in members]))
-    shape = members[0].literals
-    fields, rows = [], []
-    kinds = ["string"] if shape[at].keyword in ("equals", "exists") else ["int", "long", "long"]
-    fields += [f"t_k{i} {k}" for i, k in enumerate(kinds)] + ["t_filters array<int>"]
-    for i, x in enumerate(shape):
-        fields += [f"t_{i}_{n} {KINDS.get(n, 'double')}" for n in columns_of(x, compiler.engine)]
-    levels = set()
-    for t in members:
-        own = [v for x in t.literals for v in columns_of(x, compiler.engine).values()]
-        for k in anchors(t.literals[at]):
-            levels.add(k[0])
-            rows.append((*k, list(t.filters), *own))
-    if not rows:
-        return df.select(*keys, F.lit(0).alias("filter_")).limit(0)
-    found = row_keys(row, shape[at], sorted(levels) if len(kinds) > 1 else [])
-    if found is None:
-        return df.select(*keys, F.lit(0).alias("filter_")).limit(0)
-    relation = spark.createDataFrame(rows, ", ".join(fields))
-    if len(rows) <= BROADCAST_ROWS:
-        relation = F.broadcast(relation)
-    # the fields of the row are read from the frame's own columns, so these stay until the other literals are tested
-    with_key = df.withColumn("t_key", F.explode(found))
-    met = with_key.join(relation, reduce(lambda a, b: a & b, [F.col(f"t_key.k{i}") == F.col(f"t_k{i}") for i in range(len(kinds))]))
-    tests = []
-    for i, x in enumerate(shape):
-        if i == at and x.keyword in ("equals", "exists"):
+    items, of = value.elements()
+    return F.transform(F.array_distinct(F.transform(items, lambda e: of(e).key)), lambda k: _key(s=k))
+
+
+def objects(paths: list[str]) -> list[tuple[str, ...]]:
+    """The objects, by the keys that lead there, whose own keys say which of the paths a document has."""
+    parents = {tuple(p.split(".")[:n]) for p in paths for n in range(p.count(".") + 1)}
+    return sorted({tuple(way) for p in parents for way in ways(list(p))})
+
+
+def _paths(document: Column, paths: list[str]) -> Column:
+    """The paths asked for, and others, that a document has, once each."""
+    found = []
+    for parent in objects(paths):
+        if None not in (way := [step(k) for k in parent]):
+            keys = F.coalesce(F.map_keys(F.try_variant_get(document, "$" + "".join(way), "map<string,variant>")), F.array().cast("array<string>"))
+            found.append(_under(keys, ".".join([*parent, ""])) if parent else keys)
+    return F.transform(F.array_distinct(F.concat(*found)), lambda k: _key(s=k))
+
+
+def _under(keys: Column, start: str) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit(start), k))
+
+
+def _intervals(members: list[Literal]) -> Index:
+    field_, ends = members[0].field, [bounds(m) for m in members]
+    keys: list[list[tuple]] = [[] for _ in members]
+    open_: dict[int, list[tuple[float, int]]] = {UP: [], DOWN: []}
+    for i, (low, high) in enumerate(ends):
+        if math.isnan(low) or math.isnan(high):
             continue
-        args = {n: F.col(f"t_{i}_{n}") for n in columns_of(x, compiler.engine)}
-        tests.append(compiler.condition(row, x, args or None))
-    if tests:
-        met = met.filter(reduce(lambda a, b: a & b, tests))
-    return met.select(*keys, F.explode("t_filters").alias("filter_"))
+        if math.isfinite(high - low):
+            keys[i] = cells(low, high)
+        elif high == math.inf:
+            open_[UP].append((low, i))
+        else:
+            open_[DOWN].append((-high, i))
+    # a row with value v has the bounds that stand before it: those at most v of the lower ones, at least v of the upper
+    places = {}
+    for level, found in open_.items():
+        found.sort()
+        places[level] = [v for v, _ in found]
+        for n, (_, i) in enumerate(found):
+            keys[i] = [(level, n, 0)]
+    levels = sorted({k[0] for own in keys for k in own} - {UP, DOWN})
+    spread = _spread([own for own in keys if own and own[0][0] not in (UP, DOWN)]) + sum(map(len, open_.values())) / 2
+
+    def row_keys(row: Row) -> Column:
+        v = row.field(field_).number
+        parts = []
+        if levels:
+            each = F.array(*[_key(x=F.lit(n), y=F.floor(v / F.lit(2.0**n))) for n in levels])
+            parts.append(F.when(F.abs(v) < float("inf"), each).otherwise(_none()))  # an infinite value is in no cell
+        for level, sign in ((UP, 1), (DOWN, -1)):
+            if places[level]:
+                n = _upto(v if sign > 0 else -v, places[level])
+                parts.append(F.when(n > 0, _places(level, n)).otherwise(_none()))
+        return F.when(v.isNotNull() & ~F.isnan(v), F.concat(*parts) if len(parts) > 1 else parts[0])
+
+    return Index([[("", *k) for k in own] for own in keys], row_keys, {"x", "y"}, spread)
+
+
+def _places(level: int, n: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: _key(x=F.lit(level), y=k))
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<s:string,x:int,y:bigint,z:bigint>>")
+
+
+def _upto(v: Column, bounds_: list[float]) -> Column:
+    """How many of sorted bounds are at most v, found by halving."""
+    bits = max(1, len(bounds_).bit_length())
+    text = ",".join("Infinity" if b == math.inf else "-Infinity" if b == -math.inf else repr(b) for b in [*bounds_, *[math.nan] * ((1 << bits) - 1 - len(bounds_))])
+    known = F.expr(f"cast(split('{text.replace('nan', 'NaN')}', ',') as array<double>)")  # NaN sorts above all numbers
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(bits))]), F.lit(0), lambda at, n: F.when(F.element_at(known, at + n) <= v, at + n).otherwise(at))
+
+
+def _cells_of_point(p: Column, levels: list[int]) -> Column:
+    cell = lambda v, n: F.lit(0) if n == OPEN else F.floor(v / F.lit(2.0**n))
+    return F.when(p.isNotNull(), arrays([_key(x=F.lit(n), y=cell(p["lat"], n), z=cell(p["lon"], n)) for n in levels], "struct<s:string,x:int,y:bigint,z:bigint>"))
+
+
+def _grams(members: list[Literal]) -> Index:
+    """Of each pattern the characters, of those that a match must have, that the fewest patterns before it took."""
+    used, keys = Counter(), []
+    for m in members:
+        must = required(m.args["value"], m.args["flags"])
+        best = min({must[i : i + GRAM] for i in range(len(must) - GRAM + 1)}, key=lambda g: (used[g], g))
+        used[best] += 1
+        keys.append([(best, 0, 0, 0)])
+    grams = lambda row: F.array_distinct(F.regexp_extract_all(row.field(members[0].field).string, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+    # tried on a hit, a pattern is compiled anew: other anchors are better if there are any
+    return Index(keys, lambda row: F.transform(grams(row), lambda k: _key(s=k)), {"s"}, 1e6 + _average(keys))
+
+
+@dataclass
+class Group:
+    """Units of one shape, and how each of their terms is found."""
+
+    units: list[Unit]
+    anchors: list[tuple[int, Index]] = field(default_factory=list)
+
+    @classmethod
+    def of(cls, units: list[Unit], paths: bool) -> Group | None:
+        found = cls(units)
+        for t in range(len(units[0].terms)):
+            ways = [(n, i) for n in range(len(units[0].terms[t])) if (i := index([u.terms[t][n] for u in units], paths)) is not None]
+            if not ways:
+                return None
+            found.anchors.append(min(ways, key=lambda w: w[1].expected))
+        return found
+
+
+class Relation:
+    """Rows of filters: key columns ``__b`` (branch: a term of a group), ``__s, __x, __y, __z``, ``__ids`` and columns for
+    arguments, which the groups share by kind."""
+
+    def __init__(self) -> None:
+        self.keys: list[list] = [[] for _ in range(5)]
+        self.ids: list[list[str]] = []
+        self.rows: list[dict] = []
+        self.kinds: dict[str, str] = {}
+        self.uses: set[str] = set()
+
+    def add(self, branch: int, key: tuple, ids: list[str], args: dict) -> None:
+        for column, value in zip(self.keys, (branch, *key), strict=True):
+            column.append(value)
+        self.ids.append(ids)
+        self.rows.append(args)
+
+    def column(self, kind: str, number: int) -> str:
+        name = f"__{kind}_{number}"
+        self.kinds[name] = kind
+        return name
+
+    def frame(self, spark) -> DataFrame:
+        types = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+        columns = {f"__{n}": pa.array(c, t) for n, c, t in zip("bsxyz", self.keys, types, strict=True)}
+        columns["__ids"] = pa.array(self.ids, pa.list_(pa.string()))
+        for name, kind in self.kinds.items():
+            columns[name] = pa.array([r.get(name) for r in self.rows], ARROW[kind])
+        made = spark.createDataFrame(pa.table(columns))
+        return F.broadcast(made) if len(self.rows) <= BROADCAST_ROWS else made
+
+
+def slots(group: Group, relation: Relation, engine: str) -> list[list[dict[str, str]]]:
+    """For each term and literal of a group the columns of its arguments."""
+    count: Counter = Counter()
+
+    def one(kind: str) -> str:
+        count[kind] += 1
+        return relation.column(kind, count[kind])
+
+    return [[{n: one(KINDS.get(n, "double")) for n in columns_of(x, engine)} for x in t] for t in group.units[0].terms]
+
+
+def joined(row: Row, groups: list[Group], ids: list[str], compiler: Compiler) -> tuple[Relation, list[Column], Column]:
+    """The relation of groups, the keys of a row for each branch, and the test of a hit."""
+    relation, keys, test, branch = Relation(), [], None, 0
+    for group in groups:
+        where = slots(group, relation, compiler.engine)
+        terms = group.units[0].terms
+        held = lambda t, but=None: [compiler.condition(row, x, {n: F.col(c) for n, c in where[t][i].items()} or None) for i, x in enumerate(terms[t]) if i != but]  # noqa: B023, E731
+        every = [{where[t][i][n]: v for t, own in enumerate(u.terms) for i, x in enumerate(own) for n, v in columns_of(x, compiler.engine).items()} for u in group.units]
+        for t, (at, way) in enumerate(group.anchors):
+            found = way.row(row)
+            if found is None:
+                continue
+            for u, own, args in zip(group.units, way.keys, every, strict=True):
+                for k in own:
+                    relation.add(branch, k, [ids[i] for i in u.filters], args)
+            keys.append(_of_branch(found, branch))
+            relation.uses |= way.uses
+            conditions = held(t, at if way.exact else None) + [~reduce(lambda a, b: a & b, held(before)) for before in range(t)]
+            if conditions:
+                whole = reduce(lambda a, b: a & b, conditions)
+                test = F.when(F.col("__b") == branch, whole) if test is None else test.when(F.col("__b") == branch, whole)
+            branch += 1
+    return relation, keys, test.otherwise(True) if test is not None else None
+
+
+def _of_branch(found: Column, branch: int) -> Column:
+    return F.transform(found, lambda k: F.struct(F.lit(branch).alias("b"), *[k[n].alias(n) for n in "sxyz"]))
 
 
-def fields_of(terms: list[Term]) -> dict[str, bool]:
+def fields_of(units: Iterator[Unit]) -> dict[str, bool]:
     """The fields that literals are about, and whether any wants a point."""
     out: dict[str, bool] = {}
-    for t in terms:
-        for x in t.literals:
-            for f in x.args if x.keyword == "match" else [x.field]:
-                out[f] = out.get(f, False) or x.keyword == "geo"
+    for x in chain.from_iterable(chain.from_iterable(u.terms) for u in units):
+        for f in x.args if x.keyword == "match" else [x.field]:
+            out[f] = out.get(f, False) or x.keyword == "geo"
     return out
 
 
 def percolate(df: DataFrame, doc: str | None, normals: list, ids: list, keys: list[str], compiler: Compiler, *, mode: str = "auto", join_from: int = JOIN_FROM, name: str = "filter_id") -> DataFrame:
-    """``keys`` and the id of each filter that a row fulfils, once a row. Fields are columns, or those of the VARIANT
-    column ``doc``. ``mode``: expression, join or auto.
+    """``keys`` and the id of each filter that a row fulfils, once for each row and filter. Fields are columns, or those of
+    the VARIANT column ``doc``. ``mode``: expression, join or auto.
 
-    Rows keep apart by their keys: where these repeat, so do their hits' rows, but for one distinct over all if a filter
-    may be found by several branches or terms. Null keys are ordinary keys.
+    Rows with equal keys are rows of their own, each with its hits. Null keys are ordinary keys. Rows are read once. The
+    relation of filters is broadcast up to BROADCAST_ROWS rows; beyond that rows and filters meet by a shuffle of the keys,
+    and filters that are expressions take a pass of their own.
     """
-    terms = terms_of(normals)
-    df, row = Row.of(df, doc, fields_of(terms), keys)
-    groups: dict[tuple, list[Term]] = defaultdict(list)
-    for t in terms:
-        groups[template(t)].append(t)
-    branches, rest = [], []
-    for members in groups.values():
-        branch = joined(df, row, members, compiler, keys) if mode == "join" or mode == "auto" and len(members) >= join_from else None
-        if branch is None:
+    by_shape: dict[tuple, list[Unit]] = defaultdict(list)
+    for u in units_of(normals):
+        by_shape[tuple(map(shape_of, u.terms))].append(u)
+    groups, rest = [], []
+    for members in by_shape.values():
+        found = Group.of(members, doc is not None) if mode == "join" or mode == "auto" and len(members) >= join_from else None
+        if found is None:
             rest += members
         else:
-            branches.append(branch)
-    n_branches = len(branches)
-    for at in range(0, len(rest), EXPRESSIONS):
-        some = rest[at : at + EXPRESSIONS]
-        need = necessary(row, some)
+            groups.append(found)
+    listed = [u for g in groups for u in g.units if not (len(u.terms) == 1 and len(u.terms[0]) == 1 and named(u.terms[0][0]))]
+    df, row = Row.of(df, doc, fields_of(chain(rest, listed)), keys)
+    rest = [u for u in rest if doc is not None or not never(row, u)]
+    own = [F.col(quoted(k)) for k in keys]
+    hits = holding(row, rest, compiler)
+    relation, found, test = joined(row, groups, ids, compiler)
+    if not relation.rows:
+        if not hits:
+            return df.select(*own, F.lit(None).cast("string").alias(name)).limit(0)
+        need = necessary(row, rest)
         source = df.filter(need) if need is not None else df
-        found = holding(row, some, compiler)
-        branches.append(source.select(*keys, F.explode(found).alias("filter_")).filter("filter_ is not null"))
-    if not branches:
-        return df.select(*keys, F.lit(None).cast("string").alias(name)).limit(0)
-    out = reduce(DataFrame.union, branches)
-    once = all(len(x) <= 1 for x in normals) or n_branches == 0 and len(branches) == 1
-    if not once:
-        out = out.distinct()
-    return named(out, ids, keys, name)
-
-
-def named(out: DataFrame, ids: list, keys: list[str], name: str) -> DataFrame:
+        made = arrays([F.when(c, F.lit(i)) for i, c in hits], "int")
+        return named_ids(source.select(*own, F.explode(made).alias("__filter")).filter("`__filter` is not null"), ids, keys, name)
+    apart_ = len(relation.rows) > BROADCAST_ROWS and hits
+    if hits and not apart_:
+        for i, _ in hits:
+            relation.add(-1, ("", i, 0, 0), [ids[i]], {})
+        found.append(arrays([F.when(c, F.struct(F.lit(-1).alias("b"), F.lit("").alias("s"), F.lit(i).alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("z"))) for i, c in hits], ""))
+    branches = len(found)
+    if branches > 1:
+        empty = F.array().cast("array<struct<b:int,s:string,x:int,y:bigint,z:bigint>>")
+        found = [F.concat(*[F.coalesce(k, empty) for k in found])]
+    # the fields of the row are read from the frame's own columns, so these stay until the other literals are tested
+    met = df.withColumn("__key", F.explode(found[0]))
+    used = sorted(relation.uses | ({"b", "x"} if hits and not apart_ else {"b"} if branches > 1 else set()))
+    met = met.join(relation.frame(df.sparkSession), reduce(lambda a, b: a & b, [F.col(f"__key.{n}") == F.col(f"__{n}") for n in used]))
+    if test is not None:
+        met = met.filter(test)
+    out = met.select(*own, F.explode("__ids").alias(name))
+    if apart_:
+        made = arrays([F.when(c, F.lit(i)) for i, c in hits], "int")
+        out = out.union(named_ids(df.select(*own, F.explode(made).alias("__filter")).filter("`__filter` is not null"), ids, keys, name))
+    return out
+
+
+def named_ids(out: DataFrame, ids: list, keys: list[str], name: str) -> DataFrame:
     """Numbers of filters replaced by their ids."""
+    own = [F.col(quoted(k)) for k in keys]
     if len(ids) <= 2000:
-        return out.select(*keys, F.element_at(F.array(*[F.lit(i) for i in ids]), F.col("filter_") + 1).alias(name))
-    table = out.sparkSession.createDataFrame(list(enumerate(ids)), f"filter_ int, {name} string")
-    return out.join(F.broadcast(table) if len(ids) <= BROADCAST_ROWS else table, "filter_").select(*keys, name)
+        return out.select(*own, F.element_at(F.array(*[F.lit(i) for i in ids]), F.col("__filter") + 1).alias(name))
+    table = out.sparkSession.createDataFrame(pa.table({"__filter": pa.array(range(len(ids)), pa.int32()), "__id": pa.array(ids, pa.string())}))
+    return out.join(F.broadcast(table) if len(ids) <= BROADCAST_ROWS else table, "__filter").select(*own, F.col("__id").alias(name))

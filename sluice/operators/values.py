@@ -278,8 +278,8 @@ def make(col: Column, kind: T.DataType) -> Typed | Loose:
 class Row:
     """Fields by path. ``field("a.b")`` is the top-level key ``a.b`` if there is one, else ``b`` below ``a``."""
 
-    def __init__(self, roots: dict[str, Typed | Loose | Absent] | None = None, whole: bool = False) -> None:
-        self.roots, self.whole = roots or {}, whole
+    def __init__(self, roots: dict[str, Typed | Loose | Absent] | None = None, whole: bool = False, document: Column | None = None) -> None:
+        self.roots, self.whole, self.document = roots or {}, whole, document
 
     @classmethod
     def of(cls, df: DataFrame, doc: str | None, fields: dict[str, bool], keys: list[str]) -> tuple[DataFrame, Row]:
@@ -290,28 +290,53 @@ class Row:
             return df, cls({f.name: make(F.col(quoted(f.name)), f.dataType) for f in df.schema.fields})
         paths = sorted(fields)
         found = {f"v_{i}": c for i, p in enumerate(paths) if (c := at_path(F.col(quoted(doc)), p)) is not None}
-        df = df.select(*[F.col(quoted(k)) for k in keys], *[c.alias(n) for n, c in found.items()])
+        df = df.select(*[F.col(quoted(k)) for k in keys], F.col(quoted(doc)).alias("v_doc"), *[c.alias(n) for n, c in found.items()])
         df = df.select("*", *[F.schema_of_variant(n).alias(f"{n}_kind") for n in found])
         points = [f"v_{i}" for i, p in enumerate(paths) if fields[p] and f"v_{i}" in found]
         if points:
             df = df.select("*", *[Loose(F.col(n), F.col(f"{n}_kind")).point.alias(f"{n}_point") for n in points])
-        return df, cls({p: Loose(F.col(f"v_{i}"), F.col(f"v_{i}_kind"), F.col(f"v_{i}_point") if f"v_{i}" in points else None) if f"v_{i}" in found else Absent() for i, p in enumerate(paths)}, True)
+        return df, cls({p: Loose(F.col(f"v_{i}"), F.col(f"v_{i}_kind"), F.col(f"v_{i}_point") if f"v_{i}" in points else None) if f"v_{i}" in found else Absent() for i, p in enumerate(paths)}, True, F.col("v_doc"))
 
     def field(self, path: str) -> Typed | Loose | Absent:
         if path in self.roots or self.whole:
             return self.roots[path]
-        name, _, rest = path.partition(".")
-        value = self.roots.get(name, Absent()) if rest else Absent()
-        for part in rest.split(".") if rest else []:
-            value = value.field(part)
-        return value
+        return below(lambda name: self.roots.get(name, Absent()), path.split("."))
+
+
+def below(get: Callable[[str], Typed | Loose | Absent], parts: list[str]) -> Typed | Loose | Absent:
+    """A field by the parts of its path; a key may hold dots and so stand for several parts, the longest key first."""
+    for n in range(len(parts), 0, -1):
+        value, rest = get(".".join(parts[:n])), parts[n:]
+        if rest and isinstance(value, Loose):
+            inner = at_path(value.raw, ".".join(rest))
+            return Absent() if inner is None else Loose(inner)
+        if rest and isinstance(value, Typed):
+            # any key may be in a map: there the shortest first, as long as it leads on
+            found = below(value.field, rest) if not isinstance(value.kind, T.MapType) else next((x for k in range(1, len(rest) + 1) if not isinstance(x := below(value.field(".".join(rest[:k])).field, rest[k:]) if rest[k:] else value.field(".".join(rest[:k])), Absent)), Absent())
+            if not isinstance(found, Absent):
+                return found
+        elif not rest and not isinstance(value, Absent):
+            return value
+    return Absent()
+
+
+#: Parts of a path up to which a key may stand for any of them together; longer paths are one key, or one for each part.
+MOST_PARTS = 6
+
+
+def ways(parts: list[str]) -> list[list[str]]:
+    """The keys that a path may be made of: a key may hold dots. The longest keys first."""
+    if len(parts) > MOST_PARTS:
+        return [[".".join(parts)], parts]
+    if not parts:
+        return [[]]
+    return [[".".join(parts[:n]), *rest] for n in range(len(parts), 0, -1) for rest in ways(parts[n:])]
 
 
 def at_path(document: Column, path: str) -> Column | None:
     """The value of a VARIANT document at a path; None for paths that can't be written."""
-    parts = [step(p) for p in path.split(".")]
-    ways = dict.fromkeys(w for w in (step(path), None if None in parts else "".join(parts)) if w)
-    found = [F.try_variant_get(document, "$" + w, "variant") for w in ways]
+    steps = [[step(k) for k in way] for way in ways(path.split("."))]
+    found = [F.try_variant_get(document, "$" + "".join(way), "variant") for way in steps if None not in way]
     return F.coalesce(*found) if len(found) > 1 else found[0] if found else None
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -73,6 +74,29 @@ POINTS = both(
     ("home", "named_struct('lat', 43.6 + (event_id % 97 - 48) / 1000d, 'lon', 3.9 + (event_id % 89 - 44) / 1000d)", "{'lat': 43.6 + (event_id % 97 - 48) / 1000.0::double, 'lon': 3.9 + (event_id % 89 - 44) / 1000.0::double}"),
     ("maybe", "case when event_id % 3 = 0 then named_struct('lat', 43.6 + (event_id % 97 - 48) / 1000d, 'lon', 3.9 + (event_id % 89 - 44) / 1000d) end", "case when event_id % 3 = 0 then {'lat': 43.6 + (event_id % 97 - 48) / 1000.0::double, 'lon': 3.9 + (event_id % 89 - 44) / 1000.0::double} end"),
 )
+PLACE = "(event_id * 37 % 1700) / 10.0 - 85", "(event_id * 91 % 3599) / 10.0 - 180"
+#: The same points, as the formats that rows may have them in.
+FORMATS = both(
+    "events", "event_id",
+    ("pair_text", f"concat(cast({PLACE[0]} as double), ', ', cast({PLACE[1]} as double))", "null"),
+    ("pair", f"array(cast({PLACE[0]} as double), cast({PLACE[1]} as double))", "null"),
+    ("wrapped", f"named_struct('latLon', named_struct('lat', cast({PLACE[0]} as double), 'lon', cast({PLACE[1]} as double)))", "null"),
+    ("listed", f"named_struct('lat_lon', array(cast({PLACE[0]} as double), cast({PLACE[1]} as double)))", "null"),
+    ("strings", f"named_struct('lat', cast(cast({PLACE[0]} as double) as string), 'lon', cast(cast({PLACE[1]} as double) as string))", "null"),
+    ("pos", "null", f"{{'lat': {PLACE[0]}, 'lon': {PLACE[1]}}}"),
+)
+#: Geohashes of four to eight characters; SQL adds up their bits: the even ones halve the longitude, the odd ones the latitude.
+HASH = " || ".join(f"substr('0123456789bcdefghjkmnpqrstuvwxyz', (event_id * {m} + {m} * event_id // 37) % 32 + 1, 1)" for m in (7, 11, 13, 17, 19, 23, 29, 31))
+HASHED = {
+    "frame": derived("events", "event_id", f"substr({HASH.replace('//', 'div')}, 1, 4 + cast(event_id % 5 as int)) as hash"),
+    "view": f"""select event_id, {{'lat': -90 + sum(case when g % 2 = 1 then bit * 180 / pow(2, (g + 1) // 2) else 0 end) + 90 / pow(2, (max(n) * 5) // 2),
+      'lon': -180 + sum(case when g % 2 = 0 then bit * 360 / pow(2, g // 2 + 1) else 0 end) + 180 / pow(2, (max(n) * 5 + 1) // 2)}} as pos
+    from (select event_id, n, g, ((strpos('0123456789bcdefghjkmnpqrstuvwxyz', substr(hash, g // 5 + 1, 1)) - 1) >> (4 - g % 5)) & 1 as bit
+      from (select event_id, hash, length(hash) as n, unnest(range(length(hash) * 5)) as g
+        from (select event_id, substr({HASH}, 1, 4 + cast(event_id % 5 as int)) as hash from events)))
+    group by event_id""",
+    "key": "event_id",
+}
 NESTED = both("events", "event_id", ("payload", "named_struct('kind', event_type, 'inner', named_struct('v', value))", "{'kind': event_type, 'inner': {'v': value}}"), ("opt", "case when event_id % 4 <> 0 then user_id end", "case when event_id % 4 <> 0 then user_id end"))
 WORDS = {"frame": derived("documents", "doc_id", "split(text, ' ') as words", "lang", "text"), "view": "select doc_id, string_split(text, ' ') as words, lang, text from documents", "key": "doc_id"}
 
@@ -89,6 +113,9 @@ def convex(col: str, ring: list[tuple[float, float]]) -> str:
     return "(" + " and ".join(f"({x2 - x1}) * ({col}.lat - ({y1})) - ({y2 - y1}) * ({col}.lon - ({x1})) <= 0" for (y1, x1), (y2, x2) in zip(ring, [*ring[1:], ring[0]], strict=True)) + ")"
 
 
+#: Rings that turn inwards: an L, and a square with a notch.
+CORNER = [(-40.05, -90.05), (60.05, -90.05), (60.05, -20.05), (0.05, -20.05), (0.05, 80.05), (-40.05, 80.05)]
+NOTCH = [(-60.05, -100.05), (60.05, -100.05), (60.05, -30.05), (0.05, -30.05), (0.05, 30.05), (60.05, 30.05), (60.05, 100.05), (-60.05, 100.05)]
 RING = [(-31.05, -40.05), (42.05, -40.05), (42.05, 61.05), (-31.05, 61.05)]
 TRIANGLE = [(-20.03, 10.07), (50.03, 45.07), (-20.03, 80.07)]
 
@@ -148,6 +175,33 @@ CASES: dict[str, Case] = {
     "geo_distance": Case(**POINTS, filters={"near": ({"geoDistance": {"home": {"lat": 43.6, "lon": 3.9}, "distance": "2.5 km"}}, f"{distance(43.6, 3.9, 'home')} <= 2500"), "far": ({"geoDistance": {"pos": "10, 20", "distance": "3 000 mi"}}, f"{distance(10, 20, 'pos')} <= 4828020")}),
     "geo_distance_range": Case(**POINTS, filters={"ring": ({"geoDistanceRange": {"home": [43.6, 3.9], "from": "1km", "to": "3 km"}}, f"{distance(43.6, 3.9, 'home')} between 1000 and 3000")}),
     "geo_polygon": Case(**POINTS, filters={"square": ({"geoPolygon": {"pos": {"points": [list(p) for p in RING]}}}, convex("pos", RING)), "triangle": ({"geoPolygon": {"pos": {"points": [{"lat": a, "lon": b} for a, b in TRIANGLE]}}}, convex("pos", TRIANGLE))}),
+    "geo_concave": Case(**POINTS, filters={
+        "corner": ({"geoPolygon": {"pos": {"points": [list(p) for p in CORNER]}}}, f"({box('pos', -40.05, 60.05, -90.05, -20.05)} or {box('pos', -40.05, 0.05, -90.05, 80.05)})"),
+        "notch": ({"geoPolygon": {"pos": {"points": [f"{a}, {b}" for a, b in NOTCH]}}}, f"({box('pos', -60.05, 60.05, -100.05, 100.05)} and not (pos.lat > 0.05 and pos.lon > -30.05 and pos.lon < 30.05))"),
+    }),
+    "not_polygon": Case(**POINTS, filters={"square": ({"not": {"geoPolygon": {"pos": {"points": [list(p) for p in RING]}}}}, f"not {convex('pos', RING)}"), "corner": ({"not": {"geoPolygon": {"pos": {"points": [list(p) for p in CORNER]}}}}, f"not ({box('pos', -40.05, 60.05, -90.05, -20.05)} or {box('pos', -40.05, 0.05, -90.05, 80.05)})")}),
+    "geo_formats": Case(**FORMATS, filters={
+        "text": ({"geoDistance": {"pair_text": [10, 20], "distance": "3000km"}}, f"{distance(10, 20, 'pos')} <= 3000000"),
+        "list": ({"geoDistance": {"pair": {"lat": 10, "lon": 20}, "distance": "3000 Km"}}, f"{distance(10, 20, 'pos')} <= 3000000"),
+        "wrapped": ({"geoDistance": {"wrapped": "10, 20", "distance": "3000000"}}, f"{distance(10, 20, 'pos')} <= 3000000"),
+        "wrapped_list": ({"geoDistance": {"listed": {"latLon": [10, 20]}, "distance": "3 000 km"}}, f"{distance(10, 20, 'pos')} <= 3000000"),
+        "strings": ({"geoDistance": {"strings": {"lat_lon": "10,20"}, "distance": "3000 kilometres"}}, f"{distance(10, 20, 'pos')} <= 3000000"),
+    }),
+    "geohash": Case(**HASHED, filters={
+        "near": ({"geoDistance": {"hash": "spfb09x0ud5s", "distance": "2000 km"}}, f"{distance(43.60212985426188, 3.8989713042974472, 'pos')} <= 2000000"),
+        "box": ({"geoBoundingBox": {"hash": {"topLeft": [70.05, -60.05], "bottomRight": [1.05, 40.05]}}}, box("pos", 1.05, 70.05, -60.05, 40.05)),
+        "not": ({"not": {"geoBoundingBox": {"hash": {"top": 70.05, "left": -60.05, "bottom": 1.05, "right": 40.05}}}}, f"not {box('pos', 1.05, 70.05, -60.05, 40.05)}"),
+    }),
+    "repeated_keys": Case(**ORDERS | {"key": "o_orderpriority"}, filters={
+        "plain": ({"range": {"o_totalprice": {"gt": 400000}}}, "o_totalprice > 400000"),
+        "either": ({"or": [{"range": {"o_totalprice": {"gt": 300000}}}, {"equals": {"o_orderstatus": "P"}}, {"range": {"o_totalprice": {"gte": 350000, "lt": 360000}}}]}, "o_totalprice > 300000 or o_orderstatus = 'P'"),
+    }),
+    "dotted_keys": Case(frame=documents_of("events", "event_id", "named_struct('x.y', user_id, 'z', event_type) as a", "named_struct('c', named_struct('d', value)) as `a.b`"), view="select event_id, user_id, event_type, value from events", key="event_id", doc="doc", filters={
+        "inner": ({"equals": {"a.x.y": 7}}, "user_id = 7"),
+        "outer": ({"range": {"a.b.c.d": {"lt": 20}}}, "value < 20"),
+        "both": ({"and": [{"equals": {"a.z": "click"}}, {"exists": "a.b.c"}]}, "event_type = 'click'"),
+        "none": ({"exists": "a.x"}, "false"),
+    }),
     "nothing_everything": Case(**{"frame": table("nation", "n_nationkey", "n_name"), "view": "select n_nationkey, n_name from nation", "key": "n_nationkey"}, filters={"nothing": ({"nothing": None}, "false"), "everything": ({}, "true"), "not_nothing": ({"not": {"nothing": True}}, "true")}),
     "not_equals": Case(**NESTED, filters={"value": ({"not": {"equals": {"opt": 3}}}, "opt is null or opt <> 3"), "absent": ({"not": {"equals": {"nowhere": 1}}}, "true")}),
     "not_range": Case(**NESTED, filters={"value": ({"not": {"range": {"opt": {"gt": 20, "lt": 60}}}}, "opt is null or not (opt > 20 and opt < 60)"), "no_number": ({"not": {"range": {"payload.kind": {"gt": 0}}}}, "true")}),
@@ -171,13 +225,7 @@ CASES: dict[str, Case] = {
         "exists": ({"exists": "k"}, "k is not null"),
         "missing": ({"not": {"exists": "other"}}, "true"),
     }),
-    "json_nested": Case(frame=documents_of("documents", "doc_id", "named_struct('lang', lang, 'words', slice(split(text, ' '), 1, 5)) as meta"), view="select doc_id, lang, string_split(text, ' ')[1:5] as words from documents", key="doc_id", doc="doc", filters={
-        "path": ({"equals": {"meta.lang": "fr"}}, "lang = 'fr'"),
-        "array": ({"exists": 'meta.words["the"]'}, "list_contains(words, 'the')"),
-        "match": ({"match": {"meta": {"lang": "en", "words": ["of"]}}}, "lang = 'en' and list_contains(words, 'of')"),
-        "select": ({"select": {"field": "meta.words", "index": -1, "query": {"regexp": {"value": "^t"}}}}, "regexp_matches(words[-1], '^t')"),
-    }),
-    "json_words": Case(frame=documents_of("documents", "doc_id", "named_struct('lang', lang, 'words', split(text, ' ')) as meta"), view="select doc_id, lang, string_split(text, ' ') as words from documents", key="doc_id", doc="doc", filters={
+    "json_nested": Case(frame=documents_of("documents", "doc_id", "named_struct('lang', lang, 'words', split(text, ' ')) as meta"), view="select doc_id, lang, string_split(text, ' ') as words from documents", key="doc_id", doc="doc", filters={
         "path": ({"equals": {"meta.lang": "fr"}}, "lang = 'fr'"),
         "array": ({"exists": 'meta.words["the"]'}, "list_contains(words, 'the')"),
         "match": ({"match": {"meta": {"lang": "en", "words": ["of"]}}}, "lang = 'en' and list_contains(words, 'of')"),
@@ -234,7 +282,7 @@ def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The paths of nested documents."""
     from sluice.functions.flatten import flat_fields
 
-    return flat_fields(FLAT(spark, sf_dir), "doc", ["doc_id"], depth=4).select("doc_id", "path")
+    return flat_fields(FLAT(spark, sf_dir), "doc", ["doc_id"]).select("doc_id", "path")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: c.run for name, c in CASES.items()}
@@ -265,7 +313,8 @@ TAGGED = both(
     "events", "event_id",
     ("uid", "concat('u', cast(user_id as string))", "'u' || user_id"),
     ("tags", "array(concat('t', cast(event_id % 10007 as string)), concat('t', cast(user_id as string)))", "['t' || (event_id % 10007), 't' || user_id]"),
-    ("value", "value", "value"), ("user_id", "user_id", "user_id"),
+    ("value", "value", "value"), ("user_id", "user_id", "user_id"), ("event_type", "event_type", "event_type"),
+    ("line", "concat('user ', user_id, ' did ', event_type, ' ', event_id)", "'user ' || user_id || ' did ' || event_type || ' ' || event_id"),
     ("pos", "named_struct('lat', (event_id * 7919 % 160000) / 1000d - 80, 'lon', (event_id * 104729 % 350000) / 1000d - 175)", "{'lat': (event_id * 7919 % 160000) / 1000.0::double - 80, 'lon': (event_id * 104729 % 350000) / 1000.0::double - 175}"),
 )
 
@@ -298,6 +347,8 @@ MANY: dict[str, tuple[Callable[[int], dict], str]] = {
     "many_in": (lambda i: {"in": {"uid": [f"u{i * 5 + k}" for k in range(5)]}}, "rows join (select i from range(N) t(i)) c on user_id >= i * 5 and user_id < i * 5 + 5"),
     "many_exists": (lambda i: {"exists": f'tags["t{i}"]'}, "(select event_id, unnest(list_distinct(tags)) as tag from rows) r join (select i from range(N) t(i)) c on tag = 't' || i"),
     "many_range": (lambda i: {"range": {"value": {"gte": i * 4.9 / 100, "lt": i * 4.9 / 100 + 2.5}}}, "rows join (select i, i * 4.9::double / 100 as low from range(N) t(i)) c on value >= low and value < low + 2.5"),
+    "many_half_open": (lambda i: {"range": {"value": {"gt": 485 + i * 0.0005} if i % 2 else {"lte": 5 - i * 0.0005}}}, "rows join (select i, 485 + i * 0.0005::double as low, 5 - i * 0.0005::double as high from range(N) t(i)) c on case when i % 2 = 1 then value > low else value <= high end"),
+    "many_regexp": (lambda i: {"regexp": {"line": f"user {i} did [cv].*"}}, "rows join (select i from range(N) t(i)) c on user_id = i and event_type in ('click', 'view')"),
     "many_boxes": (lambda i: {"geoBoundingBox": {"pos": {"bottom": centre(i)[0], "top": centre(i)[0] + 0.5, "left": centre(i)[1], "right": centre(i)[1] + 0.5}}}, f"rows join {CENTRES} on pos.lat >= c.lat and pos.lat <= c.lat + 0.5 and pos.lon >= c.lon and pos.lon <= c.lon + 0.5"),
     "many_circles": (lambda i: {"geoDistance": {"pos": list(centre(i)), "distance": "40 km"}}, f"rows join {CENTRES} on {around(0, 40000)}"),
     "many_rings": (lambda i: {"geoDistanceRange": {"pos": list(centre(i)), "from": "20 km", "to": "50km"}}, f"rows join {CENTRES} on {around(20000, 50000)}"),
@@ -308,6 +359,22 @@ for _name, (_make, _join) in MANY.items():
     ORACLE_SQL[_name] = f"with rows as ({TAGGED['view']}) select event_id, 'f' || i as filter_name from {_join.replace('(N)', '(10000)')}"
 
 
+#: Documents whose field names differ from row to row.
+NAMED = documents_of("events", "event_id", "map(concat('f', event_id % 20011), 1, concat('g', user_id), 2) as tags", "map('x', 1) as other")
+
+
+def many_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters on the existence of a field, each of another name."""
+    engine = Percolator(spark, seed=SEED)
+    names = {engine.register({"exists": f"tags.f{i * 2}" if i % 2 else f"tags.g{i}"}): f"f{i}" for i in range(10_000)}
+    return engine.percolate(NAMED(spark, sf_dir), ["event_id"], doc="doc", names=names).withColumnRenamed("filter_id", "filter_name")
+
+
+QUERIES["many_exists_name"] = many_names
+ORACLE_SQL["many_exists_name"] = """select event_id, 'f' || i as filter_name from events join (select i from range(10000) t(i)) c
+on case when i % 2 = 1 then event_id % 20011 = i * 2 else user_id = i end"""
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of a degree, joined by cells."""
     engine = Percolator(spark, seed=SEED)
@@ -322,3 +389,134 @@ QUERIES["boxes_600"] = grid
 ORACLE_SQL["boxes_600"] = f"""with rows as ({POINTS["view"]}),
 boxes as (select i, (i * 53 % 1600) / 10.0::double - 80.05 as bottom, (i * 97 % 3400) / 10.0::double - 175.05 as l from range(600) t(i))
 select event_id, 'b' || i as filter_name from rows join boxes on pos.lat >= bottom and pos.lat <= bottom + 3 and pos.lon >= l and pos.lon <= l + 4"""
+
+
+# the interface: what its calls return, as rows
+
+
+def told(call: Callable[[], object]) -> str:
+    """What a call returns, or is told."""
+    try:
+        return json.dumps(call(), sort_keys=True)
+    except ValueError as e:
+        return f"{getattr(e, 'keyword', None)}|{getattr(e, 'path', None)}|{e}"
+
+
+def calls(make: Callable[[SparkSession], list[tuple[str, Callable[[], object]]]]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: spark.createDataFrame([(name, told(call)) for name, call in make(spark)], "call string, result string")
+
+
+def wrong_filters(spark: SparkSession) -> list:
+    engine = Percolator(spark, seed=SEED)
+    given = {
+        "two_keywords": {"equals": {"a": 1}, "exists": "a"}, "unknown": {"foo": {}}, "empty_and": {"and": []}, "nested": {"and": [{"equals": {"a": 1}}, {"bool": {"must": [{"or": [{"exists": ""}]}]}}]},
+        "equals_list": {"equals": {"a": [1]}}, "in_numbers": {"in": {"a": [1]}}, "range_both": {"range": {"a": {"gt": 1, "gte": 1}}}, "range_order": {"range": {"a": {"gt": 2, "lt": 1}}}, "fine": {"range": {"a": {"gt": 1, "lt": 2}}},
+    }
+    return [(name, lambda f=f: engine.validate(f)) for name, f in given.items()]
+
+
+def normal_forms(spark: SparkSession) -> list:
+    engine = Percolator(spark, seed=SEED)
+    pairs = {
+        "order": ({"and": [{"equals": {"b": 1}}, {"equals": {"a": 2}}]}, {"and": [{"equals": {"a": 2}}, {"equals": {"b": 1}}]}),
+        "de_morgan": ({"not": {"or": [{"exists": "a"}, {"equals": {"b": 1}}]}}, {"and": [{"missing": "a"}, {"not": {"equals": {"b": 1}}}]}),
+        "in": ({"in": {"a": ["x", "y"]}}, {"or": [{"equals": {"a": "y"}}, {"equals": {"a": "x"}}]}),
+        "absorbed": ({"or": [{"equals": {"a": 1}}, {"and": [{"equals": {"a": 1}}, {"exists": "b"}]}]}, {"equals": {"a": 1}}),
+        "numbers": ({"equals": {"a": 1}}, {"equals": {"a": 1.0}}),
+        "types": ({"equals": {"a": 1}}, {"equals": {"a": "1"}}),
+        "signs": ({"exists": "a"}, {"missing": "a"}),
+        "boxes": ({"geoBoundingBox": {"p": {"top_left": [2, 1], "bottom_right": [0, 3]}}}, {"geoBoundingBox": {"p": {"top": 2, "left": 1, "bottom": 0, "right": 3}}}),
+    }
+    out = [(name, lambda a=a, b=b: engine.normalize(a).id == engine.normalize(b).id) for name, (a, b) in pairs.items()]
+    out.append(("index", lambda: engine.normalize({"exists": "a"}).id == engine.normalize({"exists": "a"}, "other").id))
+    out.append(("seed", lambda: engine.normalize({"exists": "a"}).id == Percolator(spark, seed=b"1" * 32).normalize({"exists": "a"}).id))
+    out.append(("same_seed", lambda: engine.normalize({"exists": "a"}).id == Percolator(spark, seed=SEED).normalize({"exists": "a"}).id))
+    terms = lambda f: [[[x.keyword, x.field, x.negated] for x in t] for t in engine.normalize(f).terms]
+    out.append(("sorted_terms", lambda: terms({"or": [{"exists": "z"}, {"and": [{"range": {"b": {"gt": 1}}}, {"equals": {"a": 1}}]}, {"not": {"equals": {"a": 2}}}]})))
+    out.append(("contradiction", lambda: terms({"and": [{"equals": {"a": 1}}, {"equals": {"a": 2}}]})))
+    out.append(("too_many", lambda: terms({"and": [{"exists": f"f{i}"} for i in range(51)]})))
+    return out
+
+
+def stored(spark: SparkSession) -> list:
+    engine = Percolator(spark, seed=SEED)
+    one = engine.normalize({"equals": {"a": 1}}, "first")
+    two, three = {"exists": "b"}, {"in": {"c": ["x", "y"]}}
+    return [
+        ("stored", lambda: engine.store(one) == one.id), ("stored_twice", lambda: engine.store(one) == one.id), ("not_normalized", lambda: engine.store({"equals": {"a": 1}})),
+        ("registered", lambda: [engine.register(two, "second") == engine.normalize(two, "second").id, engine.register(three, "second") == engine.normalize(three, "second").id]),
+        ("ids", lambda: [len(engine.get_filter_ids(i)) for i in ("first", "second", "none", None)]), ("indexes", engine.get_indexes),
+        ("has", lambda: [engine.has_filter_id(one.id, i) for i in ("first", "second", None, "none")]),
+        ("test", lambda: [len(engine.test({"b": None, "c": "x"}, "second")), len(engine.test({"a": 1}, "first")), len(engine.test({"a": "1"}, "first")), engine.test({"a": 1}, "none")]),
+        ("removed", lambda: engine.remove(one.id, "first")), ("removed_twice", lambda: engine.remove(one.id, "first")), ("indexes_after", engine.get_indexes), ("has_after", lambda: engine.has_filter_id(one.id, "first")),
+        ("relation", lambda: sorted(([r.index_name, json.loads(r.json)] for r in engine.filters().collect()), key=str)),
+        ("loaded", lambda: len(Percolator(spark, seed=SEED).load(engine.filters()))),
+        ("wrong_index", lambda: engine.normalize({}, 3)), ("wrong_engine", lambda: Percolator(spark, regexp_engine="perl")), ("wrong_seed", lambda: Percolator(spark, seed=b"short")), ("wrong_maximum", lambda: Percolator(spark, max_conditions=-1)),
+    ]
+
+
+def statics(spark: SparkSession) -> list:
+    distances = ["1 km", "3 258,55 Ft", "1000", "2 nautical miles", "1.5.2 m", "12 parsecs"]
+    points = [[43.6, 3.9], "43.6, 3.9", {"lat": "43.6", "lon": 3.9}, {"latLon": [43.6, 3.9]}, {"lat_lon": {"lat": 43.6, "lon": 3.9}}, {"latLon": "43.6,3.9"}, [1, 2, 3], "x", None]
+    near = lambda p: [round(v, 4) for v in p]
+    return [(f"distance {d}", lambda d=d: round(Percolator.convert_distance(d), 6)) for d in distances] + [(f"point {n}", lambda p=p: Percolator.convert_geopoint(p)) for n, p in enumerate(points)] + [("geohash", lambda: near(Percolator.convert_geopoint("spfb09x0ud5s")))]
+
+
+def conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters in normal form, as a relation."""
+    engine = Percolator(spark, seed=SEED)
+    engine.register({"and": [{"in": {"kind": ["a", "b"]}}, {"not": {"range": {"n": {"gte": 5}}}}]}, "one")
+    engine.register({"bool": {"should": [{"exists": "x"}, {"missing": "y[1]"}]}}, "two")
+    return engine.conditions().drop("filter_id")
+
+
+def values(rows: list[tuple]) -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).lower()
+    return ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
+
+
+#: What the calls are to return.
+RETURNED: dict[str, tuple[Callable, dict[str, str]]] = {
+    "api_validate": (wrong_filters, {
+        "two_keywords": "equals,exists|None|Invalid filter syntax. Filters must have one keyword only",
+        "unknown": 'foo|foo|"foo": unknown keyword',
+        "empty_and": 'and|and|"and": cannot be empty',
+        "nested": 'exists|and.bool.and.or.exists|"and.bool.and.or.exists": cannot test empty field name',
+        "equals_list": 'equals|equals.a|"equals.a": must either be a string, a number, a boolean, or null',
+        "in_numbers": 'in|in.a|"in.a": must hold only values of type "string"',
+        "range_both": 'range|range.a|"range.a": only 1 lower boundary allowed',
+        "range_order": 'range|range.a|"range.a": lower boundary must be strictly inferior to the upper one',
+        "fine": "null",
+    }),
+    "api_normalize": (normal_forms, {
+        "order": "true", "de_morgan": "true", "in": "true", "absorbed": "true", "numbers": "true", "types": "false", "signs": "false", "boxes": "true", "index": "false", "seed": "false", "same_seed": "true",
+        "sorted_terms": '[[["equals", "a", false], ["range", "b", false]], [["equals", "a", true]], [["exists", "z", false]]]',
+        "contradiction": "[]",
+        "too_many": "None|None|Filter too complex: exceeds the configured maximum number of conditions (conditions: 51, max: 50)",
+    }),
+    "api_store": (stored, {
+        "stored": "true", "stored_twice": "true",
+        "not_normalized": "None|None|Invalid argument: not a normalized filter (use normalize to get one)",
+        "registered": "[true, true]", "ids": "[1, 2, 0, 0]", "indexes": '["(default)", "first", "second"]', "has": "[true, false, false, false]", "test": "[2, 1, 0, []]",
+        "removed": "null", "removed_twice": "null", "indexes_after": '["(default)", "second"]', "has_after": "false",
+        "relation": '[["second", {"exists": "b"}], ["second", {"in": {"c": ["x", "y"]}}]]', "loaded": "2",
+        "wrong_index": 'None|None|Invalid "index" argument: must be a string',
+        "wrong_engine": 'None|None|Invalid configuration value for "regExpEngine". Supported: re2, js',
+        "wrong_seed": "None|None|Invalid seed: expected a 32 bytes long Buffer",
+        "wrong_maximum": "None|None|Invalid maxConditions configuration: positive or nul integer expected",
+    }),
+    "api_statics": (statics, {
+        "distance 1 km": "1000.0", "distance 3 258,55 Ft": "993.20604", "distance 1000": "1000.0", "distance 2 nautical miles": "3704.0",
+        "distance 1.5.2 m": 'None|None|unable to parse distance value "1.5.2 m"', "distance 12 parsecs": 'None|None|unable to parse distance value "12 parsecs"',
+        **{f"point {n}": "[43.6, 3.9]" for n in range(6)}, "point 6": "null", "point 7": "null", "point 8": "null", "geohash": "[43.6021, 3.899]",
+    }),
+}
+for _name, (_make, _found) in RETURNED.items():
+    QUERIES[_name] = calls(_make)
+    ORACLE_SQL[_name] = f"select * from (values {values(list(_found.items()))}) t(call, result)"
+QUERIES["api_conditions"] = conditions
+ORACLE_SQL["api_conditions"] = """select index_name, cast(term as integer) as term, keyword, field, args, negated from (values
+  ('one', 0, 'equals', 'kind', '"a"', false), ('one', 0, 'range', 'n', '{"gte":5}', true),
+  ('one', 1, 'equals', 'kind', '"b"', false), ('one', 1, 'range', 'n', '{"gte":5}', true),
+  ('two', 0, 'exists', 'x', '{"array":false,"value":null}', false), ('two', 1, 'exists', 'y', '{"array":true,"value":1}', true)
+) t(index_name, term, keyword, field, args, negated)"""

@@ -201,3 +201,28 @@ def test_documents(spark, tmp_path):
     q = load(spark, str(tmp_path / "r"), seed=SEED)
     assert (q.get_filter_ids(), q.get_filter_ids("i")) == ([a], [b])
     assert q.conditions().count() == 3
+
+
+def test_flat_fields_of_any_depth(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from sluice.functions.flatten import flat_fields, flatten
+
+    deep = 1
+    for i in range(21):
+        deep = {f"k{i}": deep, 's"{': "{{}", "arr": [{"x": 1}], "long": "{\\" * 20_000}
+    docs = [deep, {"a": {"b": 1, "c.d": {"e": None}}, "f": [1]}, {}, [1], None, "x", {"a{": "\\"}]
+    df = spark.createDataFrame([(i, i, json.dumps(d)) for i, d in enumerate(docs)], "path long, value long, json string").select("path", "value", F.parse_json("json").alias("doc"))
+    out = flat_fields(df, "doc", ["path", "value"])
+    assert out.columns == ["path", "value", "path", "value"]
+    got = {}
+    for r in out.toDF("i", "j", "p", "v").select("i", "p", F.to_json("v").alias("v")).collect():
+        got.setdefault(r.i, {})[r.p] = json.loads(r.v)
+    assert got == {i: flatten(d) for i, d in enumerate(docs) if isinstance(d, dict) and d}
+    with pytest.raises(Exception, match="more than 4 levels"):
+        flat_fields(df, "doc", ["path"], depth=4).collect()
+    assert flat_fields(df.limit(0), "doc", ["path"]).count() == 0
+    plan = flat_fields(df, "doc", ["path"], depth=30)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "Exchange" not in plan

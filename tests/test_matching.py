@@ -145,3 +145,115 @@ def test_infinite_values(spark, mode):
     ops = {"gt": lambda v, x: v > x, "gte": lambda v, x: v >= x, "lt": lambda v, x: v < x, "lte": lambda v, x: v <= x}
     got = sorted((r.id, r.filter_id) for r in engine.percolate(df, ["id"], mode=mode).collect())
     assert got == sorted((i, key) for i, v in rows if v is not None for key, f in given.items() if all(ops[k](v, x) for k, x in f.items()))
+
+
+@pytest.mark.parametrize("mode", ["expression", "join", "auto"])
+def test_rows_with_equal_keys_have_hits_of_their_own(spark, mode):
+    """Whatever else is registered: an or whose terms both hold is met once a row, and another filter's hits stay."""
+    df = spark.createDataFrame([(1, "a", 5.0), (1, "a", 5.0), (1, "b", 50.0), (None, "a", 5.0)], "id long, s string, v double")
+    engine = Percolator(spark, seed=SEED)
+    plain = [engine.register({"equals": {"s": f"{c}"}}) for c in ("a", *map(str, range(60)))][0]
+    before = [(r.id, r.filter_id) for r in engine.percolate(df, ["id"], mode=mode).collect()]
+    assert sorted(before, key=str) == sorted([(1, plain), (1, plain), (None, plain)], key=str)
+    both = [engine.register({"or": [{"equals": {"s": "a"}}, {"range": {"v": {"gte": 0, "lt": 10 + k}}}, {"range": {"v": {"gt": 40}}}]}) for k in range(50)]
+    after = [(r.id, r.filter_id) for r in engine.percolate(df, ["id"], mode=mode).collect()]
+    assert sorted(x for x in map(str, after) if plain in x) == sorted(map(str, before))
+    for f in both:
+        assert sorted(str(i) for i, x in after if x == f) == ["1", "1", "1", "None"]
+
+
+def test_one_pass_and_no_distinct(spark, tmp_path):
+    """Thousands of filters of many kinds: one scan, no aggregate; as a stream, no state."""
+    from sluice.streaming.stream import percolate_stream
+
+    df = spark.createDataFrame([(i, f"word{i}", float(i)) for i in range(50)], "id long, s string, v double")
+    df.write.parquet(str(tmp_path / "in"))
+    engine = Percolator(spark, seed=SEED)
+    for i in range(300):
+        engine.register({"regexp": {"s": f"^word{i}$"}})
+        engine.register({"or": [{"range": {"v": {"gt": i}}}, {"equals": {"s": f"word{i}"}}]})
+        engine.register({"not": {"equals": {"s": f"word{i}"}}})
+        engine.register({"regexp": {"s": f"w.*{i}|x"}})
+    out = engine.percolate(spark.read.parquet(str(tmp_path / "in")), ["id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Aggregate" not in plan
+    got = [(r.id, r.filter_id) for r in out.collect()]
+    assert len(got) == len(set(got))
+    rows = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    stream = percolate_stream(engine, rows, ["id"])
+    assert "Deduplicate" not in (text := stream._jdf.queryExecution().analyzed().toString()) and "Distinct" not in text and "Aggregate" not in text
+    assert sorted(got) == sorted((r.id, r.filter_id) for r in engine.percolate(df, ["id"], mode="expression").collect())
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 100])
+def test_patterns_and_paths_are_found(spark, monkeypatch, broadcast):
+    """Relations that are broadcast and such that are not; groups beside expressions."""
+    from sluice.operators import percolate
+
+    monkeypatch.setattr(percolate, "BROADCAST_ROWS", broadcast)
+    R.seed(14)
+    names = ["alpha", "beta", "gamma", "a.b", "deep"]
+    docs = []
+    for _ in range(80):
+        d = {n: R.choice([1, "x", None, {"x": 1, "y.z": {"k": None}, "w": [1]}, [], {}]) for n in names if R.random() < 0.6}
+        if R.random() < 0.5:
+            d["a"] = {"b": R.choice([{"c": 1}, 2])}
+        docs.append(d | {"text": R.choice(["", "the cat sat", "été cats", "abcabc", "1.5 (x)", "a+b", "cat\ncot"])})
+    fields = [*names, *[f"{n}.{m}" for n in names for m in ("x", "y.z", "y.z.k", "y", "w", "none")], "a", "a.b.c", "it's", *[f"f{i}" for i in range(60)]]
+    patterns = ["cat", "c[ao]t", r"1\.5", r"\(x\)", "^the cat", "abc+a", "a.?bca", "cats?", r"a\+b", "(abc){2}", "cat$", "abca?b", "bc{1}a", *[f"zzz{i}" for i in range(60)]]
+    engine = Percolator(spark, seed=SEED, max_conditions=0)
+    given = {engine.register(f): f for f in [{"exists": x} for x in fields] + [{"regexp": {"text": x}} for x in patterns] + [{"missing": "alpha"}, {"equals": {"gamma": 1}}]}
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)] + [(-1, "[1]"), (-2, "null")], "id long, json string").select("id", F.parse_json("json").alias("doc"))
+    got = sorted((r.id, r.filter_id) for r in engine.percolate(df, ["id"], doc="doc").collect() if r.id >= 0)
+    assert got == sorted((i, key) for i, d in enumerate(docs) for key, f in given.items() if tree(Reader().read(f), d))
+    assert got == sorted((r.id, r.filter_id) for r in engine.percolate(df, ["id"], doc="doc", mode="expression").collect() if r.id >= 0)
+
+
+def test_required_is_in_every_match():
+    """Of random patterns and strings: a match holds the string that is said to be required."""
+    import re
+
+    from sluice.operators.percolate import required
+
+    R.seed(15)
+    parts = ["abc", "b", "c+", "d*", "e?", "x{0,2}", "y{2}", ".", "[abc]", "[^a-]", r"\.", r"\d", "(ab)", "(ab)?", "(a|b)", "^", "$", r"\\", "é", "[]a]", r"[\]b]", r"\x41bc", r"\u0041", "a+?", "b{1,}?", "{x}"]
+    seen = 0
+    for _ in range(3000):
+        p = "".join(R.choice(parts) for _ in range(R.randint(1, 6)))
+        try:
+            found = re.compile(p)
+        except re.error:
+            continue
+        must = required(p, "")
+        for _ in range(12):
+            text = "".join(R.choice("abcdexy.1é\\") for _ in range(R.randint(1, 12)))
+            if m := found.search(text):
+                assert must in m[0], (p, text, must)
+                seen += bool(must)
+    assert seen > 1000 and required("abc", "i") == "" == required("abc|d", "") and required("xabcd+e", "") == "xabcd"
+
+
+def test_open_ranges_read_their_own_hits(spark):
+    """Ten thousand bounds that no row reaches: no candidate; ties, infinite and missing values."""
+    engine = Percolator(spark, seed=SEED)
+    for i in range(10_000):
+        engine.register({"range": {"v": {"gt": 1000 + i}}})
+    top = engine.register({"range": {"v": {"gte": 7}}})
+    low = engine.register({"range": {"v": {"lt": 7}}})
+    for i in range(60):
+        engine.register({"range": {"v": {"lte": -1000 - i}}})
+    df = spark.createDataFrame([(0, 7.0), (1, 6.5), (2, None), (3, float("nan")), (4, 900.0)], "id long, v double")
+    assert sorted((r.id, r.filter_id) for r in engine.percolate(df, ["id"]).collect()) == sorted([(0, top), (1, low), (4, top)])
+    every = engine.percolate(spark.createDataFrame([(1, float("inf"))], "id long, v double"), ["id"])
+    assert every.count() == 10_001
+
+
+def test_keys_with_dots_in_typed_rows(spark):
+    df = spark.createDataFrame([(1, ((7,), 8), {"x": "1", "y.z": "2"}, {"u": {"v": "3"}}, "{\"k.l\": {\"m\": 1}}")], "id long, o struct<`k.z`:struct<a:int>,b:int>, m map<string,string>, n map<string,map<string,string>>, j string")
+    df = df.withColumn("doc", F.parse_json("j"))
+    engine = Percolator(spark, seed=SEED)
+    hits = {"o.k.z.a": 7, "o.b": 8, "m.x": "1", "m.y.z": "2", "n.u.v": "3", "doc.k.l.m": 1}
+    want = {engine.register({"equals": {k: v}}) for k, v in hits.items()}
+    for k in ("o.k", "o.k.z.b", "m.y", "n.u.w", "n.v", "doc.k", "o.k.z.a.q", "doc.k.l.n"):
+        engine.register({"exists": k})
+    assert {r.filter_id for r in engine.percolate(df, ["id"]).collect()} == want

@@ -43,7 +43,7 @@ def test_documents_have_all_words(spark, db):
     from sluice.queries import CASES, FLAT
 
     want = {i: t.split(" ") for i, t in db.sql("select doc_id, text from documents").fetchall()}
-    found = flat_fields(FLAT(spark, DIR), "doc", ["doc_id"], depth=4).filter("path = 'meta.more.words'").selectExpr("doc_id", "cast(value as array<string>) as words")
+    found = flat_fields(FLAT(spark, DIR), "doc", ["doc_id"]).filter("path = 'meta.more.words'").selectExpr("doc_id", "cast(value as array<string>) as words")
     assert {r.doc_id: r.words for r in found.collect()} == want
-    hits = {r.doc_id for r in CASES["json_words"].run(spark, DIR).filter("filter_name = 'array'").collect()}
+    hits = {r.doc_id for r in CASES["json_nested"].run(spark, DIR).filter("filter_name = 'array'").collect()}
     assert hits == {i for i, words in want.items() if "the" in words} != {i for i, words in want.items() if "the" in words[:5]}
