@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sluice.errors import FilterError
 from sluice.functions.geo import convert_distance, convert_geopoint
 from sluice.operators.conditions import Compiler
-from sluice.operators.percolate import percolate
+from sluice.operators.percolate import Prepared, percolate
 from sluice.operators.values import quoted
 from sluice.plans.language import Literal, Reader
 from sluice.plans.normal import count, identifier, normal
@@ -55,6 +55,8 @@ class Percolator:
         self.spark, self.max_conditions, self.seed, self.prune = spark, max_conditions, bytes(seed), prune
         self.reader, self.compiler = Reader(regexp_engine), Compiler(regexp_engine)
         self.indexes: dict[str | None, dict[str, NormalizedFilter]] = {None: {}}
+        #: By index and kind of rows, the filters and what was made of them; kept until one is added or removed.
+        self._prepared: dict[tuple, Prepared] = {}
 
     # filters
 
@@ -85,7 +87,10 @@ class Percolator:
     def store(self, found: NormalizedFilter) -> str:
         if not isinstance(found, NormalizedFilter):
             raise ValueError("Invalid argument: not a normalized filter (use normalize to get one)")
-        self.indexes.setdefault(found.index, {})[found.id] = found
+        own = self.indexes.setdefault(found.index, {})
+        if found.id not in own:
+            self._changed(found.index)
+        own[found.id] = found
         return found.id
 
     def register(self, given: Any, index: str | None = None) -> str:
@@ -94,9 +99,13 @@ class Percolator:
     def remove(self, filter_id: str, index: str | None = None) -> None:
         """Forgets a filter; a named index goes with its last one."""
         found = self.indexes.get(index)
+        self._changed(index)
         if found is not None and found.pop(filter_id, None) is not None and not found and index is not None:
             del self.indexes[index]
 
+    def _changed(self, index: str | None) -> None:
+        self._prepared = {k: v for k, v in self._prepared.items() if k[0] != index}
+
     def get_filter_ids(self, index: str | None = None) -> list[str]:
         return list(self.indexes.get(index, {}))
 
@@ -112,10 +121,13 @@ class Percolator:
         """``keys`` and ``filter_id`` for each row and each filter of the index that it fulfils.
 
         Fields are the columns of ``df``, or those of its VARIANT column ``doc``. ``names``: what stands for an id. An
-        unknown index has no filters. Works on streams, where filters with several terms want ``mode="expression"``."""
+        unknown index has no filters. Works on streams, without state."""
         own = list(self.indexes.get(index, {}).values())
         ids = [(names or {}).get(f.id, f.id) for f in own]
-        return percolate(df, doc, [f.terms for f in own], ids, keys, self.compiler, mode=mode)
+        key = index, doc is not None, mode
+        if key not in self._prepared:
+            self._prepared[key] = Prepared.of([f.terms for f in own], doc is not None, mode)
+        return percolate(df, doc, [], ids, keys, self.compiler, mode=mode, prepared=self._prepared[key])
 
     def test(self, document: dict, index: str | None = None) -> list[str]:
         """Ids of the filters that one document fulfils."""

@@ -513,24 +513,38 @@ def fields_of(units: Iterator[Unit]) -> dict[str, bool]:
     return out
 
 
-def percolate(df: DataFrame, doc: str | None, normals: list, ids: list, keys: list[str], compiler: Compiler, *, mode: str = "auto", join_from: int = JOIN_FROM, name: str = "filter_id") -> DataFrame:
+@dataclass
+class Prepared:
+    """Filters in groups that are joined, and units that are expressions. It holds for any rows of the same kind."""
+
+    groups: list[Group]
+    rest: list[Unit]
+
+    @classmethod
+    def of(cls, normals: list[Terms], paths: bool, mode: str = "auto", join_from: int = JOIN_FROM) -> Prepared:
+        by_shape: dict[tuple, list[Unit]] = defaultdict(list)
+        for u in units_of(normals):
+            by_shape[tuple(map(shape_of, u.terms))].append(u)
+        out = cls([], [])
+        for members in by_shape.values():
+            found = Group.of(members, paths) if mode == "join" or mode == "auto" and len(members) >= join_from else None
+            if found is None:
+                out.rest += members
+            else:
+                out.groups.append(found)
+        return out
+
+
+def percolate(df: DataFrame, doc: str | None, normals: list, ids: list, keys: list[str], compiler: Compiler, *, mode: str = "auto", join_from: int = JOIN_FROM, name: str = "filter_id", prepared: Prepared | None = None) -> DataFrame:
     """``keys`` and the id of each filter that a row fulfils, once for each row and filter. Fields are columns, or those of
-    the VARIANT column ``doc``. ``mode``: expression, join or auto.
+    the VARIANT column ``doc``. ``mode``: expression, join or auto. ``prepared``: what was made of the filters before.
 
     Rows with equal keys are rows of their own, each with its hits. Null keys are ordinary keys. Rows are read once. The
     relation of filters is broadcast up to BROADCAST_ROWS rows; beyond that rows and filters meet by a shuffle of the keys,
     and filters that are expressions take a pass of their own.
     """
-    by_shape: dict[tuple, list[Unit]] = defaultdict(list)
-    for u in units_of(normals):
-        by_shape[tuple(map(shape_of, u.terms))].append(u)
-    groups, rest = [], []
-    for members in by_shape.values():
-        found = Group.of(members, doc is not None) if mode == "join" or mode == "auto" and len(members) >= join_from else None
-        if found is None:
-            rest += members
-        else:
-            groups.append(found)
+    prepared = prepared or Prepared.of(normals, doc is not None, mode, join_from)
+    groups, rest = prepared.groups, prepared.rest
     listed = [u for g in groups for u in g.units if not (len(u.terms) == 1 and len(u.terms[0]) == 1 and named(u.terms[0][0]))]
     df, row = Row.of(df, doc, fields_of(chain(rest, listed)), keys)
     rest = [u for u in rest if doc is not None or not never(row, u)]

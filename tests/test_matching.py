@@ -257,3 +257,16 @@ def test_keys_with_dots_in_typed_rows(spark):
     for k in ("o.k", "o.k.z.b", "m.y", "n.u.w", "n.v", "doc.k", "o.k.z.a.q", "doc.k.l.n"):
         engine.register({"exists": k})
     assert {r.filter_id for r in engine.percolate(df, ["id"]).collect()} == want
+
+
+def test_filters_registered_between_calls_count(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, s string")
+    engine = Percolator(spark, seed=SEED)
+    find = lambda: sorted((r.id, r.filter_id) for r in engine.percolate(df, ["id"]).collect())
+    one = engine.register({"equals": {"s": "a"}})
+    assert find() == find() == [(1, one)]
+    other = engine.register({"equals": {"s": "a"}}, "named")
+    two = engine.register({"not": {"equals": {"s": "a"}}})
+    assert find() == [(1, one), (2, two)]
+    engine.remove(one)
+    assert find() == [(2, two)] and [r.filter_id for r in engine.percolate(df, ["id"], index="named").collect()] == [other]
