@@ -32,8 +32,8 @@ LEAF = 1 << 14
 SPREAD = 1 << 18
 #: Code points on each side of a join to begin with.
 WINDOW = 64
-#: Pieces whose ids a worker remembers at most.
-MOST_KNOWN = 300_000
+#: Pieces that a worker remembers at most.
+MOST_KNOWN = 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -73,38 +73,68 @@ class Codec:
         self.usual = re.compile(f"[{letter}{digit}{other}{space}]*")
         self.pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{digit}]+| ?[{other}]+|[{space}]+(?![^{space}])|[{space}]+")
         self.newline = self.library.encode("\n", add_special_tokens=False).ids
-        self.known: dict[str, list[int]] = {}
+        #: Of pieces met: ids, these in decimal with commas between, and the bytes that they decode to.
+        self.known: dict[str, tuple[list[int], str, bytes]] = {}
 
-    def leaves(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text by the library. Of texts whose characters are all of a known kind, only pieces that have not
-        been met are given to it, many at once with line ends between, which no piece's merges cross."""
-        out: list[list[int] | None] = [None] * len(texts)
+    def pieces_of(self, texts: list[str]) -> dict[int, list[str]]:
+        """Of texts whose characters are all of a known kind, by number, the pieces, which ``known`` then has: those that
+        have not been met are given to the library, many at once with line ends between, which no piece's merges cross.
+        Where these become too many, those of the texts at hand stay, which common ones are among."""
         split = {i: self.pieces.findall(t) for i, t in enumerate(texts) if self.usual.fullmatch(t) and not (self.special and self.special.search(t))}
+        met = set(chain.from_iterable(split.values()))
         if len(self.known) > MOST_KNOWN:
-            self.known.clear()
-        new = list({w for words in split.values() for w in words}.difference(self.known))
-        plain = [w for w in new if not w.isspace() and "\n" not in w]
-        for at in range(0, len(plain), 4096):
-            self._learn(plain[at : at + 4096])
-        rest = [i for i in range(len(texts)) if i not in split]
+            self.known = {w: self.known[w] for w in met if w in self.known}
+        new = list(met.difference(self.known))
+        self._learn([w for w in new if not w.isspace() and "\n" not in w])
         spaces = [w for w in new if w not in self.known]
-        found = self.library.encode_batch([*spaces, *(texts[i] for i in rest)], add_special_tokens=False)
-        self.known.update(zip(spaces, (e.ids for e in found[: len(spaces)]), strict=True))
-        for i, e in zip(rest, found[len(spaces) :], strict=True):
-            out[i] = e.ids
+        self._know(spaces, self._ids(spaces))
+        return split
+
+    def leaves(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text: from its pieces, or by the library."""
+        split, known = self.pieces_of(texts), self.known
+        rest = [i for i in range(len(texts)) if i not in split]
+        out: list[list[int]] = [[]] * len(texts)
+        for i, ids in zip(rest, self._ids([texts[i] for i in rest]), strict=True):
+            out[i] = ids
         for i, words in split.items():
-            out[i] = list(chain.from_iterable(map(self.known.__getitem__, words)))
+            out[i] = list(chain.from_iterable([known[w][0] for w in words]))
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        ids = self.library.encode("\n".join(words), add_special_tokens=False).ids
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str], at_once: int = 256) -> None:
         (end,) = self.newline
-        at, parts = 0, []
-        for _ in words[:-1]:
-            to = ids.index(end, at)
-            parts.append(ids[at:to])
-            at = to + 1
-        self.known.update(zip(words, [*parts, ids[at:]], strict=True))
+        groups = [words[k : k + at_once] for k in range(0, len(words), at_once)]
+        for group, ids in zip(groups, self._ids(["\n".join(g) for g in groups]), strict=True):
+            at, parts = 0, []
+            for _ in group[:-1]:
+                to = ids.index(end, at)
+                parts.append(ids[at:to])
+                at = to + 1
+            self._know(group, [*parts, ids[at:]])
+
+    def _know(self, words: list[str], ids: list[list[int]]) -> None:
+        for w, own in zip(words, ids, strict=True):
+            self.known[w] = own, ",".join([self.decimal[i] for i in own]), b"".join([self.bytes_of[i] for i in own])
+
+    def described(self, texts: list[str], leaf: int = LEAF, want_ids: bool = True) -> list[tuple[int, str, bytes, list[int] | None]]:
+        """Of each text: the number of its ids, these in decimal, the bytes that they decode to, and themselves."""
+        short = [i for i, t in enumerate(texts) if len(t) <= leaf]
+        split, known = self.pieces_of([texts[i] for i in short]), self.known
+        out: list = [None] * len(texts)
+        for k, words in split.items():
+            found = [known[w] for w in words]
+            ids = list(chain.from_iterable([x[0] for x in found])) if want_ids else None
+            out[short[k]] = sum([len(x[0]) for x in found]), ",".join([x[1] for x in found]), b"".join([x[2] for x in found]), ids
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self.encode_many([texts[i] for i in rest], leaf), strict=True):
+            out[i] = self.of_ids(ids)
+        return out
+
+    def of_ids(self, ids: list[int]) -> tuple[int, str, bytes, list[int]]:
+        return len(ids), ",".join(map(self.decimal.__getitem__, ids)), b"".join(map(self.bytes_of.__getitem__, ids)), ids
 
     def encode_many(self, texts: list[str], leaf: int = LEAF, window: int = WINDOW) -> list[list[int]]:
         """Ids of each text."""
@@ -259,20 +289,19 @@ def encode(
     kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
     key = ("bpe", hashlib.sha256(vocabulary.encode()).digest())
 
-    def described(codec: Codec, coded: list[list[int]]) -> list[pa.Array]:
-        decimal = codec.decimal.__getitem__
-        decoded = [codec.decode(ids) for ids in coded]
+    def columns(found: list[tuple[int, str, bytes, list[int] | None]]) -> list[pa.Array]:
+        decoded = [x[2].decode("utf-8", "replace") for x in found]
         cols = [
-            pa.array([len(ids) for ids in coded], pa.int64()),
-            pa.array([hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest() for ids in coded]),
+            pa.array([x[0] for x in found], pa.int64()),
+            pa.array([hashlib.sha256(x[1].encode()).hexdigest() for x in found]),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
         ]
-        return cols + [pa.array(coded, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if keep_ids else cols
+        return cols + [pa.array([x[3] for x in found], pa.list_(pa.int32())), pa.array(decoded, pa.string())] if keep_ids else cols
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = cached(key, lambda: Codec(vocabulary))
-        coded = codec.encode_many([t or "" for t in batch.column(1).to_pylist()], leaf)
-        return pa.RecordBatch.from_arrays([batch.column(0), *described(codec, coded), *batch.columns[2:]], names=["id", *names, *kept])
+        found = codec.described([t or "" for t in batch.column(1).to_pylist()], leaf, keep_ids)
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns(found), *batch.columns[2:]], names=["id", *names, *kept])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = cached(key, lambda: Codec(vocabulary))
@@ -295,7 +324,7 @@ def encode(
         now, stretches, last = None, [], None
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), *described(codec, [codec.joined(stretches)])], names=["uid", *names])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), *columns([codec.of_ids(codec.joined(stretches))])], names=["uid", *names])
 
         for batch in batches:
             for uid, stretch, special, text, ids in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5)), strict=True):
