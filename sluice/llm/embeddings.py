@@ -5,8 +5,12 @@ floor((a.x + b) / WIDTH), a normal and b uniform. K grows with the logarithm of
 meets about COMPANY unrelated ones in a bucket at any size; the number of tables follows from K and the recall wanted at
 the very threshold. Equal vectors are one class with a count. Buckets are dealt in blocks: all pairs of a bucket's blocks
 are compared by matrix products, a pair counts in the first table that its two vectors share, and what leaves a block is a
-sum for each vector and a spanning forest of its links, never the pairs. Vectors travel without their buckets: which table
-a linked pair shares first is found from the vectors again, for linked ones alone.
+sum for each vector and a spanning forest of its links, never the pairs.
+
+What is dealt first is a sketch of each vector, the signs of SKETCH more projections: a row goes on if its sketch is near
+another's in the block, nearer than a pair at the threshold is but for one in ten million. The vectors of these rows alone
+are dealt to the blocks and compared exactly. They travel without their buckets: which table a linked pair shares first is
+found from the vectors again, for linked ones alone.
 """
 
 from __future__ import annotations
@@ -20,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow, drop, written
+from .shared import arrow, drop, grouped, written
 
 WIDTH, COMPANY, BLOCK = 2.0, 512, 2048
 #: Rows of a block that are compared at a time, and what rounding can take from a cosine in single precision.
 ROWS, ROUNDING = 256, 1e-4
+#: Bits of a sketch, two words of 64; and standard deviations by which those of a pair may differ more than expected.
+SKETCH, SIGMAS = 128, 6
 #: Probability that a pair at the threshold meets in some table; nearer pairs meet more surely.
 RECALL = 0.9999
 
@@ -65,6 +71,34 @@ def codes(x: np.ndarray, k: int, tables: int, seed: int, first: int = 0) -> np.n
     return out
 
 
+def sketches(x: np.ndarray, seed: int) -> np.ndarray:
+    """Two words of signs for each unit vector."""
+    signs = x @ np.random.RandomState([seed, x.shape[1], 1 << 20]).normal(size=(x.shape[1], SKETCH)) > 0
+    return np.packbits(signs, axis=1).view(np.int64)
+
+
+def near_bits(cosine: float) -> int:
+    """Bits in which the sketches of a pair at this cosine or above differ at most."""
+    p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    return math.ceil(SKETCH * p + SIGMAS * math.sqrt(SKETCH * p * (1 - p)))
+
+
+def with_company(sketch: np.ndarray, part: np.ndarray, most: int, across: bool) -> np.ndarray:
+    """Which rows of a block, or of two, have a sketch near another's."""
+    words, n = sketch.view(np.uint64), len(sketch)
+    out = np.zeros(n, bool)
+    for at in range(0, n, ROWS):
+        one, rest = words[at : at + ROWS], words[at:]
+        apart = np.bitwise_count(one[:, None, 0] ^ rest[None, :, 0]).astype(np.uint8) + np.bitwise_count(one[:, None, 1] ^ rest[None, :, 1])
+        near = apart <= most
+        near[:, : len(one)] &= ~np.tri(len(one), dtype=bool)
+        if across:
+            near &= part[at : at + ROWS][:, None] != part[at:][None, :]
+        out[at : at + ROWS] |= near.any(axis=1)
+        out[at:] |= near.any(axis=0)
+    return out
+
+
 class Forest:
     """The smallest node that each node of a block is linked with, over links that come in parts."""
 
@@ -138,61 +172,56 @@ def near(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec_id", ve
             size = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             at = np.concatenate([[0], np.cumsum(size)])
-            found = np.empty((b.num_rows, tables), np.int64)
+            found, bits = np.empty((b.num_rows, tables), np.int64), np.empty((b.num_rows, 2), np.int64)
             for m in np.unique(size):
                 rows = np.flatnonzero(size == m)
-                found[rows] = codes(unit(flat[(at[rows][:, None] + np.arange(m))]), k, tables, seed)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(found.reshape(-1)), tables).cast(pa.list_(pa.int64()))], names=["uid", "codes"])
+                x = unit(flat[(at[rows][:, None] + np.arange(m))])
+                found[rows], bits[rows] = codes(x, k, tables, seed), sketches(x, seed)
+            cols = [b.column(0), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.FixedSizeListArray.from_arrays(pa.array(found.reshape(-1)), tables).cast(pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["uid", "s0", "s1", "codes"])
 
-    coded = arrow(classes.select("uid", "v"), hashed, "uid long, codes array<long>")
-    keys = written(coded.select("uid", F.posexplode("codes").alias("t", "code")), "keys")
+    coded = arrow(classes.select("uid", "v"), hashed, "uid long, s0 long, s1 long, codes array<long>")
+    keys = written(coded.select("uid", "s0", "s1", F.posexplode("codes").alias("t", "code")), "keys")
     sizes = keys.groupBy("t", "code").agg(F.count("*").alias("m")).filter("m > 1").select("t", "code", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
     sizes = written(sizes, "sizes")  # so that the join has a shuffle on either side, and Spark can split a hot bucket's
     dealt = keys.join(sizes, ["t", "code"]).withColumn("part", F.pmod(F.xxhash64("uid"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("uid", "t", "code", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
-    dealt = dealt.join(classes.select("uid", "n", "v"), "uid")
-    dealt = dealt.repartition("t", "code", "x", "y").sortWithinPartitions("t", "code", "x", "y", "uid")
+    block_of = ["t", "code", "x", "y"]
+    dealt = dealt.select(*block_of[:2], F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "uid", "part", "s0", "s1")
+    most = near_bits(cosine)
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in grouped(batches, (0, 1, 2, 3)):
+            near = with_company(np.stack([c[6].to_numpy(), c[7].to_numpy()], axis=1), c[5].to_numpy(), most, c[2][0] != c[3][0])
+            if near.any():
+                yield pa.RecordBatch.from_arrays([x.filter(pa.array(near)) for x in c[:6]], names=[*block_of, "uid", "part"])
+
+    dealt = arrow(dealt.repartition(*block_of).sortWithinPartitions(*block_of), sketched, "t int, code long, x int, y int, uid long, part int")
+    wanted = written(dealt, "wanted")
+    dealt = wanted.join(classes.select("uid", "n", "v"), "uid").select(*block_of, "uid", "part", "n", "v")
+    dealt = dealt.repartition(*block_of).sortWithinPartitions(*block_of, "uid")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-        for b in batches:
-            key = np.stack([b.column(i).to_numpy() for i in (1, 2, 4, 5)])
-            new = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            if kept and b.num_rows and any(kept[-1].column(i)[kept[-1].num_rows - 1] != b.column(i)[0] for i in (1, 2, 4, 5)):
-                new = np.concatenate([[0], new])
-            at = 0
-            for e in new.tolist():
-                yield from group(kept + [b.slice(at, e - at)])
-                kept, at = [], e
-            if b.num_rows > at:
-                kept = [*kept, b.slice(at)]
-        yield from group(kept)
-
-    def group(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches([p for p in parts if p.num_rows]).combine_chunks() if any(p.num_rows for p in parts) else None
-        if rows is None or rows.num_rows < 2:
-            return
-        c = [x.chunk(0) for x in rows.columns]
-        uid, count, part = c[0].to_numpy(), c[6].to_numpy(), c[3].to_numpy()
-        size = np.diff(c[7].offsets.to_numpy())
-        at = np.concatenate([[0], np.cumsum(size)])
-        flat = c[7].flatten().to_numpy()
-        for m in np.unique(size):
-            of = np.flatnonzero(size == m)
-            links, root = block(int(c[1][0].as_py()), count[of], part[of], unit(flat[at[of][:, None] + np.arange(m)]), k, seed, cosine, c[4][0] != c[5][0])
-            some = np.flatnonzero(links)
-            if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(uid[of][some]), pa.array(links[some]), pa.array(uid[of][root[some]])], names=["uid", "links", "root"])
-
-    found = written(arrow(dealt.select("uid", "t", "code", "part", "x", "y", "n", "v"), compared, "uid long, links long, root long"), "links")
+        for c in grouped(batches, (0, 1, 2, 3)):
+            uid, part, count = (x.to_numpy() for x in c[4:7])
+            size = np.diff(c[7].offsets.to_numpy())
+            at = np.concatenate([[0], np.cumsum(size)])
+            flat = c[7].flatten().to_numpy()
+            for m in np.unique(size):
+                of = np.flatnonzero(size == m)
+                links, root = block(int(c[0][0].as_py()), count[of], part[of], unit(flat[at[of][:, None] + np.arange(m)]), k, seed, cosine, c[2][0] != c[3][0])
+                some = np.flatnonzero(links)
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array(uid[of][some]), pa.array(links[some]), pa.array(uid[of][root[some]])], names=["uid", "links", "root"])
+
+    found = written(arrow(dealt, compared, "uid long, links long, root long"), "links")
     joined = components(found.select(F.col("uid").alias("a"), F.col("root").alias("b")))
     known = classes.join(found.groupBy("uid").agg(F.sum("links").alias("links")), "uid", "left").join(joined.withColumnRenamed("node", "uid"), "uid", "left")
     known = known.select("v", "rep", F.coalesce("component", "uid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     each = written(known, "known")
     lowest = written(each.groupBy("component").agg(F.min("rep").alias("component_id")), "lowest")
     known = written(each.join(lowest, "component").select("v", "n_links", "component_id"), "classes")
-    drop(classes, keys, sizes, found, joined, each, lowest)
+    drop(classes, keys, sizes, wanted, found, joined, each, lowest)
     out = d.withColumn("fit", fit).join(known.withColumn("fit", F.lit(True)), ["v", "fit"], "left")
     own = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow, cached, drop, over_batches, pieces, written
+from .shared import arrow, cached, drop, grouped, over_batches, pieces, written
 from .textbatch import buffers, mix, shingles, span_hashes, spans, word_table
 
 WORDS, SIMILAR = 5, 0.8
@@ -253,29 +253,14 @@ def across(members: DataFrame) -> DataFrame:
     dealt = dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = np.stack([b.column(i).to_numpy() for i in range(3)])
-            new = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            if held and any(held[-1].column(i)[held[-1].num_rows - 1] != b.column(i)[0] for i in range(3)):
-                new = np.concatenate([[0], new])
-            at = 0
-            for e in new.tolist():
-                yield from compared([*held, b.slice(at, e - at)])
-                held, at = [], e
-            held.append(b.slice(at))
-        yield from compared(held)
-
-    def compared(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [p for p in parts if p.num_rows]
-        if sum(p.num_rows for p in parts) < 2:
-            return
-        c = pa.Table.from_batches(parts).combine_chunks().columns
-        part, uid, comp = (c[i].chunk(0).to_numpy() for i in (3, 4, 5))
-        found = c[6].chunk(0).flatten().to_numpy().reshape(len(uid), -1)
-        detail = np.frombuffer(b"".join(x.as_buffer() for x in c[7].chunk(0)), np.uint8).reshape(len(uid), -1)
+        for c in grouped(batches, (0, 1, 2)):
+            if len(c[0]) > 1:
+                yield from compared(c)
+
+    def compared(c: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        part, uid, comp = (c[i].to_numpy() for i in (3, 4, 5))
+        found = c[6].flatten().to_numpy().reshape(len(uid), -1)
+        detail = np.frombuffer(b"".join(x.as_buffer() for x in c[7]), np.uint8).reshape(len(uid), -1)
         band, places = c[8][0].as_py(), _bands()
         wanted = np.triu(comp[:, None] != comp[None, :])
         if c[1][0] != c[2][0]:

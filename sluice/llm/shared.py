@@ -108,6 +108,30 @@ def pieces(batch: pa.RecordBatch, cut: int) -> Iterator[pa.RecordBatch]:
         at = to
 
 
+def grouped(batches: Iterator[pa.RecordBatch], by: tuple[int, ...]) -> Iterator[list[pa.Array]]:
+    """The columns of each run of rows that agree in the columns ``by``, numbers without nulls; rows come sorted by these."""
+    import numpy as np
+
+    def whole(parts: list[pa.RecordBatch]) -> list[pa.Array]:
+        return [c.chunk(0) if c.num_chunks else c.combine_chunks() for c in pa.Table.from_batches(parts).combine_chunks().columns]
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(i).to_numpy() for i in by])
+        new = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        if held and any(held[-1].column(i)[held[-1].num_rows - 1] != b.column(i)[0] for i in by):
+            new = np.concatenate([[0], new])
+        at = 0
+        for e in new.tolist():
+            yield whole([*held, b.slice(at, e - at)] if e > at else held)
+            held, at = [], e
+        held.append(b.slice(at))
+    if held:
+        yield whole(held)
+
+
 def cached(key, make: Callable):
     """``make()``, once in a Python worker, which keeps the latest alone, as workers outlive the stages they work for.
     Kept under ``sys``, as functions that travel by value have fresh globals."""

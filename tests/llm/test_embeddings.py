@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sluice.llm.components import components
-from sluice.llm.embeddings import Forest, block, codes, meet, near, plan, unit
+from sluice.llm.embeddings import Forest, block, codes, meet, near, near_bits, plan, sketches, unit, with_company
 
 
 def slow_components(nodes, edges):
@@ -110,3 +110,23 @@ def test_forest():
             i, j = zip(*edges[at : at + 7], strict=True)
             f.link(np.array(i), np.array(j))
         assert dict(enumerate(f.root.tolist())) == slow_components(range(60), edges)
+
+
+def test_sketches_of_near_pairs():
+    """Pairs at the threshold stay in reach, unrelated ones hardly do; rows with company are those of all pairs."""
+    r = np.random.RandomState(9)
+    x = unit(r.normal(size=(4000, 48)))
+    side = unit(r.normal(size=(4000, 48)))
+    side = unit(side - (side * x).sum(axis=1)[:, None] * x)
+    y = 0.95 * x + math.sqrt(1 - 0.95**2) * side
+    bits = lambda a, b: np.array([bin(int(p)).count("1") for p in (sketches(a, 8).view(np.uint64) ^ sketches(b, 8).view(np.uint64)).reshape(-1)]).reshape(-1, 2).sum(axis=1)
+    assert bits(x, y).max() <= near_bits(0.95) < bits(x, side).min() + 20 and (bits(x, side) <= near_bits(0.95)).mean() < 0.01
+    part = r.randint(0, 2, 700)
+    some = sketches(unit(np.repeat(r.normal(size=(500, 48)), 2, axis=0)[:700] + r.normal(size=(700, 48)) * r.choice([0.1, 3], (700, 1))), 8)
+    for across in (False, True):
+        want = np.zeros(700, bool)
+        for i in range(700):
+            for j in range(700):
+                if i != j and not (across and part[i] == part[j]) and sum(bin(int(p)).count("1") for p in some[i].view(np.uint64) ^ some[j].view(np.uint64)) <= 34:
+                    want[i] = True
+        assert (with_company(some, part, 34, across) == want).all() and 0 < want.sum() < 700

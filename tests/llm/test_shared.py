@@ -2,7 +2,7 @@ from pathlib import Path
 
 import pyarrow as pa
 
-from sluice.llm.shared import cached, drop, forget, pieces, written
+from sluice.llm.shared import cached, drop, forget, grouped, pieces, written
 
 
 def test_written_and_forgotten(spark):
@@ -31,3 +31,12 @@ def test_cached_keeps_the_latest():
     for k in (1, 1, 2, 2, 1):
         cached(("test", k), lambda: made.append(k))
     assert made == [1, 2, 1]
+
+
+def test_grouped():
+    rows = [(1, 1, "a"), (1, 1, "b"), (1, 2, "c"), (2, 2, "d"), (2, 2, "e"), (2, 2, "f"), (3, 0, "g")]
+    for cuts in ([], [2], [1, 2, 3], [4, 4, 5], [0, 7]):
+        edges = [0, *cuts, len(rows)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[a:b]], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.string()))], names=["x", "y", "z"]) for a, b in zip(edges, edges[1:])]
+        assert [c[2].to_pylist() for c in grouped(iter(batches), (0, 1))] == [["a", "b"], ["c"], ["d", "e", "f"], ["g"]]
+    assert list(grouped(iter([]), (0,))) == []
