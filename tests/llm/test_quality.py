@@ -131,3 +131,15 @@ def test_held_out(spark):
     got.columns = ["g", "kept"]
     assert got[got.g == 2].kept.mean() > 0.99 and got[got.g < 2].kept.mean() < 0.06
     assert document_model(spark, "/root/testdata/sf0.001").thresholds.shape == (2,)
+
+
+def test_columns_may_be_called_anything(spark):
+    rows = [(1, "good words", 1, 2, 3, 4), (2, None, 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, c0 int, text_ int, features int, grade int")
+    m = fit([], np.zeros(0, int), GRADES)
+    got = score(docs, m, keep=docs.columns)
+    assert got.columns == ["doc_id", "c0", "text_", "features", "grade", "text", "expected_grade", "tail_probability"]
+    assert sorted(tuple(r)[1:5] for r in got.collect()) == [(1, 2, 3, 4)] * 2
+    labels = spark.createDataFrame([(1, 1, 0, 9), (2, 0, 0, 9)], "doc_id long, quality int, toxic int, place int")
+    rows, grades = labelled(docs.withColumnRenamed("c0", "place").withColumnRenamed("text_", "n"), labels, grade_of_labels())
+    assert grades.tolist() == [2, 1] and len(rows) == 2
