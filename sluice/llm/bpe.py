@@ -33,7 +33,7 @@ SPREAD = 1 << 18
 #: Code points on each side of a join to begin with.
 WINDOW = 64
 #: Pieces that a worker remembers at most.
-MOST_KNOWN = 200_000
+MOST_KNOWN = 60_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -73,8 +73,12 @@ class Codec:
         self.usual = re.compile(f"[{letter}{digit}{other}{space}]*")
         self.pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{digit}]+| ?[{other}]+|[{space}]+(?![^{space}])|[{space}]+")
         self.newline = self.library.encode("\n", add_special_tokens=False).ids
-        #: Of pieces met: ids, these in decimal with commas between, and the bytes that they decode to.
-        self.known: dict[str, tuple[list[int], str, bytes]] = {}
+        #: Of pieces met: ids, these in decimal with commas between, and those pieces that don't decode to themselves.
+        #: Each id is one object, however many pieces have it.
+        self.numbers = list(range(size))
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.written: dict[str, str] = {}
+        self.unlike: set[str] = set()
 
     def pieces_of(self, texts: list[str]) -> dict[int, list[str]]:
         """Of texts whose characters are all of a known kind, by number, the pieces, which ``known`` then has: those that
@@ -84,6 +88,7 @@ class Codec:
         met = set(chain.from_iterable(split.values()))
         if len(self.known) > MOST_KNOWN:
             self.known = {w: self.known[w] for w in met if w in self.known}
+            self.written = {w: self.written[w] for w in self.known}
         new = list(met.difference(self.known))
         self._learn([w for w in new if not w.isspace() and "\n" not in w])
         spaces = [w for w in new if w not in self.known]
@@ -98,7 +103,7 @@ class Codec:
         for i, ids in zip(rest, self._ids([texts[i] for i in rest]), strict=True):
             out[i] = ids
         for i, words in split.items():
-            out[i] = list(chain.from_iterable([known[w][0] for w in words]))
+            out[i] = list(chain.from_iterable(map(known.__getitem__, words)))
         return out
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -117,17 +122,20 @@ class Codec:
 
     def _know(self, words: list[str], ids: list[list[int]]) -> None:
         for w, own in zip(words, ids, strict=True):
-            self.known[w] = own, ",".join([self.decimal[i] for i in own]), b"".join([self.bytes_of[i] for i in own])
+            self.known[w], self.written[w] = tuple([self.numbers[i] for i in own]), ",".join([self.decimal[i] for i in own])
+            if b"".join([self.bytes_of[i] for i in own]) != w.encode():
+                self.unlike.add(w)
 
     def described(self, texts: list[str], leaf: int = LEAF, want_ids: bool = True) -> list[tuple[int, str, bytes, list[int] | None]]:
         """Of each text: the number of its ids, these in decimal, the bytes that they decode to, and themselves."""
         short = [i for i, t in enumerate(texts) if len(t) <= leaf]
-        split, known = self.pieces_of([texts[i] for i in short]), self.known
+        split = self.pieces_of([texts[i] for i in short])
+        ids_of, written = self.known.__getitem__, self.written.__getitem__
         out: list = [None] * len(texts)
         for k, words in split.items():
-            found = [known[w] for w in words]
-            ids = list(chain.from_iterable([x[0] for x in found])) if want_ids else None
-            out[short[k]] = sum([len(x[0]) for x in found]), ",".join([x[1] for x in found]), b"".join([x[2] for x in found]), ids
+            if self.unlike.isdisjoint(words):  # each piece was decoded when it was met: the text is what it decodes to
+                text = ",".join(map(written, words))
+                out[short[k]] = text.count(",") + bool(text), text, texts[short[k]].encode(), list(chain.from_iterable(map(ids_of, words))) if want_ids else None
         rest = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(rest, self.encode_many([texts[i] for i in rest], leaf), strict=True):
             out[i] = self.of_ids(ids)
@@ -341,8 +349,8 @@ def encode(
             yield made()
 
     if longest <= spread:
-        return over_batches(d, whole, f"id long, {kinds}{beside}").toDF(id_col, *names, *keep)
-    short = over_batches(d.filter(F.coalesce(F.length("text") <= spread, F.lit(True))), whole, f"id long, {kinds}{beside}")
+        return over_batches(d, whole, f"id long, {kinds}{beside}", 1 << 20).toDF(id_col, *names, *keep)
+    short = over_batches(d.filter(F.coalesce(F.length("text") <= spread, F.lit(True))), whole, f"id long, {kinds}{beside}", 1 << 20)
     rows = written(d.filter(F.length("text") > spread).withColumn("uid_", F.monotonically_increasing_id()), "long")
     dealt = arrow(rows.select("uid_", "text"), cut, "uid long, stretch long, special int, leaf string, place long")
     parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
