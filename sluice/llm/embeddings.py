@@ -222,7 +222,8 @@ def near(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec_id", ve
     lowest = written(each.groupBy("component").agg(F.min("rep").alias("component_id")), "lowest")
     known = written(each.join(lowest, "component").select("v", "n_links", "component_id"), "classes")
     drop(classes, keys, sizes, wanted, found, joined, each, lowest)
-    out = d.withColumn("fit", fit).join(known.withColumn("fit", F.lit(True)), ["v", "fit"], "left")
+    # by a hash first: sorting by that is cheap
+    out = d.withColumn("fit", fit).withColumn("h", F.xxhash64("v")).join(known.withColumn("fit", F.lit(True)).withColumn("h", F.xxhash64("v")), ["h", "v", "fit"], "left")
     own = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
 

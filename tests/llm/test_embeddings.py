@@ -130,3 +130,9 @@ def test_sketches_of_near_pairs():
                 if i != j and not (across and part[i] == part[j]) and sum(bin(int(p)).count("1") for p in some[i].view(np.uint64) ^ some[j].view(np.uint64)) <= 34:
                     want[i] = True
         assert (with_company(some, part, 34, across) == want).all() and 0 < want.sum() < 700
+
+
+def test_zeros_of_either_sign(spark):
+    for kind in ("double", "float"):
+        df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [1.0, -0.0])], f"vec_id long, embedding array<{kind}>")
+        assert sorted((x.vec_id, x.n_links, x.component_id) for x in near(df).collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
