@@ -74,13 +74,19 @@ def apart(terms: Terms) -> bool:
 
 
 def shape_of(t: tuple[Literal, ...]) -> tuple:
-    """What a term has in common with others: literals whose arguments can't be columns keep theirs. A test for the
-    existence of a field, alone, has its field as an argument."""
-    if len(t) == 1 and named(t[0]):
-        return (("exists", "", False, "path"),)
+    """What a term has in common with others: literals whose arguments can't be columns keep theirs."""
     return tuple((x.keyword, x.field, x.negated, _variant(x)) for x in t)
 
 
+def shape_of_unit(u: Unit) -> tuple:
+    """Of a unit that is a test for the existence of a field, and nothing else, the field is an argument too."""
+    return ("path",) if by_name(u) else tuple(map(shape_of, u.terms))
+
+
+def by_name(u: Unit) -> bool:
+    return len(u.terms) == 1 and len(u.terms[0]) == 1 and named(u.terms[0][0])
+
+
 def named(x: Literal) -> bool:
     return x.keyword == "exists" and not x.negated and not x.args["array"]
 
@@ -272,6 +278,8 @@ class Index:
     uses: set[str]
     expected: float
     exact: bool = False
+    #: The key of a row, where it has one at most.
+    only: Callable[[Row], Column] | None = None
 
 
 def index(members: list[Literal], paths: bool) -> Index | None:
@@ -281,7 +289,8 @@ def index(members: list[Literal], paths: bool) -> Index | None:
         return None
     if x.keyword == "equals":
         keys = [[(key_of(m.args), 0, 0, 0)] for m in members]
-        return Index(keys, lambda row: F.array(_key(s=row.field(x.field).key)), {"s"}, _average(keys), True)
+        only = lambda row: _key(s=row.field(x.field).key)
+        return Index(keys, lambda row: F.array(only(row)), {"s"}, _average(keys), True, only)
     if x.keyword == "exists" and _variant(x) == "value":
         keys = [[(key_of(m.args["value"]), 0, 0, 0)] for m in members]
         return Index(keys, lambda row: _elements(row.field(x.field)), {"s"}, _average(keys), True)
@@ -377,7 +386,10 @@ def _intervals(members: list[Literal]) -> Index:
                 parts.append(F.when(n > 0, _places(level, n)).otherwise(_none()))
         return F.when(v.isNotNull() & ~F.isnan(v), F.concat(*parts) if len(parts) > 1 else parts[0])
 
-    return Index([[("", *k) for k in own] for own in keys], row_keys, {"x", "y"}, spread)
+    whole = len(levels) == 1 and not places[UP] and not places[DOWN]
+    # a value beyond all cells has a cell that no interval has
+    only = lambda row: _key(x=F.lit(levels[0]), y=F.floor(row.field(field_).number / F.lit(2.0 ** levels[0])))
+    return Index([[("", *k) for k in own] for own in keys], row_keys, {"x", "y"}, spread, only=only if whole else None)
 
 
 def _places(level: int, n: Column) -> Column:
@@ -433,20 +445,20 @@ class Group:
 
 
 class Relation:
-    """Rows of filters: key columns ``__b`` (branch: a term of a group), ``__s, __x, __y, __z``, ``__ids`` and columns for
+    """Rows of filters: key columns ``__b`` (branch: a term of a group), ``__s, __x, __y, __z``, ``__id`` and columns for
     arguments, which the groups share by kind."""
 
     def __init__(self) -> None:
         self.keys: list[list] = [[] for _ in range(5)]
-        self.ids: list[list[str]] = []
+        self.ids: list[str] = []
         self.rows: list[dict] = []
         self.kinds: dict[str, str] = {}
         self.uses: set[str] = set()
 
-    def add(self, branch: int, key: tuple, ids: list[str], args: dict) -> None:
+    def add(self, branch: int, key: tuple, id_: str, args: dict) -> None:
         for column, value in zip(self.keys, (branch, *key), strict=True):
             column.append(value)
-        self.ids.append(ids)
+        self.ids.append(id_)
         self.rows.append(args)
 
     def column(self, kind: str, number: int) -> str:
@@ -457,7 +469,7 @@ class Relation:
     def frame(self, spark) -> DataFrame:
         types = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
         columns = {f"__{n}": pa.array(c, t) for n, c, t in zip("bsxyz", self.keys, types, strict=True)}
-        columns["__ids"] = pa.array(self.ids, pa.list_(pa.string()))
+        columns["__id"] = pa.array(self.ids, pa.string())
         for name, kind in self.kinds.items():
             columns[name] = pa.array([r.get(name) for r in self.rows], ARROW[kind])
         made = spark.createDataFrame(pa.table(columns))
@@ -489,7 +501,8 @@ def joined(row: Row, groups: list[Group], ids: list[str], compiler: Compiler) ->
                 continue
             for u, own, args in zip(group.units, way.keys, every, strict=True):
                 for k in own:
-                    relation.add(branch, k, [ids[i] for i in u.filters], args)
+                    for i in u.filters:
+                        relation.add(branch, k, ids[i], args)
             keys.append(_of_branch(found, branch))
             relation.uses |= way.uses
             conditions = held(t, at if way.exact else None) + [~reduce(lambda a, b: a & b, held(before)) for before in range(t)]
@@ -524,7 +537,7 @@ class Prepared:
     def of(cls, normals: list[Terms], paths: bool, mode: str = "auto", join_from: int = JOIN_FROM) -> Prepared:
         by_shape: dict[tuple, list[Unit]] = defaultdict(list)
         for u in units_of(normals):
-            by_shape[tuple(map(shape_of, u.terms))].append(u)
+            by_shape[shape_of_unit(u)].append(u)
         out = cls([], [])
         for members in by_shape.values():
             found = Group.of(members, paths) if mode == "join" or mode == "auto" and len(members) >= join_from else None
@@ -545,7 +558,7 @@ def percolate(df: DataFrame, doc: str | None, normals: list, ids: list, keys: li
     """
     prepared = prepared or Prepared.of(normals, doc is not None, mode, join_from)
     groups, rest = prepared.groups, prepared.rest
-    listed = [u for g in groups for u in g.units if not (len(u.terms) == 1 and len(u.terms[0]) == 1 and named(u.terms[0][0]))]
+    listed = [u for g in groups for u in g.units if not by_name(u)]
     df, row = Row.of(df, doc, fields_of(chain(rest, listed)), keys)
     rest = [u for u in rest if doc is not None or not never(row, u)]
     own = [F.col(quoted(k)) for k in keys]
@@ -561,19 +574,21 @@ def percolate(df: DataFrame, doc: str | None, normals: list, ids: list, keys: li
     apart_ = len(relation.rows) > BROADCAST_ROWS and hits
     if hits and not apart_:
         for i, _ in hits:
-            relation.add(-1, ("", i, 0, 0), [ids[i]], {})
+            relation.add(-1, ("", i, 0, 0), ids[i], {})
         found.append(arrays([F.when(c, F.struct(F.lit(-1).alias("b"), F.lit("").alias("s"), F.lit(i).alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("z"))) for i, c in hits], ""))
     branches = len(found)
     if branches > 1:
         empty = F.array().cast("array<struct<b:int,s:string,x:int,y:bigint,z:bigint>>")
         found = [F.concat(*[F.coalesce(k, empty) for k in found])]
     # the fields of the row are read from the frame's own columns, so these stay until the other literals are tested
-    met = df.withColumn("__key", F.explode(found[0]))
+    ways_ = [w for g in groups for _, w in g.anchors]
+    only = ways_[0].only if branches == 1 and len(ways_) == 1 else None
+    met = df.withColumn("__key", only(row) if only else F.explode(found[0]))
     used = sorted(relation.uses | ({"b", "x"} if hits and not apart_ else {"b"} if branches > 1 else set()))
     met = met.join(relation.frame(df.sparkSession), reduce(lambda a, b: a & b, [F.col(f"__key.{n}") == F.col(f"__{n}") for n in used]))
     if test is not None:
         met = met.filter(test)
-    out = met.select(*own, F.explode("__ids").alias(name))
+    out = met.select(*own, F.col("__id").alias(name))
     if apart_:
         made = arrays([F.when(c, F.lit(i)) for i, c in hits], "int")
         out = out.union(named_ids(df.select(*own, F.explode(made).alias("__filter")).filter("`__filter` is not null"), ids, keys, name))

@@ -203,6 +203,7 @@ def test_patterns_and_paths_are_found(spark, monkeypatch, broadcast):
     patterns = ["cat", "c[ao]t", r"1\.5", r"\(x\)", "^the cat", "abc+a", "a.?bca", "cats?", r"a\+b", "(abc){2}", "cat$", "abca?b", "bc{1}a", *[f"zzz{i}" for i in range(60)]]
     engine = Percolator(spark, seed=SEED, max_conditions=0)
     given = {engine.register(f): f for f in [{"exists": x} for x in fields] + [{"regexp": {"text": x}} for x in patterns] + [{"missing": "alpha"}, {"equals": {"gamma": 1}}]}
+    given |= {engine.register(f): f for i in range(50) for f in ({"or": [{"exists": fields[i]}, {"equals": {"gamma": i}}]}, {"and": [{"exists": fields[i]}, {"range": {"gamma": {"lt": i}}}]})}
     df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)] + [(-1, "[1]"), (-2, "null")], "id long, json string").select("id", F.parse_json("json").alias("doc"))
     got = sorted((r.id, r.filter_id) for r in engine.percolate(df, ["id"], doc="doc").collect() if r.id >= 0)
     assert got == sorted((i, key) for i, d in enumerate(docs) for key, f in given.items() if tree(Reader().read(f), d))
