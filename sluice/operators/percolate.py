@@ -195,11 +195,26 @@ def level_of(size: float) -> int:
     return OPEN if not math.isfinite(size) else -1074 if size <= 0 else math.ceil(math.log2(size))
 
 
-def cells(low: float, high: float) -> list[tuple[int, int, int]]:
-    level = max(-40, level_of(high - low))
-    # one cell more on either side of a border that rounding may have moved
-    first, last = (math.floor(v / 2.0**level) for v in (low - abs(low) * 1e-12, high + abs(high) * 1e-12))
-    return [(level, k, 0) for k in range(first, last + 1)]
+def cells(low: float, high: float) -> tuple[int, list[int]]:
+    """The level of an interval, and its cells; one more on either side of a border that rounding may have moved."""
+    off = max(abs(low), abs(high)) * 1e-12
+    level = max(-40, level_of(high - low + 2 * off))
+    first, last = (math.floor(v / 2.0**level) for v in (low - off, high + off))
+    return level, list(range(first, last + 1))
+
+
+#: Keys that are numbers hold the place of the level among all levels, then what tells cells of a level apart, as far as
+#: there is room: others are told apart by the tests of a hit.
+ROOM, LAT_ROOM, LON_ROOM = 52, 25, 27
+_LONG = 1 << 63
+
+
+def _packed(place: int, *parts: tuple[int, int]) -> int:
+    """``parts``: a cell, and the bits it has room for. Cells beyond what a long holds are those at its end, as in Spark."""
+    out = place
+    for cell, room in parts:
+        out = out << room | max(-_LONG, min(_LONG - 1, cell)) & ((1 << room) - 1)
+    return out
 
 
 def boxes(x: Literal) -> list[tuple[float, float, float, float]]:
@@ -220,6 +235,7 @@ def boxes(x: Literal) -> list[tuple[float, float, float, float]]:
 
 
 def areas(x: Literal) -> list[tuple[int, int, int]]:
+    """Level, and cells of latitude and longitude, of a shape."""
     out = set()
     for bottom, top, left, right in boxes(x):
         level = max(-40, level_of(max(top - bottom, right - left)))
@@ -269,13 +285,12 @@ def required(pattern: str, flags: str) -> str:
 
 @dataclass
 class Index:
-    """How a literal of a group is found: the keys of each of the filters' literals, ``(string, level, number, number)``, and
-    those of a row, as an array of structs ``s, x, y, z``; which of these are used; filters that a row meets, roughly; and
-    whether a key found is a literal that holds."""
+    """How a literal of a group is found: the keys of each of the filters' literals, all strings (``kind`` s) or all numbers
+    (y); those of a row, as an array; filters that a row meets, roughly; whether a key found is a literal that holds."""
 
-    keys: list[list[tuple]]
+    kind: str
+    keys: list[list]
     row: Callable[[Row], Column | None]
-    uses: set[str]
     expected: float
     exact: bool = False
     #: The key of a row, where it has one at most.
@@ -288,31 +303,23 @@ def index(members: list[Literal], paths: bool) -> Index | None:
     if x.negated:
         return None
     if x.keyword == "equals":
-        keys = [[(key_of(m.args), 0, 0, 0)] for m in members]
-        only = lambda row: _key(s=row.field(x.field).key)
-        return Index(keys, lambda row: F.array(only(row)), {"s"}, _average(keys), True, only)
+        keys = [[key_of(m.args)] for m in members]
+        return Index("s", keys, lambda row: F.array(row.field(x.field).key), _average(keys), True, lambda row: row.field(x.field).key)
     if x.keyword == "exists" and _variant(x) == "value":
-        keys = [[(key_of(m.args["value"]), 0, 0, 0)] for m in members]
-        return Index(keys, lambda row: _elements(row.field(x.field)), {"s"}, _average(keys), True)
+        keys = [[key_of(m.args["value"])] for m in members]
+        return Index("s", keys, lambda row: _elements(row.field(x.field)), _average(keys), True)
     if named(x) and paths:
         found = sorted({m.field for m in members})
         if all(f.count(".") < MOST_PARTS for f in found) and len(objects(found)) <= OBJECTS:
-            return Index([[(m.field, 0, 0, 0)] for m in members], lambda row: _paths(row.document, found), {"s"}, 1.0, True)
+            return Index("s", [[m.field] for m in members], lambda row: _paths(row.document, found), 1.0, True)
     if x.keyword == "range":
         return _intervals(members)
     if x.keyword == "geo":
-        keys = [areas(m) for m in members]
-        levels = sorted({k[0] for own in keys for k in own})
-        return Index([[("", *k) for k in own] for own in keys], lambda row: _cells_of_point(row.field(x.field).point, levels), {"x", "y", "z"}, _spread(keys))
+        return _shapes(members)
     return _grams(members) if x.keyword == "regexp" and _variant(x) == "known" else None
 
 
-def _key(s: Column | None = None, x: Column | None = None, y: Column | None = None, z: Column | None = None) -> Column:
-    number = lambda c: F.lit(0).cast("long") if c is None else c.cast("long")
-    return F.struct((F.lit("") if s is None else s).alias("s"), (F.lit(0) if x is None else x).alias("x"), number(y).alias("y"), number(z).alias("z"))
-
-
-def _average(keys: list[list[tuple]]) -> float:
+def _average(keys: list[list]) -> float:
     return sum(map(len, keys)) / max(1, len(set(chain.from_iterable(keys))))
 
 
@@ -328,7 +335,7 @@ def _elements(value) -> Column | None:
     if value.elements() is None:
         return None
     items, of = value.elements()
-    return F.transform(F.array_distinct(F.transform(items, lambda e: of(e).key)), lambda k: _key(s=k))
+    return F.array_distinct(F.transform(items, lambda e: of(e).key))
 
 
 def objects(paths: list[str]) -> list[tuple[str, ...]]:
@@ -344,60 +351,61 @@ def _paths(document: Column, paths: list[str]) -> Column:
         if None not in (way := [step(k) for k in parent]):
             keys = F.coalesce(F.map_keys(F.try_variant_get(document, "$" + "".join(way), "map<string,variant>")), F.array().cast("array<string>"))
             found.append(_under(keys, ".".join([*parent, ""])) if parent else keys)
-    return F.transform(F.array_distinct(F.concat(*found)), lambda k: _key(s=k))
+    return F.array_distinct(F.concat(*found))
 
 
 def _under(keys: Column, start: str) -> Column:
     return F.transform(keys, lambda k: F.concat(F.lit(start), k))
 
 
+def _cell(v: Column, level: int, room: int) -> Column:
+    return F.floor(v / F.lit(2.0**level)).cast("long").bitwiseAND(F.lit((1 << room) - 1))
+
+
 def _intervals(members: list[Literal]) -> Index:
-    field_, ends = members[0].field, [bounds(m) for m in members]
-    keys: list[list[tuple]] = [[] for _ in members]
+    field_ = members[0].field
+    own: list[tuple[int, list[int]] | None] = [None] * len(members)
     open_: dict[int, list[tuple[float, int]]] = {UP: [], DOWN: []}
-    for i, (low, high) in enumerate(ends):
+    for i, (low, high) in enumerate(map(bounds, members)):
         if math.isnan(low) or math.isnan(high):
             continue
         if math.isfinite(high - low):
-            keys[i] = cells(low, high)
+            own[i] = cells(low, high)
         elif high == math.inf:
             open_[UP].append((low, i))
         else:
             open_[DOWN].append((-high, i))
     # a row with value v has the bounds that stand before it: those at most v of the lower ones, at least v of the upper
-    places = {}
+    ends = {}
     for level, found in open_.items():
         found.sort()
-        places[level] = [v for v, _ in found]
+        ends[level] = [v for v, _ in found]
         for n, (_, i) in enumerate(found):
-            keys[i] = [(level, n, 0)]
-    levels = sorted({k[0] for own in keys for k in own} - {UP, DOWN})
-    spread = _spread([own for own in keys if own and own[0][0] not in (UP, DOWN)]) + sum(map(len, open_.values())) / 2
+            own[i] = level, [n]
+    levels = sorted({x[0] for x in own if x})
+    place = {level: n for n, level in enumerate(levels)}
+    finite = [level for level in levels if level not in ends]
+    keys = [[_packed(place[x[0]], (c, ROOM)) for c in x[1]] if x else [] for x in own]
+    spread = _spread([[(x[0], c) for c in x[1]] for x in own if x and x[0] not in ends]) + sum(map(len, open_.values())) / 2
+    cell = lambda v, level: _cell(v, level, ROOM) + F.lit(place[level] << ROOM)
 
     def row_keys(row: Row) -> Column:
-        v = row.field(field_).number
-        parts = []
-        if levels:
-            each = F.array(*[_key(x=F.lit(n), y=F.floor(v / F.lit(2.0**n))) for n in levels])
-            parts.append(F.when(F.abs(v) < float("inf"), each).otherwise(_none()))  # an infinite value is in no cell
+        v, parts = row.field(field_).number, []
+        if finite:
+            parts.append(F.when(F.abs(v) < float("inf"), F.array(*[cell(v, n) for n in finite])).otherwise(_none()))  # an infinite value is in no cell
         for level, sign in ((UP, 1), (DOWN, -1)):
-            if places[level]:
-                n = _upto(v if sign > 0 else -v, places[level])
-                parts.append(F.when(n > 0, _places(level, n)).otherwise(_none()))
-        return F.when(v.isNotNull() & ~F.isnan(v), F.concat(*parts) if len(parts) > 1 else parts[0])
-
-    whole = len(levels) == 1 and not places[UP] and not places[DOWN]
-    # a value beyond all cells has a cell that no interval has
-    only = lambda row: _key(x=F.lit(levels[0]), y=F.floor(row.field(field_).number / F.lit(2.0 ** levels[0])))
-    return Index([[("", *k) for k in own] for own in keys], row_keys, {"x", "y"}, spread, only=only if whole else None)
-
+            if ends[level]:
+                # and one place more, which the tests of a hit refuse
+                start = F.lit(place[level] << ROOM)
+                parts.append(F.sequence(start, start + _upto(v if sign > 0 else -v, ends[level])))
+        return F.when(v.isNotNull() & ~F.isnan(v), F.concat(*parts) if len(parts) > 1 else parts[0] if parts else _none())
 
-def _places(level: int, n: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: _key(x=F.lit(level), y=k))
+    # a value beyond all cells has a cell that tests of a hit refuse
+    return Index("y", keys, row_keys, spread, only=(lambda row: cell(row.field(field_).number, levels[0])) if len(levels) == 1 and finite else None)
 
 
 def _none() -> Column:
-    return F.array().cast("array<struct<s:string,x:int,y:bigint,z:bigint>>")
+    return F.array().cast("array<bigint>")
 
 
 def _upto(v: Column, bounds_: list[float]) -> Column:
@@ -408,22 +416,29 @@ def _upto(v: Column, bounds_: list[float]) -> Column:
     return F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(bits))]), F.lit(0), lambda at, n: F.when(F.element_at(known, at + n) <= v, at + n).otherwise(at))
 
 
-def _cells_of_point(p: Column, levels: list[int]) -> Column:
-    cell = lambda v, n: F.lit(0) if n == OPEN else F.floor(v / F.lit(2.0**n))
-    return F.when(p.isNotNull(), arrays([_key(x=F.lit(n), y=cell(p["lat"], n), z=cell(p["lon"], n)) for n in levels], "struct<s:string,x:int,y:bigint,z:bigint>"))
+def _shapes(members: list[Literal]) -> Index:
+    own = [areas(m) for m in members]
+    levels = sorted({k[0] for x in own for k in x})
+    place = {level: n for n, level in enumerate(levels)}
+    keys = [list(dict.fromkeys(_packed(place[level], (lat, LAT_ROOM), (lon, LON_ROOM)) for level, lat, lon in x)) for x in own]
+
+    def row_keys(row: Row) -> Column:
+        p = row.field(members[0].field).point
+        each = [F.lit(place[n] << ROOM) + (F.lit(0) if n == OPEN else F.shiftleft(_cell(p["lat"], n, LAT_ROOM), LON_ROOM) + _cell(p["lon"], n, LON_ROOM)) for n in levels]
+        return F.when(p.isNotNull(), arrays(each, "bigint"))
+
+    return Index("y", keys, row_keys, _spread(own))
 
 
 def _grams(members: list[Literal]) -> Index:
-    """Of each pattern the characters, of those that a match must have, that the fewest patterns before it took."""
-    used, keys = Counter(), []
-    for m in members:
-        must = required(m.args["value"], m.args["flags"])
-        best = min({must[i : i + GRAM] for i in range(len(must) - GRAM + 1)}, key=lambda g: (used[g], g))
-        used[best] += 1
-        keys.append([(best, 0, 0, 0)])
-    grams = lambda row: F.array_distinct(F.regexp_extract_all(row.field(members[0].field).string, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+    """Of each pattern the characters, of those that a match must have, that the fewest patterns must have."""
+    grams = lambda text: {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+    must = [grams(required(m.args["value"], m.args["flags"])) for m in members]
+    count = Counter(chain.from_iterable(must))
+    keys = [[min(own, key=lambda g: (count[g], g))] for own in must]
+    found = lambda row: F.array_distinct(F.regexp_extract_all(row.field(members[0].field).string, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
     # tried on a hit, a pattern is compiled anew: other anchors are better if there are any
-    return Index(keys, lambda row: F.transform(grams(row), lambda k: _key(s=k)), {"s"}, 1e6 + _average(keys))
+    return Index("s", keys, found, 1e6 + _average(keys))
 
 
 @dataclass
@@ -445,19 +460,19 @@ class Group:
 
 
 class Relation:
-    """Rows of filters: key columns ``__b`` (branch: a term of a group), ``__s, __x, __y, __z``, ``__id`` and columns for
+    """Rows of filters: key columns ``__b`` (branch: a term of a group), ``__s`` and ``__y``, ``__id``, and columns for
     arguments, which the groups share by kind."""
 
     def __init__(self) -> None:
-        self.keys: list[list] = [[] for _ in range(5)]
+        self.keys: dict[str, list] = {"b": [], "s": [], "y": []}
         self.ids: list[str] = []
         self.rows: list[dict] = []
         self.kinds: dict[str, str] = {}
-        self.uses: set[str] = set()
 
-    def add(self, branch: int, key: tuple, id_: str, args: dict) -> None:
-        for column, value in zip(self.keys, (branch, *key), strict=True):
-            column.append(value)
+    def add(self, branch: int, kind: str, key, id_: str, args: dict) -> None:
+        self.keys["b"].append(branch)
+        self.keys["s"].append(key if kind == "s" else "")
+        self.keys["y"].append(key if kind == "y" else 0)
         self.ids.append(id_)
         self.rows.append(args)
 
@@ -467,8 +482,7 @@ class Relation:
         return name
 
     def frame(self, spark) -> DataFrame:
-        types = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
-        columns = {f"__{n}": pa.array(c, t) for n, c, t in zip("bsxyz", self.keys, types, strict=True)}
+        columns = {f"__{n}": pa.array(c, t) for (n, c), t in zip(self.keys.items(), (pa.int32(), pa.string(), pa.int64()), strict=True)}
         columns["__id"] = pa.array(self.ids, pa.string())
         for name, kind in self.kinds.items():
             columns[name] = pa.array([r.get(name) for r in self.rows], ARROW[kind])
@@ -487,34 +501,34 @@ def slots(group: Group, relation: Relation, engine: str) -> list[list[dict[str,
     return [[{n: one(KINDS.get(n, "double")) for n in columns_of(x, engine)} for x in t] for t in group.units[0].terms]
 
 
-def joined(row: Row, groups: list[Group], ids: list[str], compiler: Compiler) -> tuple[Relation, list[Column], Column]:
-    """The relation of groups, the keys of a row for each branch, and the test of a hit."""
-    relation, keys, test, branch = Relation(), [], None, 0
+def joined(row: Row, groups: list[Group], ids: list[str], compiler: Compiler) -> tuple[Relation, list[tuple[int, Index, Column]], Column | None]:
+    """The relation of groups; of each branch its number, its index and a row's keys; and the test of a hit."""
+    relation, branches, test = Relation(), [], None
     for group in groups:
         where = slots(group, relation, compiler.engine)
         terms = group.units[0].terms
         held = lambda t, but=None: [compiler.condition(row, x, {n: F.col(c) for n, c in where[t][i].items()} or None) for i, x in enumerate(terms[t]) if i != but]  # noqa: B023, E731
         every = [{where[t][i][n]: v for t, own in enumerate(u.terms) for i, x in enumerate(own) for n, v in columns_of(x, compiler.engine).items()} for u in group.units]
         for t, (at, way) in enumerate(group.anchors):
-            found = way.row(row)
+            found, branch = way.row(row), len(branches)
             if found is None:
                 continue
             for u, own, args in zip(group.units, way.keys, every, strict=True):
                 for k in own:
                     for i in u.filters:
-                        relation.add(branch, k, ids[i], args)
-            keys.append(_of_branch(found, branch))
-            relation.uses |= way.uses
+                        relation.add(branch, way.kind, k, ids[i], args)
+            branches.append((branch, way, found))
             conditions = held(t, at if way.exact else None) + [~reduce(lambda a, b: a & b, held(before)) for before in range(t)]
             if conditions:
                 whole = reduce(lambda a, b: a & b, conditions)
                 test = F.when(F.col("__b") == branch, whole) if test is None else test.when(F.col("__b") == branch, whole)
-            branch += 1
-    return relation, keys, test.otherwise(True) if test is not None else None
+    return relation, branches, test.otherwise(True) if test is not None else None
 
 
-def _of_branch(found: Column, branch: int) -> Column:
-    return F.transform(found, lambda k: F.struct(F.lit(branch).alias("b"), *[k[n].alias(n) for n in "sxyz"]))
+def with_branch(branch: int, kind: str, found: Column) -> Column:
+    """Keys of a branch as structs, which those of all branches can be together."""
+    key = lambda k: F.struct(F.lit(branch).alias("b"), (k if kind == "s" else F.lit("")).alias("s"), (k if kind == "y" else F.lit(0).cast("long")).alias("y"))
+    return F.coalesce(F.transform(found, key), F.array().cast("array<struct<b:int,s:string,y:bigint>>"))
 
 
 def fields_of(units: Iterator[Unit]) -> dict[str, bool]:
@@ -563,7 +577,7 @@ def percolate(df: DataFrame, doc: str | None, normals: list, ids: list, keys: li
     rest = [u for u in rest if doc is not None or not never(row, u)]
     own = [F.col(quoted(k)) for k in keys]
     hits = holding(row, rest, compiler)
-    relation, found, test = joined(row, groups, ids, compiler)
+    relation, branches, test = joined(row, groups, ids, compiler)
     if not relation.rows:
         if not hits:
             return df.select(*own, F.lit(None).cast("string").alias(name)).limit(0)
@@ -574,18 +588,19 @@ def percolate(df: DataFrame, doc: str | None, normals: list, ids: list, keys: li
     apart_ = len(relation.rows) > BROADCAST_ROWS and hits
     if hits and not apart_:
         for i, _ in hits:
-            relation.add(-1, ("", i, 0, 0), ids[i], {})
-        found.append(arrays([F.when(c, F.struct(F.lit(-1).alias("b"), F.lit("").alias("s"), F.lit(i).alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("z"))) for i, c in hits], ""))
-    branches = len(found)
-    if branches > 1:
-        empty = F.array().cast("array<struct<b:int,s:string,x:int,y:bigint,z:bigint>>")
-        found = [F.concat(*[F.coalesce(k, empty) for k in found])]
+            relation.add(-1, "y", i, ids[i], {})
     # the fields of the row are read from the frame's own columns, so these stay until the other literals are tested
-    ways_ = [w for g in groups for _, w in g.anchors]
-    only = ways_[0].only if branches == 1 and len(ways_) == 1 else None
-    met = df.withColumn("__key", only(row) if only else F.explode(found[0]))
-    used = sorted(relation.uses | ({"b", "x"} if hits and not apart_ else {"b"} if branches > 1 else set()))
-    met = met.join(relation.frame(df.sparkSession), reduce(lambda a, b: a & b, [F.col(f"__key.{n}") == F.col(f"__{n}") for n in used]))
+    if len(branches) == 1 and (apart_ or not hits):
+        _, way, found = branches[0]
+        met = df.withColumn("__key", way.only(row) if way.only else F.explode(found))
+        on = F.col("__key") == F.col(f"__{way.kind}")
+    else:
+        each = [with_branch(n, way.kind, found) for n, way, found in branches]
+        if hits and not apart_:
+            each.append(arrays([F.when(c, F.struct(F.lit(-1).alias("b"), F.lit("").alias("s"), F.lit(i).cast("long").alias("y"))) for i, c in hits], ""))
+        met = df.withColumn("__key", F.explode(F.concat(*each) if len(each) > 1 else each[0]))
+        on = reduce(lambda a, b: a & b, [F.col(f"__key.{n}") == F.col(f"__{n}") for n in "bsy"])
+    met = met.join(relation.frame(df.sparkSession), on)
     if test is not None:
         met = met.filter(test)
     out = met.select(*own, F.col("__id").alias(name))
