@@ -22,6 +22,11 @@ UNITS = {
 #: The characters of geohashes, by number, and what a geohash looks like.
 GEOHASH_ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 GEOHASH = r"^[0-9a-z]{4,}$"
+#: Characters that a number to base 32 holds, and those that a geohash has in their place; others that it may have, its
+#: last one a line's end, count as zero.
+DIGITS, OTHERS = "0123456789abcdefghijklmnopqrstuv", "ailo\n\r\u0085\u2028\u2029"
+#: Characters of a geohash whose bits a long holds, in whole pairs.
+SHORT = 12
 #: Fixed value: what a text that is no distance is told.
 UNKNOWN_DISTANCE = 'unable to parse distance value "{text}"'
 #: What a lenient float parser takes from the start of a string.
@@ -96,7 +101,20 @@ def point_of(lat: Column, lon: Column) -> Column:
 
 
 def geohash_column(text: Column) -> Column:
-    """The middle of a geohash's cell, as a struct."""
+    """The middle of a geohash's cell, as a struct: within generated code up to SHORT characters, beyond by a fold."""
+    return F.when(F.length(text) <= SHORT, _short_geohash(text)).otherwise(_long_geohash(text))
+
+
+def _short_geohash(text: Column) -> Column:
+    """Its bits as text, of which every other one is the longitude's."""
+    digits = F.rpad(F.translate(text, GEOHASH_ALPHABET + OTHERS, DIGITS + "0" * len(OTHERS)), SHORT, "0")
+    bits, known = F.lpad(F.conv(digits, 32, 2), 5 * SHORT, "0"), F.length(text) * 5
+    of = lambda pattern: F.conv(F.regexp_replace(bits, pattern, "$1"), 2, 10).cast("double") / F.lit(2.0 ** (5 * SHORT // 2))
+    half = lambda n: F.lit(0.5) / F.pow(F.lit(2.0), F.floor(n / 2))
+    return F.struct((-90 + 180 * (of(".(.)") + half(known))).alias("lat"), (-180 + 360 * (of("(.).") + half(known + 1))).alias("lon"))
+
+
+def _long_geohash(text: Column) -> Column:
     code = lambda c: F.greatest(F.lit(0), F.instr(F.lit(GEOHASH_ALPHABET), c) - 1)
     bit = lambda n, k: F.shiftright(n, k).bitwiseAND(F.lit(1)).cast("double")
     three = lambda n: bit(n, 4) / 2 + bit(n, 2) / 4 + bit(n, 0) / 8

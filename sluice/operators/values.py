@@ -55,8 +55,8 @@ class Absent:
 class Typed:
     """A field of a typed row."""
 
-    def __init__(self, col: Column, kind: T.DataType) -> None:
-        self.raw, self.kind = col, kind
+    def __init__(self, col: Column, kind: T.DataType, point: Column | None = None) -> None:
+        self.raw, self.kind, self._given_point = col, kind, point
 
     @property
     def present(self) -> Column:
@@ -112,6 +112,8 @@ class Typed:
 
     @property
     def point(self) -> Column:
+        if self._given_point is not None:
+            return self._given_point
         none = F.lit(None).cast("struct<lat:double,lon:double>")
         if isinstance(self.kind, T.StringType):
             return point_of_string(self.raw)
@@ -275,19 +277,28 @@ def make(col: Column, kind: T.DataType) -> Typed | Loose:
     return Loose(col) if isinstance(kind, T.VariantType) else Typed(col, kind)
 
 
+def parsed(kind: T.DataType) -> bool:
+    """Whether a point of this kind may be made of texts, or of a document, which takes long."""
+    inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else [kind.valueType] if isinstance(kind, T.MapType) else []
+    return isinstance(kind, (T.StringType, T.VariantType)) or any(map(parsed, inner))
+
+
 class Row:
     """Fields by path. ``field("a.b")`` is the top-level key ``a.b`` if there is one, else ``b`` below ``a``."""
 
-    def __init__(self, roots: dict[str, Typed | Loose | Absent] | None = None, whole: bool = False, document: Column | None = None) -> None:
-        self.roots, self.whole, self.document = roots or {}, whole, document
+    def __init__(self, roots: dict[str, Typed | Loose | Absent] | None = None, whole: bool = False, document: Column | None = None, points: dict[str, Column] | None = None) -> None:
+        self.roots, self.whole, self.document, self.points = roots or {}, whole, document, points or {}
 
     @classmethod
     def of(cls, df: DataFrame, doc: str | None, fields: dict[str, bool], keys: list[str]) -> tuple[DataFrame, Row]:
         """The frame to test and its fields: its columns, or those of its VARIANT column ``doc``. ``fields``: the paths
         asked for, and whether as points. Of a document, each field asked for becomes columns (the value, its kind, its
-        point), so that many conditions on it share the work."""
+        point), so that many conditions on it share the work; of typed rows, the points that are parsed."""
         if doc is None:
-            return df, cls({f.name: make(F.col(quoted(f.name)), f.dataType) for f in df.schema.fields})
+            row = cls({f.name: make(F.col(quoted(f.name)), f.dataType) for f in df.schema.fields})
+            found = {p: x.point for p in sorted(fields) if fields[p] and (isinstance(x := row.field(p), Loose) or isinstance(x, Typed) and parsed(x.kind))}
+            row.points = {p: F.col(f"__point_{i}") for i, p in enumerate(found)}
+            return df.select("*", *[c.alias(f"__point_{i}") for i, c in enumerate(found.values())]) if found else df, row
         paths = sorted(fields)
         found = {f"v_{i}": c for i, p in enumerate(paths) if (c := at_path(F.col(quoted(doc)), p)) is not None}
         df = df.select(*[F.col(quoted(k)) for k in keys], F.col(quoted(doc)).alias("v_doc"), *[c.alias(n) for n, c in found.items()])
@@ -299,8 +310,12 @@ class Row:
 
     def field(self, path: str) -> Typed | Loose | Absent:
         if path in self.roots or self.whole:
-            return self.roots[path]
-        return below(lambda name: self.roots.get(name, Absent()), path.split("."))
+            found = self.roots[path]
+        else:
+            found = below(lambda name: self.roots.get(name, Absent()), path.split("."))
+        if path in self.points:
+            return Loose(found.raw, point=self.points[path]) if isinstance(found, Loose) else Typed(found.raw, found.kind, self.points[path])
+        return found
 
 
 def below(get: Callable[[str], Typed | Loose | Absent], parts: list[str]) -> Typed | Loose | Absent:

@@ -271,3 +271,27 @@ def test_filters_registered_between_calls_count(spark):
     assert find() == [(1, one), (2, two)]
     engine.remove(one)
     assert find() == [(2, two)] and [r.filter_id for r in engine.percolate(df, ["id"], index="named").collect()] == [other]
+
+
+def test_points_of_texts_are_parsed_once_a_row(spark):
+    """However many filters ask for them, and geohashes of any length as by the driver's parser."""
+    from sluice.functions.geo import convert_geopoint, point_of_string
+
+    R.seed(17)
+    texts = ["".join(R.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(R.randint(4, 30))) for _ in range(300)]
+    texts += ["0000", "zzzz", "z" * 12, "0" * 12, "z" * 13, "aaaa", "spfb\n", "7ilo", "abc", "", "SPFB", "spfb ", "43.6, 3.9", "1,x", "1,2,3", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, p string").repartition(3)
+    for r in df.select("p", point_of_string(F.col("p")).alias("found")).collect():
+        want = convert_geopoint(r.p)
+        assert (r.found is None) == (want is None), r.p
+        assert want is None or max(abs(r.found.lat - want[0]), abs(r.found.lon - want[1])) < 1e-12, r.p
+    engine = Percolator(spark, seed=SEED)
+    given = {}
+    for f in ({"geoDistance": {"p": [43.6, 3.9], "distance": "4000 km"}}, {"geoBoundingBox": {"p": {"top": 60, "left": -90, "bottom": -30, "right": 20}}}):
+        given |= {engine.register(x): x for x in (f, {"not": f})}
+    out = engine.percolate(df, ["id"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("RLIKE") == 1
+    want = {(i, key) for i, t in enumerate(texts) for key, f in given.items() if tree(Reader().read(f), {} if t is None else {"p": t})}
+    assert {(r.id, r.filter_id) for r in out.collect()} == want
+    wide = df.select("id", F.struct(F.col("p").alias("latLon")).alias("p"))
+    assert {(r.id, r.filter_id) for r in engine.percolate(wide, ["id"], mode="join").collect()} == {(i, key) for i, t in enumerate(texts) for key, f in given.items() if tree(Reader().read(f), {"p": {} if t is None else {"latLon": t}})}
