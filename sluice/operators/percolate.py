@@ -9,7 +9,8 @@ for all groups are one array, and expressions add theirs, so rows are read once
 
 Keys. Equality: the value. Ranges and boxes: cells of the size of their own extent, so that an interval touches at most two
 cells of its level, a box at most four, and a row has one cell for each level that occurs. Ranges with an open end: the
-place of the bound among all of them in order; a row has the places up to its own value, found by halving. Patterns: three
+place of the bound among all of them in order; a row has the places up to its own value, found by halving. Where all
+filters are such, what a row meets is the first so many of all ids in order: nothing is joined or tested. Patterns: three
 characters that a match must have. Existence of a field: its path, against the paths that a document has.
 
 A row meets a filter once: of a filter's terms that hold the first counts, which is a test on the hit. What a filter finds
@@ -18,6 +19,7 @@ does not depend on the other filters, and nothing needs a distinct.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter, defaultdict
@@ -416,6 +418,39 @@ def _upto(v: Column, bounds_: list[float]) -> Column:
     return F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(bits))]), F.lit(0), lambda at, n: F.when(F.element_at(known, at + n) <= v, at + n).otherwise(at))
 
 
+def one_bound(u: Unit) -> bool:
+    """Whether a unit is a range with one bound, and nothing else."""
+    return len(u.terms) == 1 and len(u.terms[0]) == 1 and (x := u.terms[0][0]).keyword == "range" and not x.negated and len(x.args) == 1 and not math.isnan(*x.args.values())
+
+
+def runs(df: DataFrame, row: Row, units: list[Unit], ids: list[str], own: list[Column], name: str) -> DataFrame:
+    """The hits of ranges with one bound: of the ids in the order of their bounds, those that stand before a row's value.
+    A row may have as many hits as there are filters, so rows with any are dealt to all executors first, however few files
+    or row groups they come from."""
+    ends: dict[tuple[str, int], list[tuple[float, str]]] = defaultdict(list)
+    for u in units:
+        x = u.terms[0][0]
+        ((kind, bound),) = x.args.items()
+        sign = 1 if kind in ("gt", "gte") else -1
+        least = sign * float(bound)
+        if kind in ("gt", "lt"):
+            if least == math.inf:
+                continue
+            least = math.nextafter(least, math.inf)
+        ends[x.field, sign] += [(least, ids[i]) for i in u.filters]
+    counts, each, any_ = [], [], F.lit(False)
+    for n, ((field_, sign), found) in enumerate(sorted(ends.items())):
+        found.sort(key=lambda x: x[0])
+        v = row.field(field_).number
+        v = v if sign > 0 else -v
+        some = v.isNotNull() & ~F.isnan(v) & (v >= found[0][0])
+        counts.append(F.when(some, _upto(v, [b for b, _ in found])).otherwise(0).alias(f"__n_{n}"))
+        each.append(F.slice(F.from_json(F.lit(json.dumps([i for _, i in found])), "array<string>"), F.lit(1), F.col(f"__n_{n}")))
+        any_ = any_ | some
+    dealt = df.filter(any_).select("*", *counts).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.select(*own, F.explode(F.concat(*each) if len(each) > 1 else each[0] if each else F.array().cast("array<string>")).alias(name))
+
+
 def _shapes(members: list[Literal]) -> Index:
     own = [areas(m) for m in members]
     levels = sorted({k[0] for x in own for k in x})
@@ -577,6 +612,8 @@ def percolate(df: DataFrame, doc: str | None, normals: list, ids: list, keys: li
     rest = [u for u in rest if doc is not None or not never(row, u)]
     own = [F.col(quoted(k)) for k in keys]
     hits = holding(row, rest, compiler)
+    if groups and not hits and len(listed) == sum(len(g.units) for g in groups) and all(map(one_bound, listed)) and sum(len(u.filters) for u in listed) <= BROADCAST_ROWS:
+        return runs(df, row, listed, ids, own, name)
     relation, branches, test = joined(row, groups, ids, compiler)
     if not relation.rows:
         if not hits:

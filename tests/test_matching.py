@@ -295,3 +295,38 @@ def test_points_of_texts_are_parsed_once_a_row(spark):
     assert {(r.id, r.filter_id) for r in out.collect()} == want
     wide = df.select("id", F.struct(F.col("p").alias("latLon")).alias("p"))
     assert {(r.id, r.filter_id) for r in engine.percolate(wide, ["id"], mode="join").collect()} == {(i, key) for i, t in enumerate(texts) for key, f in given.items() if tree(Reader().read(f), {"p": {} if t is None else {"latLon": t}})}
+
+
+def test_ranges_with_one_bound_alone_are_neither_joined_nor_tested(spark, tmp_path):
+    """The same hits as by expressions: of typed rows, documents and a stream; ties, repeated keys, any ids."""
+    from sluice.streaming.stream import percolate_stream
+
+    inf = float("inf")
+    rows = [(i // 2, v, n) for i, (v, n) in enumerate([(0.0, 1), (-0.0, 1), (7.0, None), (7.0, 3), (6.999999999999999, 7), (7.000000000000001, -7), (None, 9), (float("nan"), 7), (inf, 8), (-inf, 0), (5e-324, 2), (-5e-324, 2), (12.5, 12), (100.0, 100)])]
+    df = spark.createDataFrame(rows, "id long, v double, n int").repartition(1)
+    engine = Percolator(spark, seed=SEED)
+    given = {}
+    for i in range(45):
+        for f in ({"v": {"gt": i}}, {"v": {"gte": i}}, {"v": {"lt": i}}, {"v": {"lte": -i}}, {"n": {"gte": i + 0.5}}, {"n": {"lt": i}}, {"gone": {"gt": i}}):
+            given[engine.register({"range": f})] = f
+    for f in ({"v": {"gt": inf}}, {"v": {"gte": inf}}, {"v": {"lt": -inf}}, {"v": {"lte": -inf}}, {"v": {"gt": -inf}}):
+        given[engine.register({"range": f})] = f
+    names = {x: f"{x},'\"\\{i}é" for i, x in enumerate(given)}
+    ops = {"gt": lambda v, x: v > x, "gte": lambda v, x: v >= x, "lt": lambda v, x: v < x, "lte": lambda v, x: v <= x}
+    want = sorted((i, names[x]) for i, v, n in rows for x, f in given.items() for name, b in f.items() for k, bound in b.items() if (value := {"v": v, "n": n}.get(name)) is not None and ops[k](value, bound))
+    out = engine.percolate(df, ["id"], names=names)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and f"RoundRobinPartitioning({spark.conf.get('spark.sql.shuffle.partitions')})" in plan
+    found = lambda out: sorted((r.id, r.filter_id) for r in out.collect())
+    assert found(out) == want == found(engine.percolate(df, ["id"], names=names, mode="expression"))
+    docs = df.filter("abs(v) < 1000").select("id", F.parse_json(F.to_json(F.struct("v", "n"))).alias("doc"))
+    assert found(engine.percolate(docs, ["id"], doc="doc")) == found(engine.percolate(docs, ["id"], doc="doc", mode="expression")) != []
+    df.write.parquet(str(tmp_path / "in"))
+    stream = percolate_stream(engine, spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), ["id"])
+    q = stream.writeStream.format("memory").queryName("runs").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.id, names[r.filter_id]) for r in spark.table("runs").collect()) == want
+    assert engine.percolate(df.filter("v = 12.5"), ["id"]).count() == 13 + 13 + 32 + 12 + 32 + 1
+    none = Percolator(spark, seed=SEED)
+    none.register({"range": {"v": {"gt": inf}}})
+    assert none.percolate(df, ["id"], mode="join").count() == 0
